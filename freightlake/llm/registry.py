@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .fingerprints import op9_fingerprints
+from .packing import op5_packing
 from .sharding import op4_sharding
+from .topk import OP1_SQL, op1_topk
 
 
 def queries() -> dict:
-    return {"op4_sharding": op4_sharding, "op9_fingerprints": op9_fingerprints}
+    return {"op1_topk": op1_topk, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op9_fingerprints": op9_fingerprints}
 
 
 def oracles() -> dict:
-    return {}
+    return {"op1_topk": OP1_SQL}
