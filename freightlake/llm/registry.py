@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from .fingerprints import op9_fingerprints
 from .packing import op5_packing
+from .jaccard import OP7_SQL, op7_jaccard_join
 from .sharding import op4_sharding
+from .substrings import OP2_SQL, op2_substrings
 from .topk import OP1_SQL, op1_topk
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op9_fingerprints": op9_fingerprints}
+    return {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op7_jaccard_join": op7_jaccard_join, "op9_fingerprints": op9_fingerprints}
 
 
 def oracles() -> dict:
-    return {"op1_topk": OP1_SQL}
+    return {"op1_topk": OP1_SQL, "op2_substrings": OP2_SQL, "op7_jaccard_join": OP7_SQL}
