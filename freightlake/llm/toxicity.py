@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,52 +14,92 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 #: At most about so many labelled rows fit the model; more are thinned out by a hash of their ids.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 REJECT = 0.7
-#: Insults; a leading part of a word counts as the word where a star ends it.
+#: Insults that any language model of the text would know; a star stands for any ending.
 LEXICON = (
-    "idiot*", "moron*", "stupid*", "dumb*", "fool*", "loser*", "clown*", "scum*", "trash", "garbage", "pathetic", "worthless", "useless",
-    "disgusting", "disgrace*", "ugly", "hate", "hateful", "vile", "filth*", "vermin", "parasite*", "pig", "pigs", "rat", "rats", "imbecile*",
-    "cretin*", "dimwit*", "halfwit*", "jerk*", "creep*", "freak*", "liar*", "coward*", "ignorant", "brainless", "retard*", "bastard*",
-    "damn", "crap", "shit*", "fuck*", "bitch*", "ass", "asshole*", "whore*", "slut*", "kill", "die", "shut up", "dummkopf", "trottel",
-    "arschloch", "abschaum", "widerlich", "imbécile", "connard*", "salaud", "idiota*", "imbécil", "estúpid*", "basura",
+    "idiot*", "moron*", "stupid*", "loser*", "clown*", "scum*", "trash", "pathetic", "worthless", "disgusting", "vermin", "imbecile*",
+    "cretin*", "dimwit*", "halfwit*", "jerk*", "brainless", "retard*", "bastard*", "shit*", "fuck*", "bitch*", "asshole*", "whore*",
+    "slut*", "dummkopf*", "trottel*", "arschloch*", "abschaum", "imbécile*", "connard*", "salaud*", "imbécil*", "estúpid*", "basura",
 )
+#: Beginnings of words, of so many letters, that labelled rows add to the lexicon: at most LEARNED, each found in
+#: toxic rows far more often than chance allows (log-likelihood ratio) and
+#: seldom in others. Those found in others more often are suspects, a feature of their own.
+LETTERS, LEARNED, LEAST_RATIO, SURE, SUSPECT = (3, 8), 300, 22.0, 0.9, 0.4
 SECOND_PERSON = ("you", "your", "yours", "youre", "yourself", "u", "ur", "du", "dich", "dein", "tu", "toi", "vous", "ton", "usted", "ti", "eres")
 _LEET = ("013457@$!|*", "oieastasiio")
-FEATURES = ("lexicon", "lexicon_any", "near_you", "capitals", "shouted", "exclaims", "symbols", "obfuscated", "hidden", "repeats", "words")
+FEATURES = ("lexicon", "learned", "suspects", "suspected", "insults", "near_you", "capitals", "shouted", "exclaims", "symbols", "obfuscated", "hidden", "repeats", "words")
+
+
+def _branches(words: set[str]) -> str:
+    """A pattern of all words (a star: any ending) that branches on one letter at a time."""
+    if "*" in words:
+        return r"\p{L}*"
+    parts = []
+    for c in sorted({w[:1] for w in words}):
+        rest = {w[1:] for w in words if w[:1] == c}
+        parts.append(re.escape(c) + (_branches(rest) if c else ""))
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(sorted(parts, reverse=True)) + ")"
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(w[:-1] + r"\p{L}*" if w.endswith("*") else w for w in words) + r")(?![\p{L}\p{N}])"
+    """The words, each between characters that are no letters or digits."""
+    return r"(?<![\p{L}\p{N}])" + (_branches(set(words)) if words else "(?!)") + r"(?![\p{L}\p{N}])"
 
 
-def features(text: Column) -> dict[str, Column]:
+def features(text: Column, learned: tuple[str, ...] = (), suspects: tuple[str, ...] = ()) -> dict[str, Column]:
     """Densities by word or by character of the whole text."""
     low = F.lower(text)
     chars = F.greatest(F.char_length(text), F.lit(1)).cast("double")
     words = F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("double")
-    hits = F.regexp_count(low, F.lit(_any(LEXICON)))
+    known = F.regexp_count(low, F.lit(_any(LEXICON)))
+    new = F.regexp_count(low, F.lit(_any(learned))) if learned else F.lit(0)
+    maybe = F.regexp_count(low, F.lit(_any(suspects))) if suspects else F.lit(0)
+    disguised = F.regexp_count(text, F.lit(r"\p{L}[@$*#!0-9]+\p{L}"))
     plain = F.regexp_count(F.translate(low, *_LEET), F.lit(_any(LEXICON)))
-    you = _any(SECOND_PERSON)
-    near = F.regexp_count(low, F.lit(rf"{you}(?:[^\p{{L}}]+\p{{L}}+){{0,3}}?[^\p{{L}}]+{_any(LEXICON)}|{_any(LEXICON)}(?:[^\p{{L}}]+\p{{L}}+){{0,3}}?[^\p{{L}}]+{you}"))
+    you, insult = _any(SECOND_PERSON), _any(tuple(sorted({*LEXICON, *learned})))
+    gap = r"(?:[^\p{L}]+\p{L}+){0,3}?[^\p{L}]+"
+    near = F.regexp_count(low, F.lit(f"{you}{gap}{insult}|{insult}{gap}{you}"))
     return {
-        "lexicon": hits / words,
-        "lexicon_any": F.least(hits, F.lit(20)).cast("double"),
-        "near_you": F.when(hits > 0, near / words).otherwise(F.lit(0.0)),
+        "lexicon": known / words,
+        "learned": new / words,
+        "suspects": maybe / words,
+        "suspected": F.least(maybe, F.lit(20)),
+        "insults": F.least(F.greatest(known, new), F.lit(20)),
+        "near_you": F.when(known + new > 0, near / words).otherwise(F.lit(0.0)),
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
         "shouted": F.regexp_count(text, F.lit(r"(?<!\p{L})\p{Lu}{3,}(?!\p{L})")) / words,
         "exclaims": F.regexp_count(text, F.lit(r"[!?]")) / chars,
         "symbols": F.regexp_count(text, F.lit(r"[#$%&*@|]")) / chars,
-        "obfuscated": F.regexp_count(text, F.lit(r"\p{L}[@$*#!0-9]+\p{L}")) / words,
-        "hidden": F.greatest(plain - hits, F.lit(0)) / words,
+        "obfuscated": disguised / words,
+        "hidden": F.when(disguised > 0, F.greatest(plain - known, F.lit(0)) / words).otherwise(F.lit(0.0)),
         "repeats": F.regexp_count(text, F.lit(r"(\p{L})\1\1")) / words,
         "words": F.log1p(words),
     }
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def learn_lexicon(texts: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Beginnings of words that tell toxic rows, sure ones and suspects, from (text, label): LEARNED of each at most."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    begins = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(LETTERS[0]), F.lit(LETTERS[1])), lambda k: F.transform(F.filter(words, lambda w: F.char_length(w) >= k), lambda w: F.substring(w, F.lit(1), k)))))
+    n = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
+    if not n["n"] or not 0 < n["toxic"] < n["n"]:
+        return (), ()
+    counts = texts.select("label", F.explode(begins).alias("w")).groupBy("w").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("c"))
+    total, toxic = float(n["n"]), float(n["toxic"])
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+    a, c = F.col("a"), F.col("c")
+    ratio = 2 * (part(a, c * toxic / total) + part(c - a, c * (1 - toxic / total)) + part(toxic - a, (total - c) * toxic / total) + part(total - c - (toxic - a), (total - c) * (1 - toxic / total)))
+    best = counts.where((a >= SUSPECT * c) & (c >= 4)).select("w", (a >= SURE * c).alias("sure"), ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    best = cut(best, "lexicon")
+    found = [[r["w"] for r in best.where(F.col("sure") == sure).orderBy(F.desc("ratio"), F.length("w"), "w").limit(LEARNED).collect()] for sure in (True, False)]
+    covered = lambda w, words: any(w != v and w.startswith(v) for v in words)
+    return tuple(f"{w}*" for w in found[0] if not covered(w, found[0])), tuple(f"{w}*" for w in found[1] if not covered(w, found[0] + found[1]))
+
+
+def _rows(docs: DataFrame, lexicons: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.select("doc_id", "rid", *[c.cast("double").alias(k) for k, c in features(F.col("text")).items()])
+    return text.select("doc_id", "rid", *[c.cast("double").alias(k) for k, c in features(F.col("text"), *lexicons).items()])
 
 
 def _fit(train: DataFrame):
@@ -85,10 +127,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_rows
     empty text has features 0 and a score. Without labels of both classes every score is the one class
     there is, 0 if none. Repeated rows each return; an empty table gives no rows.
     """
-    rows = cut(_rows(docs), "features")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label")).where(learn)
     n = known.count()
-    kept = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(max(n, 1))) < train_rows)
+    kept = cut(known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(max(n, 1))) < train_rows), "known")  # about train_rows rows: small enough to broadcast
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(kept), "doc_id")
+    rows = cut(_rows(docs, learn_lexicon(texts.select("text", "label"))), "features")
     model = _fit(cut(rows.join(kept, "doc_id").select("doc_id", "label", *FEATURES), "train"))
     return model(rows).select("doc_id", "rid", "score", (F.col("score") >= reject).cast("int").alias("predicted"))
 
