@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op9_fingerprints
 from .packing import op5_packing
 from .jaccard import OP7_SQL, op7_jaccard_join
+from .quality import op8_quality
 from .sharding import op4_sharding
 from .substrings import OP2_SQL, op2_substrings
 from .topk import OP1_SQL, op1_topk
@@ -12,7 +13,7 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op7_jaccard_join": op7_jaccard_join, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    return {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
 
 
 def oracles() -> dict:
