@@ -25,20 +25,22 @@ GRAM = 16
 ROWS_TOGETHER, LEAST_BUCKETS = 1000, 64
 #: An anchor with more occurrences is compared by a distributed count instead of within a bucket.
 HOT = 4096
-#: Windows that one anchor can have are under 2**5: ``at`` holds the first one's start above their number.
-_N_BITS = 5
+#: A row covers under 2**6 windows: ``at`` holds the first one's start above their number.
+_N_BITS = 6
+_MOST = 62
 
 
-def anchors_of(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, start of the first window that it anchors, number of such windows), in order.
+def anchors_of(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, start of the first window that it anchors, number of such windows, occurrences), in order.
 
-    hashes are those of all words; bounds[i]:bounds[i+1] are one text's.
+    hashes are those of all words; bounds[i]:bounds[i+1] are one text's. Neighbouring anchors of one hash, as
+    in text that repeats itself, share a row while it covers _MOST windows at most.
     """
     n = len(hashes) - window + 1
     ends = np.repeat(bounds[1:], np.diff(bounds))
     starts = np.flatnonzero(np.arange(max(n, 0)) + window <= ends[: max(n, 0)])
     if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts
+        return np.zeros(0, np.uint64), starts, starts, starts
     begins = np.arange(len(hashes) - gram + 1)
     g = span_hashes(hashes, begins, begins + gram)
     low, at, width, wide = g, begins, 1, window - gram + 1
@@ -49,28 +51,33 @@ def anchors_of(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -
         low, at = np.where(take, low[right], low[left]), np.where(take, at[right], at[left])
         width += step
     place = at[starts]
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return g[place[first]], starts[first], np.diff(np.append(first, len(starts)))
+    apart = np.concatenate([[True], starts[1:] != starts[:-1] + 1])
+    anchor = apart | np.concatenate([[True], place[1:] != place[:-1]])
+    h = g[place]
+    run = np.flatnonzero(apart | np.concatenate([[True], h[1:] != h[:-1]]))
+    within = np.arange(len(starts)) - np.repeat(run, np.diff(np.append(run, len(starts))))
+    first = np.flatnonzero(within % _MOST == 0)
+    return h[first], starts[first], np.diff(np.append(first, len(starts))), np.maximum(np.add.reduceat(anchor.astype(np.int64), first), 1)
 
 
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches):
+        for batch, data, offsets in steps(batches, "__text"):
             words = Words(data, offsets)
-            h, start, n = anchors_of(words.hashes(), words.bounds, window, gram)
+            h, start, n, times = anchors_of(words.hashes(), words.bounds, window, gram)
             text = np.searchsorted(words.bounds, start, "right") - 1
-            rid = column(batch, "rid").to_numpy()[text]
+            rid = column(batch, "__rid").to_numpy()[text]
             at = (start - words.bounds[text]) << _N_BITS | n
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid), pa.array(at)], names=["h", "rid", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid), pa.array(at), pa.array(times)], names=["h", "rid", "at", "times"])
 
     return run
 
 
-def _requests(window: int, buckets: int):
-    """The window hashes around every shared anchor: (bucket, rid, at, windows); bucket -1 for hot ones."""
+def _requests(window: int, buckets: int, most: int):
+    """The window hashes around every shared anchor: (bucket, rid, at, windows); hot ones in buckets under 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches):
+        for batch, data, offsets in steps(batches, "__text"):
             words = Words(data, offsets)
             shared = column(batch, "shared")
             per_text = np.diff(shared.offsets.to_numpy())
@@ -81,8 +88,8 @@ def _requests(window: int, buckets: int):
             begins = np.cumsum(n) - n
             start = np.repeat((at >> _N_BITS) + words.bounds[text] - begins, n) + np.arange(int(n.sum()))
             spans = span_hashes(words.hashes(), start, start + window)
-            bucket = np.where(c > HOT, -1, (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
-            rid = column(batch, "rid").to_numpy()[text]
+            rid = column(batch, "__rid").to_numpy()[text]
+            bucket = np.where(c > most, -1 - rid % buckets, (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rid), pa.array(at), list_array(spans.view(np.int64), n, pa.int64())], names=["bucket", "rid", "at", "windows"])
 
     return run
@@ -90,6 +97,7 @@ def _requests(window: int, buckets: int):
 
 def _repeated(rows: pa.Table) -> pa.Table:
     """Of one bucket's windows, those that occur twice: (rid, at, mask), bit i for the anchor's i-th window."""
+    rows = rows.filter(pc.greater_equal(rows["bucket"], 0))
     lists = rows["windows"].combine_chunks()
     flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -135,7 +143,7 @@ def _removal(window: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_above: int = HOT) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and removed (maximal repeats as word positions).
 
     A word goes if a window of ``window`` words that covers it starts anywhere else too, in this or any
@@ -144,24 +152,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     empty for null). Repeated rows repeat each other's windows. An empty table gives no rows. Columns of
     docs that have the names of new ones are replaced.
     """
-    if window - gram + 1 >= 1 << _N_BITS or gram < 1 or gram > window:
-        raise ValueError("gram must lie in window - 30 .. window")
-    spark_text = F.coalesce(F.col("text"), F.lit(""))
+    if not window - _MOST < gram <= window or gram < 1:
+        raise ValueError(f"gram must lie in window - {_MOST - 1} .. window")
     names = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed", "removed")]
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), spark_text.alias("text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    rows = kept.withColumns({"__rid": F.xxhash64("doc_id", "text"), "__text": F.coalesce("text", F.lit(""))})
     buckets = max(LEAST_BUCKETS, docs.count() // ROWS_TOGETHER)
-    anchors = texts.mapInArrow(_anchors(window, gram), "h long, rid long, at long")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    seeds = anchors.join(often, "h").groupBy("rid").agg(F.collect_set(F.struct("h", "at", "c")).alias("shared"))
-    asked = texts.join(seeds, "rid").mapInArrow(_requests(window, buckets), "bucket int, rid long, at long, windows array<long>")
-    cold = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeated, "rid long, at long, mask long")
-    each = asked.where("bucket < 0").select("rid", "at", F.posexplode("windows").alias("i", "w"))
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
-    hot = each.join(twice, "w").groupBy("rid", "at").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    marks = cold.unionByName(hot).groupBy("rid").agg(F.collect_set(F.struct("at", "mask")).alias("__marks"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", "text").alias("rid"), spark_text.alias("__text")).join(marks, "rid", "left").drop("rid")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema)
-    return rows.mapInArrow(_removal(window, names), f"{schema}, kept_text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
+    anchors = rows.select("__rid", "__text").mapInArrow(_anchors(window, gram), "h long, rid long, at long, times long")
+    often = anchors.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1")
+    seeds = anchors.join(often, "h").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("h", "at", "c")).alias("shared"))
+    # rows keep all their columns here so that they are shuffled once, for this join and the last
+    asked = rows.join(seeds, "__rid").mapInArrow(_requests(window, buckets, hot_above), "bucket int, rid long, at long, windows array<long>").repartition("bucket")
+    cold = asked.groupBy("bucket").applyInArrow(_repeated, "rid long, at long, mask long")
+    # hot anchors: each distinct list of windows is counted once, as often as it occurs
+    hot = asked.select(F.explode_outer(F.when(F.col("bucket") < 0, F.array(F.struct("rid", "at", "windows")))).alias("x")).where("x is not null").select("x.*")
+    hot = hot.withColumn("key", F.xxhash64("windows"))
+    lists = hot.groupBy("key").agg(F.first("windows").alias("windows"), F.count(F.lit(1)).alias("c")).select("key", "c", F.posexplode("windows").alias("i", "w"))
+    twice = lists.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
+    masks = lists.join(twice, "w").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    marks = cold.unionByName(hot.select("rid", "at", "key").join(masks, "key").drop("key")).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("at", "mask")).alias("__marks"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return rows.join(marks, "__rid", "left").mapInArrow(_removal(window, names), f"{schema}, kept_text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
