@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
 from .fingerprints import op9_fingerprints
-from .packing import op5_packing
 from .jaccard import OP7_SQL, op7_jaccard_join
+from .lm import op6_lm_scores
+from .packing import op5_packing
 from .quality import op8_quality
 from .sharding import op4_sharding
 from .substrings import OP2_SQL, op2_substrings
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op10_toxicity
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _ready(query: Callable) -> Callable:
+    """Let Python workers import this package wherever the session was started."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        places = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in places:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, places)])
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries() -> dict:
-    return {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    return {name: _ready(query) for name, query in named.items()}
 
 
 def oracles() -> dict:
