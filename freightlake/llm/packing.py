@@ -24,8 +24,12 @@ from .common import Words, column, cut, steps, table
 CAPACITY = 2048
 #: Documents to a bucket of remainders.
 ROWS_TOGETHER = 1500
-#: Token ids of words that one task keeps.
-CACHED_WORDS = 400_000
+#: Distinct words that one call encodes, in a row.
+WORDS_TOGETHER = 4096
+#: Words whose token ids a Python worker keeps, for all its tasks.
+CACHED_WORDS = 2_000_000
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 2 << 20
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -104,30 +108,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.known = np.zeros(0, np.uint64)
-        self.begins, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.begins, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known, self.begins, self.counts, self.flat = self.known[:0], self.begins[:0], self.counts[:0], self.flat[:0]
-        counts, flat = [], []
-        for i in range(0, len(words), 8192):
-            for x in self.tokenizer.encode_batch_fast(words[i : i + 8192], add_special_tokens=False):
-                ids = x.ids
-                counts.append(len(ids))
-                flat += ids
-        counts = np.array(counts, np.int64)
+        counts, flat = [np.zeros(0, np.int64)], []
+        for i in range(0, len(words), WORDS_TOGETHER):
+            some = words[i : i + WORDS_TOGETHER]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            first = np.cumsum([0] + [len(w) + 1 for w in some])
+            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            counts.append(np.bincount(np.searchsorted(first, at, "right") - 1, minlength=len(some)))
+            flat += got.ids
+        counts = np.concatenate(counts)
         begins = np.cumsum(counts) - counts + len(self.flat)
-        self.flat = np.concatenate([self.flat, np.array(flat, self.flat.dtype if not flat or max(flat) < 1 << 16 else np.uint32)])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.begins, self.counts = known[order], np.concatenate([self.begins, begins])[order], np.concatenate([self.counts, counts])[order]
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        place = np.searchsorted(self.known, hashes)  # hashes are sorted
+        self.known, self.begins, self.counts = (np.insert(old, place, new) for old, new in ((self.known, hashes), (self.begins, begins), (self.counts, counts)))
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each word has."""
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         distinct, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.known, assume_unique=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if len(self.known) + int(new.sum()) > CACHED_WORDS:
             new[:] = True
         if new.any():
@@ -138,15 +144,24 @@ class WordEncoder:
         counts = self.counts[at][inverse]
         ends = np.cumsum(counts)
         places = np.repeat(self.begins[at][inverse] - (ends - counts), counts) + np.arange(ends[-1])
-        return self.flat[places].astype("<u4"), counts
+        return self.flat[places].astype("<u4", copy=False), counts
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buckets: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, bucket): whole windows have bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, turn = WordEncoder(tokenizer), None
-        for batch, data, offsets in steps(batches):
+        encoder, turn = encoder_of(tokenizer), None
+        for batch, data, offsets in steps(batches, step_bytes=ENCODE_BYTES):
             words = Words(data, offsets)
             ids, counts = encoder.encode(words)
             ends = np.concatenate([[0], np.cumsum(counts)])[words.bounds]
