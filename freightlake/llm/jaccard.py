@@ -6,8 +6,9 @@ plus one sum to more than H, some segment is within its threshold. The larger se
 segments, and in bands of small sets their one-deletion neighbourhoods too; the smaller one probes only the
 cheapest segments that suffice. What meets is verified exactly on the whole texts.
 
-Links are found in two rounds. First every set is verified against the hub that it meets most often. Then
-only pairs of sets that meet and are not yet in one component are verified.
+Links are found in two rounds. First every set is verified against the hub that it meets most often. Sets
+that still meet sets of other components are then dealt into cells by that hub, and all pairs of two cells
+that hold a meeting are verified in one task, so a set's text travels once for many pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, list_array, mix, span_hashes, steps, table
+from .common import Words, column, cut, list_array, mix, span_hashes, steps, table, text_buffers
 from .components import connected_components
 
 SHINGLE = 5
@@ -32,6 +33,8 @@ SMALL = 64
 SPARE = 0.25
 #: Documents to a bucket of signatures, and the fewest buckets; members that one task verifies against a hub.
 ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS = 1000, 64, 256
+#: Sets of a cell, and distinct shingles that one product of a pair of cells counts.
+CELL, COLUMNS = 192, 4096
 _SALT = np.uint64(0xA0761D6478BD642F)
 _DELETED = np.uint64(0xE7037ED1A0B428DB)
 
@@ -192,7 +195,7 @@ def _sign(percent: int, buckets: int):
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """The sets that meet in one bucket: (gid, hub, node, probe), a row for each but the hub."""
+    """The sets that meet in one bucket: (gid, hub, node), a row for each but the hub."""
     sig = rows["sigs"].combine_chunks().flatten().to_numpy().view(np.uint32)
     node, probe, sig = rows["nodes"].combine_chunks().flatten().to_numpy(), (sig & 1).astype(bool), sig >> 1
     order = np.lexsort((~probe, node, sig))
@@ -208,7 +211,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     hub = np.repeat(node[begins], counts) if len(sig) else node
     live[begins] = False
     gid = (np.int64(rows["bucket"][0].as_py()) << 32 if len(sig) else 0) | sig[live].astype(np.int64)
-    return pa.table({"gid": gid, "hub": hub[live], "node": node[live], "probe": probe[live]})
+    return pa.table({"gid": gid, "hub": hub[live], "node": node[live]})
 
 
 def _verify(percent: int):
@@ -244,6 +247,54 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.select("hub", "node", "text").mapInArrow(_verify(percent), "u long, v long")
 
 
+def _verify_cells(percent: int):
+    """Of two cells' rows (node, component, text): a link for each two components that have one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        data, offsets = text_buffers(rows["text"])
+        shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
+        node, component, n = rows["node"].to_numpy(), rows["component"].to_numpy(), np.diff(bounds)
+        _, token, times = np.unique(shingles, return_inverse=True, return_counts=True)
+        common = np.cumsum(times > 1) - 1
+        keep = times[token] > 1
+        owner, token = np.repeat(np.arange(len(n)), n)[keep], common[token[keep]]
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        both = np.zeros((len(n), len(n)), np.float32)
+        for begin in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+            part = slice(*np.searchsorted(token, (begin, begin + COLUMNS)))
+            has = np.zeros((len(n), COLUMNS), np.float32)
+            has[owner[part], token[part] - begin] = 1
+            both += has @ has.T
+        whole = both.astype(np.int64)
+        i, j = np.nonzero((100 * whole >= percent * (n[:, None] + n[None, :] - whole)) & (component[:, None] < component[None, :]))
+        _, one = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
+        return pa.table({"u": node[i[one]], "v": node[j[one]]})
+
+    return run
+
+
+def across_components(met: DataFrame, first: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between sets that meet and have different labels: one at least for every two labels that link."""
+    ends = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    known = met.select("gid", "hub", "node").join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
+    mixed = known.where("node_c <> hub_c").select("gid").distinct()
+    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c"), "apart")
+    members = apart.select("gid", "node", F.col("node_c").alias("component")).unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("component")).distinct())
+    # cells: the sets of one hub, in parts
+    nodes = members.select("node", "component").distinct().join(first, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    parts = nodes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
+    nodes = cut(nodes.join(parts, "hub").select("node", "component", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("cell")), "cells")
+    seen = members.select("gid", "node").join(nodes, "node").groupBy("gid", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    a, b = seen.alias("a"), seen.alias("b")
+    differ = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
+    pairs = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.cell") <= F.col("b.cell")) & differ).select(F.col("a.cell").alias("x"), F.col("b.cell").alias("y")).distinct()
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell"))
+    rows = sides.join(nodes, "cell").join(texts, "node").select("x", "y", "node", "component", "text")
+    return rows.groupBy("x", "y").applyInArrow(_verify_cells(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links): every row's doc_id, rid, n_shingles and node (its set's number), and linked nodes (u, v).
 
@@ -253,47 +304,52 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     sketches = cut(texts.mapInArrow(_sketch, "doc_id long, rid long, n long, node long"), "sketches")
     buckets = max(LEAST_BUCKETS, sketches.count() // ROWS_TOGETHER)
     signed = texts.select("text").mapInArrow(_sign(percent, buckets), "bucket int, sigs array<int>, nodes array<long>")
-    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long, probe boolean"), "met")
+    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long"), "met")
     there = met.select("node").distinct().unionByName(met.select(F.col("hub").alias("node")).distinct()).distinct()
     chosen = sketches.where("n > 0").join(there, "node").groupBy("node").agg(F.min("rid").alias("rid"))
     whole = cut(texts.join(chosen, "rid").groupBy("rid", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
     often = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    first = often.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("hub", "node")
+    first = cut(often.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("hub", "node"), "hubs")
     links = cut(verified(first, whole, percent), "first")
-    # what meets across components, and was not verified, is verified now
-    label = connected_components(links)
-    ends = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    known = met.join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
-    mixed = known.where("node_c <> hub_c").select("gid").distinct()
-    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "probe", "node_c", "hub_c"), "apart")
-    members = apart.select("gid", "node", "node_c", "probe").unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("node_c"), F.lit(True).alias("probe")).distinct())
-    a, b = members.where("probe").alias("a"), members.alias("b")
-    across = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.node_c") != F.col("b.node_c")) & (~F.col("b.probe") | (F.col("a.node") < F.col("b.node"))))
-    pairs = across.select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")).distinct()
-    done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    more = verified(pairs.join(done, ["hub", "node"], "left_anti"), whole, percent)
+    more = across_components(met, first, connected_components(links), whole, percent)
     return sketches.withColumnRenamed("n", "n_shingles"), cut(links.unionByName(more), "links")
 
 
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    members, links = near_duplicates(docs, percent)
+    label = connected_components(links)
+    return members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def with_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Every row's doc_id, rid, n_shingles and component_id, the smallest doc_id reachable by links.
+    """Every row's doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
     Letters A-Z count as a-z. Equal texts, and different texts of equal sets, link. Rows without words have no
-    shingles and only themselves; so a null id without words has a null component. Null ids are smaller
-    than none: a component has the smallest id that is not null. Repeated rows each return. Nodes and
-    shingles are told apart by 64-bit hashes.
+    shingles and only themselves; so a null id without words has a null component. A component has its
+    smallest id that is not null. Repeated rows each return; an empty table gives no rows. Sets and shingles
+    are told apart by 64-bit hashes.
     """
-    members, links = near_duplicates(docs, percent)
-    label = connected_components(links)
-    rows = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = _labelled(docs, percent)
     names = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     rows = rows.join(names, "component", "left")
-    return rows.select("doc_id", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (nulls last); rows without words all stay."""
+    rows = _labelled(docs, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    chosen = rows.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.rid").alias("__rid"), F.lit(True).alias("__one"))
+    wordless = rows.where("n_shingles = 0").select(F.col("rid").alias("__rid"), F.lit(False).alias("__one")).distinct()
+    kept = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(chosen.unionByName(wordless), "__rid")
+    # of equal rows one stays
+    first = F.row_number().over(Window.partitionBy("__rid").orderBy("__one"))
+    return kept.withColumn("__n", first).where(~F.col("__one") | (F.col("__n") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.8."""
-    return with_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return with_components(table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = r"""

@@ -144,13 +144,13 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 8) -> Network:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, accept: float = ACCEPT) -> DataFrame:
-    """(doc_id, rid, score, predicted) for every row of docs; rid is the row's own hash.
+    """``docs`` (doc_id, text and any other columns) with score and predicted.
 
     The network learns ``labels.quality`` from labelled rows where ``learn`` (over doc_id) holds: about
     train_rows at most, with texts of TRAIN_BYTES at most. Scores cover whole texts. Null labels are none;
     of several labels for an id the smallest counts. A null text is empty, and an empty text is one chunk of
     padding. Without labels of both classes every score is the one class there is, 1 if none. Repeated rows
-    each return; an empty table gives no rows.
+    each return; an empty table gives no rows. Columns of docs named score or predicted are replaced.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).where(learn)
     n = known.count()
@@ -161,18 +161,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows:
     net = train(sample["text"], y) if 0 < y.sum() < len(y) else None
     constant = float(y[0]) if len(y) else 1.0
 
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for batch, data, offsets in steps(batches):
             score = score_texts(net, tables, data, offsets) if net else np.full(batch.num_rows, constant)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rid"), pa.array(score)], names=["doc_id", "rid", "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(score)], names=[*names, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, rid long, score double")
-    return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; a null id is not held out."""
-    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -97,43 +97,48 @@ def learn_lexicon(texts: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(f"{w}*" for w in found[0] if not covered(w, found[0])), tuple(f"{w}*" for w in found[1] if not covered(w, found[0] + found[1]))
 
 
-def _rows(docs: DataFrame, lexicons: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.select("doc_id", "rid", *[c.cast("double").alias(k) for k, c in features(F.col("text"), *lexicons).items()])
+def _with_features(rows: DataFrame, lexicons: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
+    return rows.withColumns({f"__{k}": c.cast("double") for k, c in features(F.coalesce("text", F.lit("")), *lexicons).items()})
 
 
 def _fit(train: DataFrame):
-    """A function that adds ``score`` to feature rows, from rows that have ``label`` too."""
+    """A function that adds ``__score`` to rows with features, from rows that have ``__label`` too."""
     held = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
     parts = {"trees": train.where(~held), "scale": train.where(held)}
-    classes = lambda t: [r["label"] for r in t.select("label").distinct().collect()]  # noqa: E731  two at most
+    classes = lambda t: [r["__label"] for r in t.select("__label").distinct().collect()]  # noqa: E731  two at most
     found = {k: classes(t) for k, t in parts.items()}
     if len(both := set(found["trees"]) | set(found["scale"])) < 2:
         constant = float(both.pop()) if both else 0.0
-        return lambda rows: rows.withColumn("score", F.lit(constant))
+        return lambda rows: rows.withColumn("__score", F.lit(constant))
     parts = parts if min(map(len, found.values())) == 2 else {"trees": train, "scale": train}
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=3, stepSize=0.25, seed=10).fit(vector.transform(parts["trees"]).select("features", "label"))
-    raw = lambda rows: trees.transform(vector.transform(rows)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    scale = IsotonicRegression(labelCol="label", featuresCol="p", predictionCol="score").fit(raw(parts["scale"]).select("p", "label"))
-    return lambda rows: scale.transform(raw(rows)).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).drop("p")
+    vector = VectorAssembler(inputCols=[f"__{k}" for k in FEATURES], outputCol="__vector")
+    trees = GBTClassifier(labelCol="__label", featuresCol="__vector", maxIter=20, maxDepth=3, stepSize=0.25, seed=10)
+    trees = trees.setPredictionCol("__class").setRawPredictionCol("__raw").setProbabilityCol("__probability")
+    trees = trees.fit(vector.transform(parts["trees"]).select("__vector", "__label"))
+    raw = lambda rows: trees.transform(vector.transform(rows)).withColumn("__p", vector_to_array("__probability")[1])
+    scale = IsotonicRegression(labelCol="__label", featuresCol="__p", predictionCol="__scaled").fit(raw(parts["scale"]).select("__p", "__label"))
+    return lambda rows: scale.transform(raw(rows)).withColumn("__score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__scaled")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, reject: float = REJECT) -> DataFrame:
-    """(doc_id, rid, score, predicted) for every row of docs; rid is the row's own hash.
+    """``docs`` (doc_id, text and any other columns) with score and predicted.
 
     The model learns ``labels.toxic`` from labelled rows where ``learn`` (over doc_id) holds, at most about
     train_rows of them. Null labels are none; of several labels for an id the largest counts. A null or
     empty text has features 0 and a score. Without labels of both classes every score is the one class
-    there is, 0 if none. Repeated rows each return; an empty table gives no rows.
+    there is, 0 if none. Repeated rows each return; an empty table gives no rows. Columns of docs named
+    score or predicted are replaced.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label")).where(learn)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__label")).where(learn)
     n = known.count()
     kept = cut(known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(max(n, 1))) < train_rows), "known")  # about train_rows rows: small enough to broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(kept), "doc_id")
-    rows = cut(_rows(docs, learn_lexicon(texts.select("text", "label"))), "features")
-    model = _fit(cut(rows.join(kept, "doc_id").select("doc_id", "label", *FEATURES), "train"))
-    return model(rows).select("doc_id", "rid", "score", (F.col("score") >= reject).cast("int").alias("predicted"))
+    lexicons = learn_lexicon(texts.select("text", F.col("__label").alias("label")))
+    names = [f"__{k}" for k in FEATURES]
+    model = _fit(cut(_with_features(texts, lexicons).select("doc_id", "__label", *names), "train"))
+    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    scored = model(_with_features(docs.select(*[F.col(f"`{c}`") for c in columns]), lexicons))
+    return scored.select(*[F.col(f"`{c}`") for c in columns], F.col("__score").alias("score"), (F.col("__score") >= reject).cast("int").alias("predicted"))
 
 
 def fold(mod: int) -> Column:
@@ -142,5 +147,6 @@ def fold(mod: int) -> Column:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; a null id is not held out."""
-    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) != 1)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
