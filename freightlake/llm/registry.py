@@ -11,6 +11,7 @@ from .fingerprints import op9_fingerprints
 from .jaccard import OP7_SQL, op7_jaccard_join
 from .lm import op6_lm_scores
 from .packing import op5_packing
+from .pieces import op3_sentencepiece
 from .quality import op8_quality
 from .sharding import op4_sharding
 from .substrings import OP2_SQL, op2_substrings
@@ -34,7 +35,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict:
-    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op5_packing": op5_packing, "op4_sharding": op4_sharding, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
     import corpus_pipeline
 
     named["pipeline"] = corpus_pipeline.run
