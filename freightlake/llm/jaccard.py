@@ -6,9 +6,8 @@ plus one sum to more than H, some segment is within its threshold. The larger se
 segments, and in bands of small sets their one-deletion neighbourhoods too; the smaller one probes only the
 cheapest segments that suffice. What meets is verified exactly on the whole texts.
 
-Links are found in two rounds. First every set is verified against the hub that it meets most often. Sets
-that still meet sets of other components are then dealt into cells by that hub, and all pairs of two cells
-that hold a meeting are verified in one task, so a set's text travels once for many pairs.
+Links are found in two rounds. First every set is verified against the hub that it meets most often. Then
+only pairs of sets that meet, have sizes that may link and are not yet in one component are verified.
 """
 
 from __future__ import annotations
@@ -21,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, list_array, mix, span_hashes, steps, table, text_buffers
+from .common import Words, column, cut, list_array, mix, span_hashes, steps, table
 from .components import connected_components
 
 SHINGLE = 5
 #: Each band of set sizes is so many times as wide as the one before.
 BAND = 1.5
-#: Bands of sets under this size index one-deletion neighbourhoods.
-SMALL = 64
+#: Bands of sets up to this size have half as many segments and index one-deletion neighbourhoods.
+SMALL = 96
 #: Segments beyond those needed, as a share, in the other bands: room to leave out costly ones.
 SPARE = 0.25
 #: Documents to a bucket of signatures, and the fewest buckets; members that one task verifies against a hub.
-ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS = 1000, 64, 256
-#: Sets of a cell, and distinct shingles that one product of a pair of cells counts.
-CELL, COLUMNS = 192, 4096
+ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS = 4000, 64, 256
+#: Bytes of text that are signed together.
+SIGN_BYTES = 4 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 _DELETED = np.uint64(0xE7037ED1A0B428DB)
 
@@ -78,7 +77,7 @@ def bands(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.
     low = np.array(low)
     need = most_apart(low[1:] - 1, percent) + 1
     small = low[1:] <= SMALL
-    return low, np.where(small, need, need + np.ceil(SPARE * need).astype(np.int64)), small
+    return low, np.where(small, need // 2 + 1, need + np.ceil(SPARE * need).astype(np.int64)), small
 
 
 def allocate(cost0: list[float], cost1: list[float], need: int) -> list[int]:
@@ -174,11 +173,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(percent: int, buckets: int):
-    """Signatures, packed by bucket: (bucket, sigs, nodes), the lowest bit of a signature telling probes."""
+    """Signatures, packed by bucket: (bucket, sigs, times, nodes), each node once with how many signatures follow for it.
+
+    The lowest bit of a signature tells probes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(percent)
-        for _, data, offsets in steps(batches):
+        for _, data, offsets in steps(batches, step_bytes=SIGN_BYTES):
             shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
             nodes = node_ids(shingles, bounds)
             _, once = np.unique(nodes, return_index=True)  # equal sets sign once
@@ -186,18 +188,23 @@ def _sign(percent: int, buckets: int):
             inner = np.repeat(bounds[:-1][once] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             sig, place, probe = signatures.of(shingles[inner], np.concatenate([[0], np.cumsum(size)]))
             bucket = (sig % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            short = ((sig >> np.uint64(32)) & np.uint64(0xFFFFFFFE) | probe.astype(np.uint64)).astype(np.uint32).view(np.int32)
+            order = np.lexsort((place, bucket))
+            bucket, place = bucket[order], place[order]
+            short = ((sig >> np.uint64(32)) & np.uint64(0xFFFFFFFE) | probe.astype(np.uint64)).astype(np.uint32).view(np.int32)[order]
+            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])])) if len(order) else np.zeros(0, np.int64)
             present, counts = np.unique(bucket, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(present), list_array(short[order], counts, pa.int32()), list_array(nodes[once][place][order], counts, pa.int64())], names=["bucket", "sigs", "nodes"])
+            sets = np.unique(bucket[first], return_counts=True)[1]
+            times = np.diff(np.append(first, len(order))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(present), list_array(short, counts, pa.int32()), list_array(times, sets, pa.int32()), list_array(nodes[once][place[first]], sets, pa.int64())], names=["bucket", "sigs", "times", "nodes"])
 
     return run
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """The sets that meet in one bucket: (gid, hub, node), a row for each but the hub."""
+    """The sets that meet in one bucket: (gid, hub, node, probe), a row for each but the hub."""
     sig = rows["sigs"].combine_chunks().flatten().to_numpy().view(np.uint32)
-    node, probe, sig = rows["nodes"].combine_chunks().flatten().to_numpy(), (sig & 1).astype(bool), sig >> 1
+    node = np.repeat(*(rows[k].combine_chunks().flatten().to_numpy() for k in ("nodes", "times")))
+    probe, sig = (sig & 1).astype(bool), sig >> 1
     order = np.lexsort((~probe, node, sig))
     sig, node, probe = sig[order], node[order], probe[order]
     new = np.ones(len(sig), bool)
@@ -211,7 +218,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     hub = np.repeat(node[begins], counts) if len(sig) else node
     live[begins] = False
     gid = (np.int64(rows["bucket"][0].as_py()) << 32 if len(sig) else 0) | sig[live].astype(np.int64)
-    return pa.table({"gid": gid, "hub": hub[live], "node": node[live]})
+    return pa.table({"gid": gid, "hub": hub[live], "node": node[live], "probe": probe[live]})
 
 
 def _verify(percent: int):
@@ -247,52 +254,19 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.select("hub", "node", "text").mapInArrow(_verify(percent), "u long, v long")
 
 
-def _verify_cells(percent: int):
-    """Of two cells' rows (node, component, text): a link for each two components that have one."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
-        data, offsets = text_buffers(rows["text"])
-        shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
-        node, component, n = rows["node"].to_numpy(), rows["component"].to_numpy(), np.diff(bounds)
-        _, token, times = np.unique(shingles, return_inverse=True, return_counts=True)
-        common = np.cumsum(times > 1) - 1
-        keep = times[token] > 1
-        owner, token = np.repeat(np.arange(len(n)), n)[keep], common[token[keep]]
-        order = np.argsort(token, kind="stable")
-        owner, token = owner[order], token[order]
-        both = np.zeros((len(n), len(n)), np.float32)
-        for begin in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
-            part = slice(*np.searchsorted(token, (begin, begin + COLUMNS)))
-            has = np.zeros((len(n), COLUMNS), np.float32)
-            has[owner[part], token[part] - begin] = 1
-            both += has @ has.T
-        whole = both.astype(np.int64)
-        i, j = np.nonzero((100 * whole >= percent * (n[:, None] + n[None, :] - whole)) & (component[:, None] < component[None, :]))
-        _, one = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
-        return pa.table({"u": node[i[one]], "v": node[j[one]]})
-
-    return run
-
-
-def across_components(met: DataFrame, first: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between sets that meet and have different labels: one at least for every two labels that link."""
+def across_components(met: DataFrame, sizes: DataFrame, done: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between sets that meet, have different labels and sizes that may link, and were not verified (done)."""
     ends = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    known = met.select("gid", "hub", "node").join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
+    known = met.join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
     mixed = known.where("node_c <> hub_c").select("gid").distinct()
-    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c"), "apart")
-    members = apart.select("gid", "node", F.col("node_c").alias("component")).unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("component")).distinct())
-    # cells: the sets of one hub, in parts
-    nodes = members.select("node", "component").distinct().join(first, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
-    parts = nodes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    nodes = cut(nodes.join(parts, "hub").select("node", "component", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("cell")), "cells")
-    seen = members.select("gid", "node").join(nodes, "node").groupBy("gid", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    a, b = seen.alias("a"), seen.alias("b")
-    differ = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
-    pairs = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.cell") <= F.col("b.cell")) & differ).select(F.col("a.cell").alias("x"), F.col("b.cell").alias("y")).distinct()
-    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell"))
-    rows = sides.join(nodes, "cell").join(texts, "node").select("x", "y", "node", "component", "text")
-    return rows.groupBy("x", "y").applyInArrow(_verify_cells(percent), "u long, v long")
+    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c", "probe"), "apart")
+    members = apart.select("gid", "node", F.col("node_c").alias("c"), "probe").unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("c"), F.lit(True).alias("probe")).distinct())
+    members = members.join(sizes, "node")
+    a, b = members.where("probe").alias("a"), members.alias("b")  # the smaller set probes
+    meet = (F.col("a.gid") == F.col("b.gid")) & (F.col("a.c") != F.col("b.c")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (~F.col("b.probe") | (F.col("a.node") < F.col("b.node")))))
+    pairs = a.join(b, meet & (100 * F.col("a.n") >= percent * F.col("b.n"))).select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")).distinct()
+    was = done.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    return verified(pairs.join(was, ["hub", "node"], "left_anti"), texts, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -303,15 +277,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
     sketches = cut(texts.mapInArrow(_sketch, "doc_id long, rid long, n long, node long"), "sketches")
     buckets = max(LEAST_BUCKETS, sketches.count() // ROWS_TOGETHER)
-    signed = texts.select("text").mapInArrow(_sign(percent, buckets), "bucket int, sigs array<int>, nodes array<long>")
-    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long"), "met")
+    signed = texts.select("text").mapInArrow(_sign(percent, buckets), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
+    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long, probe boolean"), "met")
     there = met.select("node").distinct().unionByName(met.select(F.col("hub").alias("node")).distinct()).distinct()
     chosen = sketches.where("n > 0").join(there, "node").groupBy("node").agg(F.min("rid").alias("rid"))
     whole = cut(texts.join(chosen, "rid").groupBy("rid", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
     often = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
     first = cut(often.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("hub", "node"), "hubs")
     links = cut(verified(first, whole, percent), "first")
-    more = across_components(met, first, connected_components(links), whole, percent)
+    sizes = sketches.where("n > 0").select("node", "n").distinct()
+    more = across_components(met, sizes, first, connected_components(links), whole, percent)
     return sketches.withColumnRenamed("n", "n_shingles"), cut(links.unionByName(more), "links")
 
 
