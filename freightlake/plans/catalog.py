@@ -5,6 +5,499 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freightlake.functions import scalars
+from freightlake.operators import commercial, contracts, features, finance, headers, kpi, lineage, marts, profile, quality, standardize
+from freightlake.session import scratch_dir
+from freightlake.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def texts(orders: DataFrame) -> DataFrame:
+    """Orders as a raw file would have them."""
+    return orders.select(
+        F.col("o_orderkey").cast("string").alias("Order ID"), F.col("o_custkey").cast("string").alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Created-At"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("note"),
+    )
+
+
+NAMES = headers.NameMap(
+    {"order_id": ("order id", "o_orderkey"), "customer_id": ("customer", "o_custkey"), "created_at": ("created at", "o_orderdate"), "total": ("amount", "o_totalprice"), "status": ("o_orderstatus",)},
+    critical=("order_id", "customer_id", "created_at"),
+)
+CONTRACT = contracts.Contract.from_json_schema(
+    {"title": "Orders", "type": "object", "required": ["order_id", "customer_id"], "properties": {"order_id": {"type": "integer"}, "customer_id": {"type": "integer"}, "created_at": {"type": "string", "format": "date"}, "total": {"type": "number", "x-scale": 2}, "status": {"type": "string"}}}
+)
+_RAW = "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, o_orderstatus AS status FROM orders"
+
+
+def damaged(orders: DataFrame) -> DataFrame:
+    """Orders as text with some values that no contract takes: by rule, of every row whose key has a certain remainder."""
+    raw = headers.map_headers(texts(orders), NAMES, keep=("note",)).withColumn("k", F.col("order_id").cast("long"))
+    return raw.withColumns({
+        "total": F.when(F.col("k") % 7 == 0, F.lit("n/a")).otherwise(F.col("total")),
+        "customer_id": F.when(F.col("k") % 11 == 0, F.lit(" ")).otherwise(F.col("customer_id")),
+    }).drop("k")
+
+
+# 2.1 sources and sinks
+
+
+@query(_RAW)
+def csv_scan(spark, d):
+    raw, place = texts(t(spark, d, "orders")), scratch_dir(spark)
+    odd = F.col("Order ID").cast("long") % 2 == 1
+    raw.where(odd).write.option("header", True).csv(f"{place}/a")
+    raw.where(~odd).select(*reversed(raw.columns)).write.option("header", True).csv(f"{place}/b")
+    return headers.map_headers(files.csv_scan(spark, [f"{place}/a/*.csv", f"{place}/b/*.csv"]), NAMES)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, 'run-1' AS run_id FROM orders")
+def write_raw_read_stage(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    root = scratch_dir(spark)
+    files.write_raw(rows.limit(0), root, "007")
+    return files.read_stage(spark, files.write_raw(rows, root, "run-1"), "run-1")
+
+
+@query("SELECT o_orderkey, o_orderstatus, '007' AS run_id FROM orders WHERE o_orderstatus = 'F'")
+def write_clean_read_stage(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    root = scratch_dir(spark)
+    path = files.write_clean(rows, root, "008")
+    files.write_clean(rows.where("o_orderstatus = 'F'"), root, "007")
+    return files.read_stage(spark, path, "007")
+
+
+# 2.2 headers
+
+
+@query(_RAW)
+def map_headers(spark, d):
+    return headers.map_headers(texts(t(spark, d, "orders")), NAMES)
+
+
+@query(
+    "SELECT status AS source_file, c AS \"column\", true AS present, count(*) AS rows, count(*) - count(*) FILTER (WHERE c = 'customer_id' AND k % 11 = 0) AS filled, (count(*) - count(*) FILTER (WHERE c = 'customer_id' AND k % 11 = 0)) / count(*) AS fill_rate FROM (SELECT o_orderstatus AS status, o_orderkey AS k, unnest(['order_id', 'customer_id', 'created_at']) AS c FROM orders) GROUP BY ALL"
+)
+def critical_column_report(spark, d):
+    rows = damaged(t(spark, d, "orders")).withColumn("source", F.col("status"))
+    return headers.critical_column_report(rows, NAMES, "source")
+
+
+@query("SELECT 'note' AS header, count(*) AS rows, count(o_orderpriority) AS non_null, min(o_orderpriority) AS least, max(o_orderpriority) AS largest FROM orders")
+def unmapped_header_report(spark, d):
+    return headers.unmapped_header_report(texts(t(spark, d, "orders")), NAMES)
+
+
+# 2.3 contracts
+
+_DAMAGED = "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE CAST(o_custkey AS VARCHAR) END AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total, o_orderstatus AS status, o_orderpriority AS note FROM orders"
+
+
+@query(f"SELECT TRY_CAST(order_id AS BIGINT) AS order_id, TRY_CAST(customer_id AS BIGINT) AS customer_id, TRY_CAST(created_at AS DATE) AS created_at, CAST(TRY_CAST(total AS DECIMAL(18,2)) AS DOUBLE) AS total, status FROM ({_DAMAGED})")
+def conform(spark, d):
+    return contracts.conform(damaged(t(spark, d, "orders")), CONTRACT).withColumn("total", F.col("total").cast("double"))
+
+
+@query(
+    f"WITH x AS ({_DAMAGED}) SELECT order_id AS key, 'total' AS \"column\", 'cast' AS reason, total AS value FROM x WHERE TRY_CAST(total AS DECIMAL(18,2)) IS NULL UNION ALL SELECT order_id, 'customer_id', 'required', customer_id FROM x WHERE trim(customer_id) = '' UNION ALL SELECT NULL, 'note', 'extra', NULL"
+)
+def contract_violations(spark, d):
+    return contracts.contract_violations(damaged(t(spark, d, "orders")), CONTRACT, "order_id")
+
+
+@query(
+    f"WITH x AS ({_DAMAGED}) SELECT order_id, CASE WHEN trim(customer_id) = '' THEN CASE WHEN total = 'n/a' THEN 'customer_id:required,total:cast' ELSE 'customer_id:required' END WHEN total = 'n/a' THEN 'total:cast' ELSE '' END AS reasons, total <> 'n/a' AND trim(customer_id) <> '' AS accepted FROM x"
+)
+def quarantine(spark, d):
+    good, bad = contracts.quarantine(damaged(t(spark, d, "orders")), CONTRACT)
+    good = good.select("order_id", F.lit("").alias("reasons"), F.lit(True).alias("accepted"))
+    return good.unionByName(bad.select("order_id", F.array_join("reasons", ",").alias("reasons"), F.lit(False).alias("accepted")))
+
+
+# 2.4 quality
+
+
+def _report_sql(rule: str, column: str, checked: str, failed: str, source: str, severity: str = "error", threshold: float = 1.0) -> str:
+    return f"""SELECT '{rule}' AS rule, '{column}' AS "column", checked, failed, CASE WHEN checked > 0 THEN 1 - failed / checked ELSE 1.0 END AS pass_rate, '{severity}' AS severity, CASE WHEN (CASE WHEN checked > 0 THEN 1 - failed / checked ELSE 1.0 END) < {threshold} THEN 'fail' ELSE 'pass' END AS status FROM (SELECT CAST({checked} AS BIGINT) AS checked, CAST({failed} AS BIGINT) AS failed FROM {source})"""
+
+
+_POLICY = " UNION ALL ".join([
+    _report_sql("not_null", "o_orderkey", "count(*)", "count(*) FILTER (WHERE o_orderkey IS NULL)", "orders"),
+    _report_sql("accepted_values", "o_orderstatus", "count(o_orderstatus)", "count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O'))", "orders", "error", 0.99),
+    _report_sql("range", "o_totalprice", "count(o_totalprice)", "count(*) FILTER (WHERE o_totalprice NOT BETWEEN 1000 AND 400000)", "orders", "warn", 0.5),
+    _report_sql("pattern", "o_orderpriority", "count(o_orderpriority)", "count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-'))", "orders", "warn", 0.9),
+])
+_UNIQUE = _report_sql("unique", "l_orderkey,l_linenumber", "sum(n)", "sum(n - 1)", "(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+_ORDERING = _report_sql("ordering", "o_orderdate<=l_shipdate", "count(*)", "count(*) FILTER (WHERE l_shipdate < o_orderdate)", "lineitem JOIN orders ON l_orderkey = o_orderkey")
+_FOREIGN = _report_sql("foreign_key", "o_orderkey", "count(o_orderkey)", "count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))", "orders")
+_IQR = _report_sql("iqr_outlier", "value", "count(*)", "count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))", "events JOIN (SELECT event_type AS e, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.75), 4) AS q3 FROM events GROUP BY 1) ON e = event_type", "warn", 0.9)
+
+
+def _rules():
+    return [
+        quality.not_null("o_orderkey"), quality.accepted_values("o_orderstatus", ["F", "O"], threshold=0.99),
+        quality.in_range("o_totalprice", 1000, 400000, severity="warn", threshold=0.5), quality.pattern("o_orderpriority", "^[1-4]-", severity="warn", threshold=0.9),
+    ]
+
+
+@query(_POLICY)
+def evaluate_policy(spark, d):
+    return quality.evaluate_policy(t(spark, d, "orders"), _rules())
+
+
+@query(_report_sql("not_null", "o_orderkey", "count(*)", "count(*) FILTER (WHERE o_orderkey IS NULL)", "orders"))
+def rule_not_null(spark, d):
+    return quality.evaluate_policy(t(spark, d, "orders"), [_rules()[0]])
+
+
+@query(_UNIQUE)
+def rule_unique(spark, d):
+    return quality.unique_key(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(_report_sql("accepted_values", "o_orderstatus", "count(o_orderstatus)", "count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O'))", "orders", "error", 0.99))
+def rule_accepted_values(spark, d):
+    return quality.evaluate_policy(t(spark, d, "orders"), [_rules()[1]])
+
+
+@query(_report_sql("range", "o_totalprice", "count(o_totalprice)", "count(*) FILTER (WHERE o_totalprice NOT BETWEEN 1000 AND 400000)", "orders", "warn", 0.5))
+def rule_range(spark, d):
+    return quality.evaluate_policy(t(spark, d, "orders"), [_rules()[2]])
+
+
+@query(_report_sql("pattern", "o_orderpriority", "count(o_orderpriority)", "count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-'))", "orders", "warn", 0.9))
+def rule_pattern(spark, d):
+    return quality.evaluate_policy(t(spark, d, "orders"), [_rules()[3]])
+
+
+@query(_ORDERING)
+def rule_ordering(spark, d):
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return quality.evaluate_policy(lines, [quality.ordering("o_orderdate", "l_shipdate")])
+
+
+@query(_FOREIGN)
+def rule_foreign_key(spark, d):
+    return quality.foreign_key(t(spark, d, "orders"), t(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
+
+
+@query(_IQR)
+def rule_iqr_outlier(spark, d):
+    return quality.iqr_outlier(t(spark, d, "events"), "value", "event_type")
+
+
+@query(" UNION ALL ".join([_POLICY, _UNIQUE, _ORDERING, _FOREIGN, _IQR]))
+def quality_report(spark, d):
+    return quality.quality_report([evaluate_policy(spark, d), rule_unique(spark, d), rule_ordering(spark, d), rule_foreign_key(spark, d), rule_iqr_outlier(spark, d)])
+
+
+@query(_POLICY)
+def write_report(spark, d):
+    path = files.write_report(evaluate_policy(spark, d), f"{scratch_dir(spark)}/quality_report.json")
+    return spark.read.schema(quality.REPORT).json(path)
+
+
+# 2.5 profiles
+
+
+def _numeric_sql(c: str, source: str) -> str:
+    return f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\", CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS largest, round(CAST(sum(CAST({c} AS DECIMAL(28,6))) AS DOUBLE) / count({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3 FROM {source}"
+
+
+@query(_numeric_sql("o_totalprice", "orders"))
+def profile_numeric(spark, d):
+    return profile.profile_numeric(t(spark, d, "orders"), ["o_totalprice"])
+
+
+@query(
+    "WITH v AS (SELECT 'p_brand' AS c, p_brand AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part), n AS (SELECT c, v, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k, sum(n) OVER (PARTITION BY c) AS s FROM n) SELECT c AS \"column\", CAST(k AS INTEGER) AS rank, v AS value, n, n / s AS share FROM r WHERE k <= 5"
+)
+def profile_categorical(spark, d):
+    return profile.profile_categorical(t(spark, d, "part"), ["p_brand", "p_type"])
+
+
+@query("SELECT CAST(CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 11 ELSE floor(o_totalprice / 50000) + 1 END AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")
+def histogram(spark, d):
+    return profile.histogram(t(spark, d, "orders"), "o_totalprice", 0, 500000, 10)
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))))
+def correlation(spark, d):
+    return profile.correlation(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+# 2.6 standardisation
+
+
+@query(r"SELECT doc_id, trim(lower(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS text FROM documents")
+def normalize_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", scalars.normalize_text(F.col("text")).alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def parse_timestamp(spark, d):
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(key % 2 == 0, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    return t(spark, d, "orders").select("o_orderkey", F.to_date(scalars.parse_timestamp(text, ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy"])).alias("day"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS total FROM orders")
+def parse_number(spark, d):
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("x")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)))
+    return t(spark, d, "orders").select("o_orderkey", scalars.parse_number(text).cast("double").alias("total"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'fulfilled' WHEN 'O' THEN 'open' ELSE 'UNKNOWN' END AS status_name FROM orders")
+def map_codes(spark, d):
+    lookup = spark.createDataFrame([("F", "fulfilled"), ("O", "open")], "code string, name string")
+    return standardize.map_codes(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", lookup, "code", "name", "status_name").drop("o_orderstatus")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) = 1"
+)
+def deduplicate(spark, d):
+    order = [F.desc("l_shipdate"), F.desc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_quantity")]
+    return standardize.deduplicate(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+
+
+# 2.7 features
+
+
+@query(
+    "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(week(o_orderdate) AS INTEGER) AS iso_week, CAST(dayofweek(o_orderdate) AS INTEGER) AS weekday, CAST(o_orderdate AS DATE) = last_day(o_orderdate) AS is_month_end FROM orders"
+)
+def calendar_features(spark, d):
+    return features.calendar_features(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
+
+
+_SPEND = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+@query(
+    f"SELECT o_custkey, count(*) AS orders, {_SPEND} AS spend, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day, {_SPEND} / count(*) AS mean_order, CAST(date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) AS INTEGER) AS tenure_days FROM orders GROUP BY 1"
+)
+def entity_aggregates(spark, d):
+    return features.entity_aggregates(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+
+
+@query(
+    "SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS sequence, CAST(date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)) AS INTEGER) AS days_since FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+)
+def gap_features(spark, d):
+    return features.gap_features(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "sequence", "days_since")
+
+
+@query(
+    "SELECT o_orderkey, count(*) OVER w AS rolling_count, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS rolling_sum FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)"
+)
+def rolling_features(spark, d):
+    return features.rolling_features(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").select("o_orderkey", "rolling_count", "rolling_sum")
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"n_F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"n_O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"n_P\" FROM orders GROUP BY 1")
+def category_counts(spark, d):
+    return features.category_counts(t(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, round((l_extendedprice - m) / s, 4) AS z FROM lineitem JOIN (SELECT l_returnflag AS f, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON f = l_returnflag"
+)
+def scale_features(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice")
+    return features.scale_features(rows, "l_extendedprice", "l_returnflag", digits=4).drop("l_extendedprice")
+
+
+# 2.8 KPIs
+
+_MEASURES = {"orders": "count(*)", "revenue": "sum(cast(o_totalprice as decimal(18,2)))", "average_order": "cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)"}
+_CUSTOMERS = "orders JOIN customer ON o_custkey = c_custkey"
+_MONTH = "CAST(date_trunc('month', o_orderdate) AS DATE)"
+
+
+def _customers(spark, d):
+    return t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+
+@query(" UNION ALL ".join(f"SELECT {_MONTH} AS period, c_mktsegment, '{n}' AS measure, CAST({m} AS DOUBLE) AS value FROM {_CUSTOMERS} GROUP BY 1, 2" for n, m in _MEASURES.items()))
+def kpi_evaluate(spark, d):
+    return kpi.kpi_evaluate(_customers(spark, d), "o_orderdate", "month", ["c_mktsegment"], _MEASURES)
+
+
+@query(
+    f"WITH k AS (SELECT {_MONTH} AS period, 'revenue' AS measure, {_SPEND} AS value FROM orders GROUP BY 1) SELECT a.period, a.measure, a.value, b.value AS prior, a.value - b.value AS change, CASE WHEN b.value <> 0 THEN (a.value - b.value) / b.value END AS relative_change FROM k a LEFT JOIN k b ON year(b.period) * 12 + month(b.period) + 12 = year(a.period) * 12 + month(a.period)"
+)
+def kpi_period_change(spark, d):
+    kpis = kpi.kpi_evaluate(t(spark, d, "orders"), "o_orderdate", "month", [], {"revenue": _MEASURES["revenue"]})
+    return kpi.kpi_period_change(kpis, ["measure"])
+
+
+@query(
+    f"WITH k AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, n_name, {_SPEND} AS value FROM {_CUSTOMERS} JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT year, n_name, value, CAST(row_number() OVER (PARTITION BY year ORDER BY value DESC, n_name) AS INTEGER) AS rank FROM k QUALIFY row_number() OVER (PARTITION BY year ORDER BY value DESC, n_name) <= 3"
+)
+def kpi_top_k(spark, d):
+    rows = _customers(spark, d).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kpis = rows.groupBy(F.year("o_orderdate").alias("year"), "n_name").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    return kpi.kpi_top_k(kpis, ["year"], "n_name", "value", 3)
+
+
+@query(f"SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS orders, {_SPEND} AS revenue FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def kpi_rollup(spark, d):
+    return kpi.kpi_rollup(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], {"orders": "count(*)", "revenue": "cast(sum(cast(o_totalprice as decimal(18,2))) as double)"})
+
+
+# 2.9 commercial
+
+
+@query(
+    "WITH c AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS last_day, count(*) AS frequency, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS m FROM orders GROUP BY 1), n AS (SELECT *, CAST(ntile(5) OVER (ORDER BY last_day, o_custkey) AS INTEGER) AS r, CAST(ntile(5) OVER (ORDER BY frequency, o_custkey) AS INTEGER) AS f, CAST(ntile(5) OVER (ORDER BY m, o_custkey) AS INTEGER) AS mm FROM c) SELECT o_custkey, last_day, frequency, CAST(m AS DOUBLE) AS monetary, r, f, mm AS m, CAST(r * 100 + f * 10 + mm AS INTEGER) AS segment FROM n"
+)
+def rfm_segments(spark, d):
+    return commercial.rfm_segments(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+
+
+@query(
+    "WITH m AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS m FROM orders), f AS (SELECT o_custkey, min(m) AS cohort FROM m GROUP BY 1) SELECT cohort, CAST(m - cohort AS INTEGER) AS age, count(*) AS customers FROM m JOIN f USING (o_custkey) GROUP BY 1, 2"
+)
+def cohort_retention(spark, d):
+    return commercial.cohort_retention(t(spark, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query(
+    "WITH r AS (SELECT l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1), c AS (SELECT l_partkey, v, row_number() OVER w AS k, CAST(coalesce(sum(v) OVER (ORDER BY v DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(v) OVER () AS DOUBLE) AS s FROM r WINDOW w AS (ORDER BY v DESC, l_partkey)) SELECT l_partkey, CAST(v AS DOUBLE) AS revenue, k AS rank, round(s, 9) AS share_before, CASE WHEN s < 0.8 THEN 'A' WHEN s < 0.95 THEN 'B' ELSE 'C' END AS class FROM c"
+)
+def abc_classes(spark, d):
+    return commercial.abc_classes(t(spark, d, "lineitem"), "l_partkey", "l_extendedprice")
+
+
+@query(
+    "WITH s AS (SELECT a.n_name AS from_nation, b.n_name AS to_nation, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey) SELECT from_nation, to_nation, count(*) AS shipments, CAST(sum(days) AS DOUBLE) / count(*) AS mean_days, round(quantile_cont(days, 0.25), 4) AS q1, round(quantile_cont(days, 0.5), 4) AS median, round(quantile_cont(days, 0.75), 4) AS q3, count(*) FILTER (WHERE days > 30) / count(*) AS late_share FROM s WHERE days >= 0 GROUP BY 1, 2"
+)
+def fulfilment_lead_time(spark, d):
+    nation = t(spark, d, "nation")
+    to, frm = nation.select(F.col("n_nationkey").alias("to_key"), F.col("n_name").alias("to_nation")), nation.select(F.col("n_nationkey").alias("from_key"), F.col("n_name").alias("from_nation"))
+    rows = t(spark, d, "lineitem").join(_customers(spark, d), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(frm, F.col("s_nationkey") == F.col("from_key")).join(to, F.col("c_nationkey") == F.col("to_key"))
+    return commercial.fulfilment_lead_time(rows, ["from_nation", "to_nation"], "o_orderdate", "l_shipdate")
+
+
+# 2.10 finance
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS a FROM orders GROUP BY 1), r AS (SELECT l_orderkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS b FROM lineitem GROUP BY 1) SELECT k AS order_key, CAST(a AS DOUBLE) AS left_total, CAST(b AS DOUBLE) AS right_total, CAST(a - b AS DOUBLE) AS difference, CASE WHEN a IS NULL THEN 'missing_left' WHEN b IS NULL THEN 'missing_right' WHEN abs(a - b) <= 1 THEN 'match' ELSE 'variance' END AS status FROM l FULL JOIN r USING (k)"
+)
+def reconcile(spark, d):
+    left = t(spark, d, "orders").withColumnRenamed("o_orderkey", "order_key")
+    return finance.reconcile(left, t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "order_key"), "order_key", "o_totalprice", "l_extendedprice")
+
+
+_P, _D, _T = "CAST(l_extendedprice AS DECIMAL(18,2))", "CAST(l_discount AS DECIMAL(6,4))", "CAST(l_tax AS DECIMAL(6,4))"
+
+
+@query(
+    f"SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag, CAST(sum({_P}) AS DOUBLE) AS gross, CAST(sum({_P} * {_D}) AS DOUBLE) AS discount, CAST(sum({_P} * (1 - {_D})) AS DOUBLE) AS net, CAST(sum(CAST({_P} * (1 - {_D}) AS DECIMAL(26,6)) * {_T}) AS DOUBLE) AS tax FROM lineitem GROUP BY 1, 2"
+)
+def net_revenue(spark, d):
+    return finance.net_revenue(t(spark, d, "lineitem"), {"year": F.year("l_shipdate"), "l_returnflag": F.col("l_returnflag")}, "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS year_to_date FROM orders"
+)
+def running_balance(spark, d):
+    return finance.running_balance(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice").select("o_orderkey", "running_total", "year_to_date")
+
+
+# 2.11 marts
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, c_custkey, c_mktsegment, n_name, r_name, CAST(o_orderdate AS DATE) AS order_day, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
+def build_fact(spark, d):
+    fact = marts.build_fact(t(spark, d, "lineitem"), [
+        (t(spark, d, "orders"), "l_orderkey", "o_orderkey", "inner"), (t(spark, d, "customer"), "o_custkey", "c_custkey", "inner"),
+        (t(spark, d, "nation"), "c_nationkey", "n_nationkey", "inner"), (t(spark, d, "region"), "n_regionkey", "r_regionkey", "inner"),
+    ])
+    return fact.select("l_orderkey", "l_linenumber", "l_partkey", "c_custkey", "c_mktsegment", "n_name", "r_name", F.to_date("o_orderdate").alias("order_day"), "l_extendedprice")
+
+
+@query(
+    "SELECT CAST(d AS DATE) AS day, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, CAST(week(d) AS INTEGER) AS iso_week, CAST(dayofweek(d) AS INTEGER) AS weekday FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d FROM orders)"
+)
+def date_dimension(spark, d):
+    return marts.date_dimension(t(spark, d, "orders"), "o_orderdate")
+
+
+@query(
+    f"WITH a AS (SELECT {_MONTH} AS month, c_mktsegment, count(*) AS orders, {_SPEND} AS revenue FROM {_CUSTOMERS} GROUP BY 1, 2), s AS (SELECT CAST(m AS DATE) AS month, g.c_mktsegment FROM (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS m FROM a) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM a) g) SELECT month, c_mktsegment, CAST(coalesce(orders, 0) AS DOUBLE) AS orders, coalesce(revenue, 0.0) AS revenue FROM s LEFT JOIN a USING (month, c_mktsegment)"
+)
+def summary_mart(spark, d):
+    measures = {"orders": F.count(F.lit(1)), "revenue": F.sum(F.col("o_totalprice").cast("decimal(18,2)"))}
+    return marts.summary_mart(_customers(spark, d), "o_orderdate", "c_mktsegment", measures)
+
+
+# 2.12 lineage
+
+
+def _manifest(spark, d):
+    """Two runs of two stages over orders, their rows counted as they are written."""
+    from pyspark.sql import Observation
+
+    root = scratch_dir(spark)
+    for run, rows in (("run-1", t(spark, d, "orders")), ("run-2", t(spark, d, "orders").where("o_orderstatus <> 'P'"))):
+        seen = Observation()
+        files.write_raw(damaged(rows).observe(seen, F.count(F.lit(1)).alias("n")), root, run)
+        n = seen.get["n"]
+        lineage.append_manifest(spark, f"{root}/manifest", run, "stage_01_ingestion", n, n, 0)
+        if run == "run-1":
+            good, bad = contracts.quarantine(damaged(rows), CONTRACT)
+            kept, out = Observation(), Observation()
+            files.write_clean(good.observe(kept, F.count(F.lit(1)).alias("n")), root, run)
+            bad.observe(out, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/rejected")
+            lineage.append_manifest(spark, f"{root}/manifest", run, "stage_06_standardize", n, kept.get["n"], out.get["n"])
+    return spark.read.schema(lineage.MANIFEST).parquet(f"{root}/manifest")
+
+
+_GOOD = "o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"
+
+
+@query(f"SELECT 'run-1' AS run_id, count(*) AS stage_01_ingestion, count(*) FILTER (WHERE {_GOOD}) AS stage_06_standardize FROM orders UNION ALL SELECT 'run-2', count(*) FILTER (WHERE o_orderstatus <> 'P'), NULL FROM orders")
+def phase_status(spark, d):
+    return lineage.phase_status(_manifest(spark, d), ["stage_01_ingestion", "stage_06_standardize"])
+
+
+@query(
+    f"SELECT 'run-1' AS run_id, 'stage_01_ingestion' AS stage, count(*) AS rows_in, count(*) AS rows_out, 0::BIGINT AS rows_rejected, 0::BIGINT AS rows_lost FROM orders UNION ALL SELECT 'run-2', 'stage_01_ingestion', count(*) FILTER (WHERE o_orderstatus <> 'P'), count(*) FILTER (WHERE o_orderstatus <> 'P'), 0, 0 FROM orders UNION ALL SELECT 'run-1', 'stage_06_standardize', count(*), count(*) FILTER (WHERE {_GOOD}), count(*) FILTER (WHERE NOT ({_GOOD})), 0 FROM orders"
+)
+def stage_lineage(spark, d):
+    return lineage.stage_lineage(_manifest(spark, d))
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE 'same' END AS change FROM orders UNION ALL SELECT o_orderkey, 'removed' FROM orders WHERE o_orderkey % 5 = 0")
+def artifact_diff(spark, d):
+    old = t(spark, d, "orders")
+    key = F.col("o_orderkey")
+    new = old.withColumn("o_orderstatus", F.when(key % 3 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))).withColumn("o_orderkey", F.when(key % 5 == 0, key + 1_000_000_000).otherwise(key))
+    return lineage.artifact_diff(old, new, "o_orderkey")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir, or where that is unset a temporary one."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{place.rstrip('/')}/freightlake-{uuid.uuid4().hex}"
