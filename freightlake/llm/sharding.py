@@ -26,9 +26,10 @@ def shuffle_into_shards(records: DataFrame, n_shards: int, size: str = "size", s
     ``size`` names the column with a row's bytes. Shards hold counts at most one apart and slots are
     gapless from 0. Equal rows are counted before they are scattered, and each copy is scattered by its
     own number, so no row that repeats often fills one bucket. Nulls are values as any other; an empty
-    table gives no rows. Columns of map type can't be grouped and are refused by Spark.
+    table gives no rows. Columns named shard or slot are replaced. Columns of map type can't be grouped and
+    are refused by Spark.
     """
-    cols = records.columns
+    cols = [c for c in records.columns if c not in ("shard", "slot")]
     total = records.agg(F.sum(F.col(size)).alias("b")).first()["b"] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
     packed = records.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
