@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,11 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs nothing.
+
+    release: have the driver collect its garbage, since Spark drops a finished plan's shuffle files only then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

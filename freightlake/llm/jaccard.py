@@ -259,14 +259,14 @@ def across_components(met: DataFrame, sizes: DataFrame, done: DataFrame, label:
     ends = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
     known = met.join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
     mixed = known.where("node_c <> hub_c").select("gid").distinct()
-    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c", "probe"), "apart")
+    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c", "probe"), "apart", release=True)
     members = apart.select("gid", "node", F.col("node_c").alias("c"), "probe").unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("c"), F.lit(True).alias("probe")).distinct())
     members = members.join(sizes, "node")
     a, b = members.where("probe").alias("a"), members.alias("b")  # the smaller set probes
     meet = (F.col("a.gid") == F.col("b.gid")) & (F.col("a.c") != F.col("b.c")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (~F.col("b.probe") | (F.col("a.node") < F.col("b.node")))))
     pairs = a.join(b, meet & (100 * F.col("a.n") >= percent * F.col("b.n"))).select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")).distinct()
     was = done.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    return verified(pairs.join(was, ["hub", "node"], "left_anti"), texts, percent)
+    return verified(cut(pairs.join(was, ["hub", "node"], "left_anti"), "pairs", release=True), texts, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -278,16 +278,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     sketches = cut(texts.mapInArrow(_sketch, "doc_id long, rid long, n long, node long"), "sketches")
     buckets = max(LEAST_BUCKETS, sketches.count() // ROWS_TOGETHER)
     signed = texts.select("text").mapInArrow(_sign(percent, buckets), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
-    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long, probe boolean"), "met")
+    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long, probe boolean"), "met", release=True)
     there = met.select("node").distinct().unionByName(met.select(F.col("hub").alias("node")).distinct()).distinct()
     chosen = sketches.where("n > 0").join(there, "node").groupBy("node").agg(F.min("rid").alias("rid"))
-    whole = cut(texts.join(chosen, "rid").groupBy("rid", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
+    whole = cut(texts.join(chosen, "rid").groupBy("rid", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", release=True)
     often = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
     first = cut(often.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("hub", "node"), "hubs")
-    links = cut(verified(first, whole, percent), "first")
+    links = cut(verified(first, whole, percent), "first", release=True)
     sizes = sketches.where("n > 0").select("node", "n").distinct()
     more = across_components(met, sizes, first, connected_components(links), whole, percent)
-    return sketches.withColumnRenamed("n", "n_shingles"), cut(links.unionByName(more), "links")
+    return sketches.withColumnRenamed("n", "n_shingles"), cut(links.unionByName(more), "links", release=True)
 
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
