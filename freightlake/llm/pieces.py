@@ -202,13 +202,14 @@ def _look_up(folder: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat) if flat else np.zeros(0, np.int32), counts
 
 
-def encode(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: Model, out: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` (text and any other columns) with the ids of each whole text.
 
     As the sentencepiece library encodes: characters without piece become bytes. A null or empty text has no
     ids. Repeated rows each return; an empty table gives no rows. A column of docs named as ``out`` is replaced.
+    Without keep_text the text itself goes no further, which halves what tasks hold.
     """
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c != out and (keep_text or c != "text")]
     folder = write_dictionary(docs.select(prepared(F.col("text")).alias("text")), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +224,9 @@ def encode(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
             bounds = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [list_array(flat, np.diff(bounds), pa.int32())], names=[*names, out])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("__prepared", prepared(F.col("text"))).mapInArrow(run, f"{schema}, `{out}` array<int>")
+    kept = [F.col(f"`{c}`") for c in names]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    return docs.select(*kept, prepared(F.col("text")).alias("__prepared")).mapInArrow(run, f"{schema}, `{out}` array<int>")
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -262,5 +263,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = decode(encode(docs, model).select("doc_id", "ids"), model)
+    rows = decode(encode(docs, model, keep_text=False), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
