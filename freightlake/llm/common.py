@@ -50,11 +50,15 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_bucket(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -1,8 +1,9 @@
-"""Op 6, scores of an interpolated modified Kneser-Ney model of word pairs.
+"""Op 6, scores of an interpolated modified Kneser-Ney model of word n-grams.
 
-Spark counts the training words, then the pairs of neighbouring words, in arrays sorted by hash: each task
-counts what it reads, and buckets of a hash range are merged where they meet. Every bucket is a set of sorted
-array files in the shared folder. Workers map these files into memory and look up what a text needs.
+Spark counts the training words, then the n-grams of neighbouring words, in sorted arrays: each task counts
+what it reads, and buckets of a hash range are merged where they meet. Grams that end in the same pair meet in
+one bucket, so the distinct words that a shorter gram follows are counted there too. Every bucket is a set of
+sorted array files in the shared folder. Workers map these files into memory and look up what a text needs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, list_array, mix, shared_dir, steps, table
+from .common import Words, collect_garbage, column, cut, list_array, mix, shared_dir, steps, table
 from .toxicity import fold
 
 #: Documents to a bucket, and the fewest buckets. Bytes of text that are counted together.
 ROWS_TOGETHER, LEAST_BUCKETS, COUNT_BYTES = 4000, 64, 4 << 20
+#: Words to a gram in the registered query.
+ORDER = 3
 #: Files that a worker keeps mapped.
 MAPPED = 300
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -69,7 +73,7 @@ def _packed(bucket: np.ndarray, *columns: tuple[np.ndarray, pa.DataType], order:
     order = np.argsort(bucket, kind="stable") if order is None else order
     present, counts = np.unique(bucket, return_counts=True)
     lists = [list_array(x[order], counts, kind) for x, kind in columns]
-    return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *lists], names=["bucket", *"ab"[: len(lists)]])
+    return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *lists], names=["bucket", *ascii_lowercase[: len(lists)]])
 
 
 def _flat(rows: pa.Table, name: str) -> np.ndarray:
@@ -101,6 +105,11 @@ class Vocabulary:
     def size(self) -> int:
         return int(self.begins[-1])
 
+    @property
+    def kind(self) -> str:
+        """Numbers that no count of training tokens exceeds."""
+        return "u4" if self.total < 1 << 32 else "u8"
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each of some sorted hashes; id -1 and count 0 where it is unknown."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -157,52 +166,47 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class PairModel:
-    """Counts of pairs by bucket, statistics of first words, and of second words by ranges of ids."""
+class GramModel:
+    """Counts of word n-grams of 2 to ``order`` words by bucket, statistics of their contexts, and of last words by ranges of ids.
+
+    Grams of the highest order are counted as they occur, shorter ones by how many distinct words they follow.
+    """
 
     vocabulary: Vocabulary
     folder: str
+    order: int
     buckets: int
     hot_above: int
-    hot: np.ndarray  # of first words dealt to several buckets: id, total, and seconds seen 1, 2, 3 or more times
     range_size: int
-    pair_discounts: np.ndarray
+    gram_discounts: dict[int, np.ndarray]  # by number of words
     word_discounts: np.ndarray
     pairs: int
     rest: float  # weight of the uniform distribution
 
-    def bucket(self, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return bucket_of(v, w, count, self.buckets, self.hot_above)
-
-    def _first(self, v: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Statistics of distinct first words: total, and seconds seen 1, 2, 3 or more times."""
-        out = np.zeros((len(v), 4), np.int64)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot[:, 0], v), len(self.hot) - 1)
-            hit = self.hot[at, 0] == v
-            out[hit] = self.hot[at[hit], 1:]
-        bucket = np.where((v < 0) | (count > self.hot_above), -1, bucket_of(v, v, np.zeros_like(count), self.buckets, self.hot_above))
-        for b, rows in _groups(bucket):
-            if b >= 0:
-                known = map_array(self.folder, f"first-{b}", "i8").reshape(-1, 5)
-                at = np.minimum(np.searchsorted(known[:, 0], v[rows]), max(len(known) - 1, 0))
-                hit = known[at, 0] == v[rows] if len(known) else np.zeros(len(rows), bool)
-                out[rows[hit]] = known[at[hit], 1:]
+    def _contexts(self, k: int, keys: np.ndarray, v: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Statistics of distinct contexts of k - 1 words, v their last: total, and next words seen 1, 2, 3 or more times."""
+        out = np.zeros((len(keys), 4), np.int64)
+        hot = count > self.hot_above
+        for name, place in (("hot", np.where(known & hot, _spread(keys, self.buckets), -1)), ("first", np.where(known & ~hot, bucket_of(v, v, np.zeros_like(count), self.buckets, self.hot_above), -1))):
+            for b, rows in _groups(place):
+                if b < 0:
+                    continue
+                at, hit = _find(map_array(self.folder, f"{name}-{k}-{b}", "u8"), keys[rows])
+                out[rows[hit]] = map_array(self.folder, f"{name}-stats-{k}-{b}", self.vocabulary.kind).reshape(-1, 4)[at[hit]]
+                if name == "first":
+                    _, hit = _find(map_array(self.folder, f"single-{k}-{b}", "u8"), keys[rows])
+                    out[rows[hit]] = (1, 1, 0, 0)
         return out
 
-    def _times(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """How often each distinct pair occurs in training; keys are sorted."""
+    def _times(self, k: int, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The count of each distinct gram of k words; keys are sorted."""
         out = np.zeros(len(keys), np.int64)
         for b, rows in _groups(bucket):
             if b < 0:
                 continue
-            wanted = keys[rows]
             for name in ("once", "more"):
-                known = map_array(self.folder, f"{name}-{b}", "u8")
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                    hit = known[at] == wanted
-                    out[rows[hit]] = 1 if name == "once" else map_array(self.folder, f"times-{b}", "i8")[at[hit]]
+                at, hit = _find(map_array(self.folder, f"{name}-{k}-{b}", "u8"), keys[rows])
+                out[rows[hit]] = 1 if name == "once" else map_array(self.folder, f"times-{k}-{b}", self.vocabulary.kind)[at[hit]]
         return out
 
     def _words(self, w: np.ndarray) -> np.ndarray:
@@ -213,27 +217,51 @@ class PairModel:
                 follows[rows] = map_array(self.folder, f"second-{b}", "i8")[w[rows] - b * self.range_size]
         return (follows - self.word_discounts[np.minimum(follows, 3)]) / max(self.pairs, 1) + self.rest / (self.vocabulary.size + 1)
 
-    def log10(self, v: np.ndarray, w: np.ndarray, count_v: np.ndarray) -> np.ndarray:
-        """Of each word w after v, by ids; -1 is unknown, and v = size of the vocabulary the begin."""
+    def log10(self, grams: list[np.ndarray], count_v: np.ndarray) -> np.ndarray:
+        """Of each last word after those before it, by ids; -1 is unknown, and the size of the vocabulary the begin."""
+        v, w = grams[-2:]
         words, at_w = np.unique(w, return_inverse=True)
         p = self._words(words)[at_w]
-        firsts, index, at_v = np.unique(v, return_index=True, return_inverse=True)
-        first = self._first(firsts, count_v[index])[at_v]
-        seen = first[:, 0] > 0
-        keys, index, at = np.unique(_key(v, w), return_index=True, return_inverse=True)
-        bucket = np.where((v[index] < 0) | (w[index] < 0), -1, self.bucket(v[index], w[index], count_v[index]))
-        times = self._times(keys, bucket)[at]
-        total = np.maximum(first[:, 0], 1)
-        given = (times - self.pair_discounts[np.minimum(times, 3)]) / total + first[:, 1:] @ self.pair_discounts[1:] / total * p
-        return np.log10(np.where(seen, given, p))
+        for k in range(2, self.order + 1):
+            some, lost = grams[-k:], self.gram_discounts[k]
+            contexts, index, at = np.unique(_key(some[:-1]), return_index=True, return_inverse=True)
+            known = np.all([x[index] >= 0 for x in some[:-1]], axis=0)
+            first = self._contexts(k, contexts, v[index], count_v[index], known)[at]
+            keys, index, at = np.unique(_key(some), return_index=True, return_inverse=True)
+            known = np.all([x[index] >= 0 for x in some], axis=0)
+            times = self._times(k, keys, np.where(known, bucket_of(v[index], w[index], count_v[index], self.buckets, self.hot_above), -1))[at]
+            total = np.maximum(first[:, 0], 1)
+            given = (times - lost[np.minimum(times, 3)]) / total + first[:, 1:] @ lost[1:] / total * p
+            p = np.where(first[:, 0] > 0, given, p)
+        return np.log10(p)
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is in the known sorted ones, and the places in wanted that are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, np.flatnonzero(known[at] == wanted)
 
 
-def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (v + 1).astype(np.uint64) << np.uint64(32) | (w + 1).astype(np.uint64)
+def _key(ids: list[np.ndarray]) -> np.ndarray:
+    """Words and pairs by their ids, longer grams by a 64-bit hash of them."""
+    key = (ids[0] + 1).astype(np.uint64)
+    for k, x in enumerate(ids[1:]):
+        x = (x + 1).astype(np.uint64)
+        key = key << np.uint64(32) | x if k == 0 else mix(mix(key) + x)
+    return key
+
+
+def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
 def bucket_of(v: np.ndarray, w: np.ndarray, count: np.ndarray, buckets: int, hot_above: int) -> np.ndarray:
-    """A pair's bucket: by its first word, or by both words where the first is frequent."""
+    """The bucket of a gram that ends in v, w: by v, or by both words where v is frequent.
+
+    So a gram and all that it ends in, down to the pair, share a bucket, and what a shorter gram follows is counted there.
+    """
     h = mix(v.astype(np.uint64) + np.uint64(7))
     return (np.where(count > hot_above, mix(h + w.astype(np.uint64)), h) % np.uint64(buckets)).astype(np.int64)
 
@@ -245,71 +273,122 @@ def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield b, rows
 
 
-def _pairs(vocabulary: Vocabulary, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first id, second id, count of first, count of second) of all neighbours; a text begins with an id of its own, and its count is that of ends."""
+def _grams(vocabulary: Vocabulary, tokens: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(ids of each word and those before it, count of the word before, count of the word); before a text is an id of its own, and its count is that of all tokens."""
     w, count = vocabulary.encode(tokens)
-    v, count_v = np.empty_like(w), np.empty_like(count)
-    v[1:], count_v[1:] = w[:-1], count[:-1]
-    v[bounds[:-1]] = vocabulary.size
-    count_v[bounds[:-1]] = vocabulary.total  # as frequent as can be: always dealt by both words
-    return v, w, count_v, count
-
-
-def fit(texts: DataFrame, n_docs: int) -> PairModel:
+    place = np.arange(len(w)) - np.repeat(bounds[:-1], np.diff(bounds))
+    grams = [w]
+    for k in range(1, order):
+        inside = np.flatnonzero(place >= k)
+        before = np.full(len(w), vocabulary.size, np.int64)
+        before[inside] = w[inside - k]
+        grams.insert(0, before)
+    count_v = np.full(len(w), vocabulary.total, np.int64)  # as frequent as can be: always dealt by both words
+    inside = np.flatnonzero(place >= 1)
+    count_v[inside] = count[inside - 1]
+    return grams, count_v, count
+
+
+def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by their last pair, then by the words before it, nearest first; and where distinct ones begin in it."""
+    pair = _key(grams[-2:])
+    order = np.lexsort([*grams[:-2], pair]) if len(grams) > 2 else np.argsort(pair, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in grams], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
     """Count texts and write the model's arrays to the shared folder."""
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = texts.sparkSession
-    folder = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
     buckets = max(LEAST_BUCKETS, n_docs // ROWS_TOGETHER)
     vocabulary = count_words(texts, folder, LEAST_BUCKETS)
+    collect_garbage(spark)
     hot_above = max(1000, vocabulary.total // buckets)
     range_size = max(1, -(-vocabulary.size // buckets))
+    lists = ascii_lowercase[: order + 1]  # of a gram's words, then of counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in steps(batches, step_bytes=COUNT_BYTES):
-            v, w, count_v, _ = _pairs(vocabulary, *tokens_of(data, offsets))
-            keys, index, times = np.unique(_key(v, w), return_index=True, return_counts=True)
-            bucket = bucket_of(v[index], w[index], count_v[index], buckets, hot_above)
-            yield _packed(bucket, (keys.view(np.int64), pa.int64()), (times.astype(np.int32), pa.int32()))
+            grams, count_v, _ = _grams(vocabulary, *tokens_of(data, offsets), order)
+            at, first = _distinct(grams)
+            times = np.diff(np.append(first, len(at))).astype(np.int32)
+            grams, count_v = [x[at[first]] for x in grams], count_v[at[first]]
+            bucket = bucket_of(*grams[-2:], count_v, buckets, hot_above)
+            yield _packed(bucket, *((x.astype(np.uint32).view(np.int32), pa.int32()) for x in grams), (times, pa.int32()))
 
     def merge(rows: pa.Table) -> pa.Table:
         b = rows["bucket"][0].as_py()
-        keys, times = _merged(_flat(rows, "a").view(np.uint64), _flat(rows, "b").astype(np.int64))
-        v, w = (keys >> np.uint64(32)).astype(np.int64) - 1, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-        save_array(folder, f"once-{b}", keys[times == 1])
-        save_array(folder, f"more-{b}", keys[times > 1])
-        save_array(folder, f"times-{b}", times[times > 1])
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        stats = np.stack([v[first], *(np.add.reduceat(x.astype(np.int64), first) for x in (times, times == 1, times == 2, times > 2))], 1)
-        hot = vocabulary_counts(vocabulary, stats[:, 0]) > hot_above  # dealt by both words: these are parts of its statistics
-        save_array(folder, f"first-{b}", stats[~hot])
-        seconds, follows = np.unique(w, return_counts=True)
-        of_counts = np.array([(times == k).sum() for k in (1, 2, 3, 4)])
-        out = [(-1, of_counts, np.zeros(4, np.int64))] + [(-2 - int(s[0]), s[1:], np.zeros(4, np.int64)) for s in stats[hot]]
-        ranges = seconds // range_size
-        out += [(r, seconds[rows], follows[rows]) for r, rows in _groups(ranges)]
-        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1].astype(np.int32) if x[0] >= 0 else x[1] for x in out], pa.list_(pa.int64())), "b": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
-
-    packed = texts.mapInArrow(count, "bucket int, a array<long>, b array<int>")
-    found = cut(packed.groupBy("bucket").applyInArrow(merge, "key long, a array<long>, b array<long>"), "pair-stats")
+        grams = [_flat(rows, c).view(np.uint32).astype(np.int64) for c in lists[:-1]]
+        at, first = _distinct(grams)
+        times = np.add.reduceat(_flat(rows, lists[-1]).astype(np.int64)[at], first)
+        grams, out = [x[at[first]] for x in grams], []
+        for k in range(order, 1, -1):
+            if k < order:  # what a shorter gram follows: it is sorted by its last words, each of the longer ones a row
+                grams = grams[1:]
+                new = np.ones(len(times), bool)
+                new[1:] = np.any([x[1:] != x[:-1] for x in grams], axis=0)
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(times)))
+                grams = [x[first] for x in grams]
+            out.append((0, k, np.array([(times == n).sum() for n in (1, 2, 3, 4)]), np.zeros(0, np.int64)))
+            keys = _key(grams)
+            by = np.argsort(keys)
+            keys, sorted_times = keys[by], times[by]
+            save_array(folder, f"once-{k}-{b}", keys[sorted_times == 1])
+            save_array(folder, f"more-{k}-{b}", keys[sorted_times > 1])
+            save_array(folder, f"times-{k}-{b}", sorted_times[sorted_times > 1].astype(vocabulary.kind))
+            keys = _key(grams[:-1])
+            by = np.argsort(keys, kind="stable")
+            keys, sorted_times = keys[by], times[by]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            stats = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (sorted_times, sorted_times == 1, sorted_times == 2, sorted_times > 2)], 1)
+            last, keys = grams[-2][by[first]], keys[first]
+            some, at = np.unique(last, return_inverse=True)
+            hot = (vocabulary_counts(vocabulary, some) > hot_above)[at]  # dealt by both words: these are parts of its statistics
+            single = ~hot & (stats[:, 0] == 1)
+            save_array(folder, f"single-{k}-{b}", keys[single])
+            save_array(folder, f"first-{k}-{b}", keys[~hot & ~single])
+            save_array(folder, f"first-stats-{k}-{b}", stats[~hot & ~single].astype(vocabulary.kind))
+            out += [(k, c, keys[hot][part].view(np.int64), stats[hot][part].ravel()) for c, part in _groups(_spread(keys[hot], buckets))] if hot.any() else []
+        seconds, follows = np.unique(grams[-1], return_counts=True)  # of pairs
+        out += [(1, r, seconds[part], follows[part]) for r, part in _groups(seconds // range_size)]
+        kind, key, a, b = zip(*out, strict=True)
+        return pa.table({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.list_(pa.int64()))})
+
+    packed = texts.mapInArrow(count, f"bucket int, {', '.join(f'{c} array<int>' for c in lists)}")
+    found = cut(packed.groupBy("bucket").applyInArrow(merge, "kind int, key long, a array<long>, b array<long>"), "gram-stats", release=True)
 
     def add_up(rows: pa.Table) -> pa.Table:
-        r = rows["key"][0].as_py()
-        follows = np.zeros(range_size, np.int64)
-        np.add.at(follows, _flat(rows, "a") - r * range_size, _flat(rows, "b"))
-        save_array(folder, f"second-{r}", follows)
-        return pa.table({"key": [r], "n": pa.array([[int((follows == k).sum()) for k in (1, 2, 3, 4)] + [int((follows > 2).sum()), int(follows.sum())]], pa.list_(pa.int64()))})
-
-    ranges = found.where("key >= 0").groupBy("key").applyInArrow(add_up, "key long, n array<long>").collect()  # a row for each range
+        kind, r = rows["kind"][0].as_py(), rows["key"][0].as_py()
+        a, b, n = _flat(rows, "a"), _flat(rows, "b"), [0] * 6
+        if kind == 1:
+            follows = np.zeros(range_size, np.int64)
+            np.add.at(follows, a - r * range_size, b)
+            save_array(folder, f"second-{r}", follows)
+            n = [int((follows == k).sum()) for k in (1, 2, 3, 4)] + [int((follows > 2).sum()), int(follows.sum())]
+        else:
+            keys, at = np.unique(a.view(np.uint64), return_inverse=True)
+            stats = np.zeros((len(keys), 4), np.int64)
+            np.add.at(stats, at, b.reshape(-1, 4))
+            save_array(folder, f"hot-{kind}-{r}", keys)
+            save_array(folder, f"hot-stats-{kind}-{r}", stats.astype(vocabulary.kind))
+        return pa.table({"key": [r], "n": pa.array([n], pa.list_(pa.int64()))})
+
+    ranges = found.where("kind > 0").groupBy("kind", "key").applyInArrow(add_up, "key long, n array<long>").collect()  # a row for each range and each bucket of frequent contexts
     n = np.array([r["n"] for r in ranges] or [[0] * 6]).sum(0)
     word_d = discounts(n[:4])
     pairs = int(n[5])
     rest = float(word_d[1:] @ np.array([n[0], n[1], n[4]])) / pairs if pairs else 1.0
-    of_counts = found.where("key = -1").select(*[F.sum(F.element_at("a", k)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    hot = found.where("key < -1").groupBy("key").agg(*[F.sum(F.element_at("a", k)).alias(f"s{k}") for k in (1, 2, 3, 4)]).collect()  # fewer rows than buckets
-    hot = np.array(sorted([-2 - r["key"], r["s1"], r["s2"], r["s3"], r["s4"]] for r in hot) or np.zeros((0, 5)), np.int64).reshape(-1, 5)
-    return PairModel(vocabulary, folder, buckets, hot_above, hot, range_size, discounts(np.array([x or 0 for x in of_counts])), word_d, pairs, rest)
+    of_counts = found.where("kind = 0").groupBy("key").agg(*[F.sum(F.element_at("a", k)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()  # a row for each order
+    of_counts = {r["key"]: np.array(r[1:]) for r in of_counts}
+    gram_d = {k: discounts(of_counts.get(k, np.zeros(4, np.int64))) for k in range(2, order + 1)}
+    return GramModel(vocabulary, folder, order, buckets, hot_above, range_size, gram_d, word_d, pairs, rest)
 
 
 def vocabulary_counts(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
@@ -322,7 +401,7 @@ def vocabulary_counts(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, model: PairModel) -> DataFrame:
+def score_texts(docs: DataFrame, model: GramModel) -> DataFrame:
     """docs (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score and score."""
     vocabulary = model.vocabulary
 
@@ -330,23 +409,23 @@ def score_texts(docs: DataFrame, model: PairModel) -> DataFrame:
         base = np.log10(float(vocabulary.total) + vocabulary.size + 1)
         for batch, data, offsets in steps(batches):
             tokens, bounds = tokens_of(data, offsets)
-            v, w, count_v, count = _pairs(vocabulary, tokens, bounds)
+            grams, count_v, count = _grams(vocabulary, tokens, bounds, model.order)
             add = lambda x, at=bounds[:-1]: np.add.reduceat(x, at)  # noqa: E731  every text has its end
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.diff(bounds), pa.int64()), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, vocabulary.total)), pa.array(add(np.log10(count + 1.0) - base)), pa.array(add(model.log10(v, w, count_v)))],
+                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.diff(bounds), pa.int64()), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, vocabulary.total)), pa.array(add(np.log10(count + 1.0) - base)), pa.array(add(model.log10(grams, count_v)))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those that aren't held out.
+def op6_lm_scores(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    """Scores of all documents by a model of those that aren't held out; ORDER is what is registered.
 
     A null or empty text is its end alone. A null id is not held out. Repeated rows count and return as often
     as they are there. Without training rows the model is uniform over nothing: every token has probability 1.
     An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "text")
-    model = fit(docs.where(~F.col("held_out")).select("text"), docs.count())
+    model = fit(docs.where(~F.col("held_out")).select("text"), docs.count(), order)
     return score_texts(docs, model)

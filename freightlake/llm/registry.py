@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 from pathlib import Path
 
 from .fingerprints import op9_fingerprints
 from .jaccard import OP7_SQL, op7_jaccard_join
-from .lm import op6_lm_scores
+from .lm import ORDER, op6_lm_scores
 from .packing import op5_packing
 from .pieces import op3_sentencepiece
 from .quality import op8_quality
@@ -35,7 +35,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict:
-    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_lm_scores": partial(op6_lm_scores, order=ORDER), "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
     import corpus_pipeline
 
     named["pipeline"] = corpus_pipeline.run
