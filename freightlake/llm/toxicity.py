@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,14 +32,14 @@ _LEET = ("013457@$!|*", "oieastasiio")
 FEATURES = ("lexicon", "learned", "suspects", "suspected", "insults", "near_you", "capitals", "shouted", "exclaims", "symbols", "obfuscated", "hidden", "repeats", "words")
 
 
-def _branches(words: set[str]) -> str:
+def _branches(words: set[str], letter: Callable[[str], str] = re.escape, ending: str = r"\p{L}*") -> str:
     """A pattern of all words (a star: any ending) that branches on one letter at a time."""
     if "*" in words:
-        return r"\p{L}*"
+        return ending
     parts = []
     for c in sorted({w[:1] for w in words}):
         rest = {w[1:] for w in words if w[:1] == c}
-        parts.append(re.escape(c) + (_branches(rest) if c else ""))
+        parts.append(letter(c) + (_branches(rest, letter, ending) if c else ""))
     return parts[0] if len(parts) == 1 else "(?:" + "|".join(sorted(parts, reverse=True)) + ")"
 
 
@@ -47,6 +48,18 @@ def _any(words: tuple[str, ...]) -> str:
     return r"(?<![\p{L}\p{N}])" + (_branches(set(words)) if words else "(?!)") + r"(?![\p{L}\p{N}])"
 
 
+def _spellings(c: str) -> str:
+    """A letter or what _LEET undoes to it."""
+    signs = [sign for sign, plain in zip(*_LEET, strict=True) if c and plain == c]
+    return f"[{''.join(map(re.escape, [c, *signs]))}]" if signs else re.escape(c)
+
+
+def _disguised(words: tuple[str, ...]) -> str:
+    """The words with at least one sign for a letter, wherever it stands; a sign beside a plain word is none."""
+    signs, edge = "".join(map(re.escape, _LEET[0])), r"(?![\p{L}\p{N}])"
+    return rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}}*[{signs}])(?!{_branches(set(words))}{edge}){_branches(set(words), _spellings, rf'[\p{{L}}{signs}]*')}{edge}"
+
+
 def features(text: Column, learned: tuple[str, ...] = (), suspects: tuple[str, ...] = ()) -> dict[str, Column]:
     """Densities by word or by character of the whole text."""
     low = F.lower(text)
@@ -55,9 +68,10 @@ def features(text: Column, learned: tuple[str, ...] = (), suspects: tuple[str, .
     known = F.regexp_count(low, F.lit(_any(LEXICON)))
     new = F.regexp_count(low, F.lit(_any(learned))) if learned else F.lit(0)
     maybe = F.regexp_count(low, F.lit(_any(suspects))) if suspects else F.lit(0)
-    disguised = F.regexp_count(text, F.lit(r"\p{L}[@$*#!0-9]+\p{L}"))
-    plain = F.regexp_count(F.translate(low, *_LEET), F.lit(_any(LEXICON)))
-    you, insult = _any(SECOND_PERSON), _any(tuple(sorted({*LEXICON, *learned})))
+    disguised = F.regexp_count(text, F.lit(r"\p{L}[@$*#!|0-9]+\p{L}"))
+    all_insults = tuple(sorted({*LEXICON, *learned}))
+    hidden = F.regexp_count(low, F.lit(_disguised(all_insults)))
+    you, insult = _any(SECOND_PERSON), _any(all_insults)
     gap = r"(?:[^\p{L}]+\p{L}+){0,3}?[^\p{L}]+"
     near = F.regexp_count(low, F.lit(f"{you}{gap}{insult}|{insult}{gap}{you}"))
     return {
@@ -72,7 +86,7 @@ def features(text: Column, learned: tuple[str, ...] = (), suspects: tuple[str, .
         "exclaims": F.regexp_count(text, F.lit(r"[!?]")) / chars,
         "symbols": F.regexp_count(text, F.lit(r"[#$%&*@|]")) / chars,
         "obfuscated": disguised / words,
-        "hidden": F.when(disguised > 0, F.greatest(plain - known, F.lit(0)) / words).otherwise(F.lit(0.0)),
+        "hidden": hidden / words,
         "repeats": F.regexp_count(text, F.lit(r"(\p{L})\1\1")) / words,
         "words": F.log1p(words),
     }
