@@ -8,11 +8,12 @@ concatenated buckets to the shards in turn, so shard sizes differ by one row at
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, table
+from .common import hash_bucket, shared_dir, table
 
 #: A bucket's share of the records' bytes in op4_sharding.
 BUCKET_BYTES = 2 << 20
@@ -61,16 +62,16 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards under the law ``rows``.
+    """All documents, whole, written in 40 shards under the law ``rows``; returned is what the written shards hold.
 
     A null text has no bytes (size 16) and the checksum of nothing, 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    records = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    return shuffle_into_shards(records, n_shards=40).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    size = (F.octet_length(text) + 16).cast("long")
+    records = table(spark, sf_dir, "documents").withColumns({"doc_id": F.col("doc_id").cast("long"), "size": size})
+    sharded = shuffle_into_shards(records, n_shards=40)
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path)
+    return spark.read.schema(sharded.schema).parquet(path).select(
+        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
