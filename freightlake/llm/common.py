@@ -23,7 +23,7 @@ _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_SECOND_BASE = 0xD1342543DE82EF95
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -32,15 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a folder of its own, once for each context; a cluster must name one.
+    """
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-        spark.sparkContext.setCheckpointDir(place)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
+        place = context.getCheckpointDir()
     return place.rstrip("/")
 
 
+def private(columns: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none of the columns, nor, in any case of letters, with each other."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(*columns: str) -> list[Column]:
+    """Columns by their exact names, whatever characters are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs nothing.
 
@@ -86,12 +107,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of values[start:end], from prefix sums."""
-    n = len(values)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit polynomial hashes of values[start:end], from prefix sums; second: of another base."""
+    n, base = len(values), _SECOND_BASE if second else _BASE
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values.astype(np.uint64) * _table_of_powers(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _table_of_powers(_UNBASE, n + 1)[starts]
+    np.cumsum(values.astype(np.uint64) * _table_of_powers(base, n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _table_of_powers(pow(base, -1, 1 << 64), n + 1)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -119,8 +140,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, second)
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), np.diff(self.bounds))
@@ -155,6 +176,19 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def bytes_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column with lengths[i] of the bytes in row i."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1 and so on, counts[i] of them, for each i in turn."""
+    total = np.cumsum(counts)
+    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column with counts[i] of the values in row i."""
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
