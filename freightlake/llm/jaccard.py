@@ -2,12 +2,15 @@
 
 A document's distinct shingles are hashed into segments, as many as its band of sizes needs: two sets that
 may link differ in H shingles at most, so among segments whose thresholds (0: equal, 1: one deletion apart)
-plus one sum to more than H, some segment is within its threshold. The larger set of a pair indexes all its
-segments, and in bands of small sets their one-deletion neighbourhoods too; the smaller one probes only the
-cheapest segments that suffice. What meets is verified exactly on the whole texts.
-
-Links are found in two rounds. First every set is verified against the hub that it meets most often. Then
-only pairs of sets that meet, have sizes that may link and are not yet in one component are verified.
+plus one sum to more than H, some segment is within its threshold. The larger set of a pair indexes the part
+of it in each segment, and in bands of small sets their one-deletion neighbourhoods too; the smaller one
+probes only the segments that suffice at least cost, by how often their signatures came up. Empty segments
+are left to sets that have no other choice.
+
+Sets that meet under a signature are compared by parity bitmaps first: what two bitmaps differ in is never more
+than what their sets differ in. Nothing but a spanning forest of what passes leaves a group. Its components
+are cells; each cell's texts meet once and are verified exactly, and again only a spanning forest of links
+leaves a cell. So neither step emits pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, list_array, mix, span_hashes, steps, table
+from .common import Words, bytes_array, column, cut, list_array, mix, named, private, ragged, span_hashes, steps, table
 from .components import connected_components
 
 SHINGLE = 5
@@ -30,27 +33,33 @@ BAND = 1.5
 SMALL = 96
 #: Segments beyond those needed, as a share, in the other bands: room to leave out costly ones.
 SPARE = 0.25
-#: Documents to a bucket of signatures, and the fewest buckets; members that one task verifies against a hub.
-ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS = 4000, 64, 256
+#: Documents to a bucket of signatures, and the fewest buckets; members of groups to a bucket of groups.
+ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS_TOGETHER = 4000, 64, 20_000
+#: A larger group or cell is split into parts of this size, and each two parts meet in a task of their own.
+GROUP_PART, CELL_PART = 8192, 512
 #: Bytes of text that are signed together.
 SIGN_BYTES = 4 << 20
+PROBES, INDEXED = 1, 2
 _SALT = np.uint64(0xA0761D6478BD642F)
 _DELETED = np.uint64(0xE7037ED1A0B428DB)
+_PARITY = np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts, and where each text's begin and end among them."""
-    h, bounds = words.hashes(), words.bounds
+def shingle_sets(words: Words, size: int = SHINGLE, second: bool = False) -> tuple[np.ndarray, ...]:
+    """The distinct shingle hashes of all texts, where each text's begin and end among them, and second hashes of them."""
+    bounds = words.bounds
     counts = np.diff(bounds)
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     text = np.repeat(np.arange(len(n)), n)
-    first = bounds[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    shingles = span_hashes(h, first, first + np.minimum(size, counts[text]))
+    first = ragged(bounds[:-1], n)
+    last = first + np.minimum(size, counts[text])
+    shingles = span_hashes(words.hashes(), first, last)
     order = np.lexsort((shingles, text))
     shingles, text = shingles[order], text[order]
     new = np.ones(len(text), bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (text[1:] != text[:-1])
-    return shingles[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+    out = shingles[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+    return (*out, span_hashes(words.hashes(second=True), first, last, second=True)[order][new]) if second else out
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -58,9 +67,28 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def node_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def node_ids(shingles: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit number for each set, equal for equal sets."""
-    return mix(_sums(mix(shingles ^ _SALT), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+    return mix(_sums(mix(shingles ^ (_SALT + np.uint64(salt))), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def parity_width(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmaps of sets of n shingles: a power of 2, two bits for each shingle at least; none for no shingles."""
+    return np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(n / 32, 4))).astype(np.int64), 0)
+
+
+def parities(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sets' bitmaps as bytes, and each one's length: bit b tells whether the shingles hashed to b are odd in number.
+
+    Where two bitmaps differ there is a shingle that one set has alone, and each such shingle makes one difference at most.
+    """
+    size = np.diff(bounds)
+    width = parity_width(size)
+    begin = np.cumsum(width) - width
+    bits = np.repeat(width * 64, size).astype(np.uint64)
+    place = np.repeat(begin * 64, size) + (mix(shingles ^ _PARITY) & (bits - np.uint64(1))).astype(np.int64)
+    odd = np.bincount(place, minlength=int(width.sum()) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little"), width * 8
 
 
 def most_apart(a, percent: int):
@@ -77,7 +105,8 @@ def bands(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.
     low = np.array(low)
     need = most_apart(low[1:] - 1, percent) + 1
     small = low[1:] <= SMALL
-    return low, np.where(small, need // 2 + 1, need + np.ceil(SPARE * need).astype(np.int64)), small
+    # with so few segments, one more makes it a tenth as likely that too few of them hold shingles
+    return low, np.where(small, need // 2 + 1 + (need > 2) * (need < 5), need + np.ceil(SPARE * need).astype(np.int64)), small
 
 
 def allocate(cost0: list[float], cost1: list[float], need: int) -> list[int]:
@@ -103,28 +132,34 @@ def allocate(cost0: list[float], cost1: list[float], need: int) -> list[int]:
 
 
 class Signatures:
-    """Signatures of sets: (signature, place of the set, whether the set probes with it)."""
+    """Signatures of sets: (signature, place of the set, PROBES or INDEXED or both)."""
+
+    #: Costs of evidence that is none: an empty segment, and one that a deletion empties.
+    EMPTY, EMPTIED = 1e9, 1e8
 
     def __init__(self, percent: int):
         self.percent = percent
         self.low, self.m, self.small = bands(percent)
-        self.seen = np.zeros(1 << 20, np.int32)  # how often signatures came up in this task: the cost of probing
+        self.seen = np.zeros(1 << 21, np.int32)  # how often signatures were indexed in this task: what probing them costs
+
+    def _slots(self, sig: np.ndarray) -> np.ndarray:
+        return (sig & np.uint64(len(self.seen) - 1)).astype(np.int64)
 
     def of(self, shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(bounds)
         own = np.searchsorted(self.low, size, "right") - 1
         least = np.searchsorted(self.low, -(-size * self.percent // 100), "right") - 1
         out = []
-        for down in range(int((own - least).max(initial=0)) + 1):
+        for down in range(int((own - least).max(initial=0)), -1, -1):
             picked = np.flatnonzero((size > 0) & (own - down >= least))
             if len(picked):
                 out += self._band(shingles, bounds, picked, own[picked] - down, down == 0)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
     def _band(self, shingles, bounds, picked, band, probes: bool):
         size, m = np.diff(bounds)[picked], self.m[band]
         begin = np.cumsum(m) - m
-        token = np.repeat(bounds[:-1][picked] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        token = ragged(bounds[:-1][picked], size)
         which = np.repeat(np.arange(len(picked)), size)
         h = mix(shingles[token] + band[which].astype(np.uint64) * _SALT)
         at = begin[which] + (h % m[which].astype(np.uint64)).astype(np.int64)
@@ -135,62 +170,71 @@ class Signatures:
         name = (band[owner].astype(np.uint64) << np.uint64(32) | (np.arange(len(owner)) - begin[owner]).astype(np.uint64)) * _SALT
         full = lambda s, k, c: mix(s + name[k] + c.astype(np.uint64) * _DELETED)
         sig = full(total, np.arange(len(owner)), n)
-        slot = (sig & np.uint64(len(self.seen) - 1)).astype(np.int64)
-        probe = np.zeros(len(sig), bool)
         small = self.small[band]
-        out = []
-        if small.any():  # the one-deletion neighbourhoods, indexed
-            t = np.flatnonzero(small[which])
-            less = mix(full(total[at[t]] - values[t], at[t], n[at[t]] - 1) ^ _DELETED)
-            out.append((less, picked[which[t]], np.zeros(len(t), bool)))
+        role = np.full(len(sig), INDEXED, np.uint8)
+        t = np.flatnonzero(small[which])
+        smaller = full(total[at[t]] - values[t], at[t], n[at[t]] - 1)  # a segment less one shingle
+        neighbours = mix(smaller ^ _DELETED)
+        np.add.at(self.seen, self._slots(sig), 1)
+        np.add.at(self.seen, self._slots(neighbours), 1)
+        out = [(neighbours, picked[which[t]], np.full(len(t), INDEXED, np.uint8))]
         if probes:
             need = most_apart(size, self.percent) + 1
-            cost = self.seen[slot] + 4.0 * 0.5 ** np.minimum(n, 60) + np.where(n == 0, 1e9, 0)
+            cost = self.seen[self._slots(sig)] + 4.0 * 0.5 ** np.minimum(n, 60) + np.where(n == 0, self.EMPTY, 0)
             order = np.lexsort((cost, owner))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - begin[owner[order]]
-            probe = (rank < need[owner]) & ~small[owner]
-            for i in np.flatnonzero(small):
-                own = slice(begin[i], begin[i] + m[i])
-                thresholds = allocate(cost[own].tolist(), (cost[own] + 1 + n[own]).tolist(), int(need[i]))
-                one = np.flatnonzero(np.array(thresholds) == 1) + begin[i]
-                probe[own] = np.array(thresholds) >= 0
-                if len(one):
-                    t = np.flatnonzero(which == i) if len(picked) > 1 else np.arange(len(at))
-                    t = t[np.isin(at[t], one)]
-                    smaller = full(total[at[t]] - values[t], at[t], n[at[t]] - 1)
-                    both = np.concatenate([smaller, mix(sig[one] ^ _DELETED)])
-                    out.append((both, np.full(len(both), picked[i]), np.ones(len(both), bool)))
-            np.add.at(self.seen, slot, 1)
-        out.append((sig, picked[owner], probe))
+            role[(rank < need[owner]) & ~small[owner]] |= PROBES
+            if small.any():
+                as_neighbour = mix(sig ^ _DELETED)
+                deletions = np.bincount(at[t], weights=self.seen[self._slots(smaller)], minlength=len(sig))
+                cost1 = cost + self.seen[self._slots(as_neighbour)] + deletions + n + np.where(n < 2, self.EMPTIED, 0)
+                one = np.zeros(len(sig), bool)
+                for i in np.flatnonzero(small):
+                    own = slice(begin[i], begin[i] + m[i])
+                    thresholds = np.array(allocate(cost[own].tolist(), cost1[own].tolist(), int(need[i])))
+                    role[own][thresholds >= 0] |= PROBES
+                    one[own] = thresholds == 1
+                of_one = one[at[t]]
+                out.append((smaller[of_one], picked[which[t[of_one]]], np.full(int(of_one.sum()), PROBES, np.uint8)))
+                out.append((as_neighbour[one], picked[owner[one]], np.full(int(one.sum()), PROBES, np.uint8)))
+        out.append((sig, picked[owner], role))
         return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in steps(batches):
-        shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rid"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_ids(shingles, bounds))], names=["doc_id", "rid", "n", "node"])
+def _sketch(salt: int):
+    """A row for each text: its set's size, number, a second number of other hashes, and bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            shingles, bounds, second = shingle_sets(Words(data, offsets, lower=True), second=True)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), column(batch, "rid"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_ids(shingles, bounds, salt)), pa.array(node_ids(second, bounds, salt)), bytes_array(*parities(shingles, bounds))],
+                names=["doc_id", "rid", "n", "node", "other", "bits"],
+            )
+
+    return run
 
 
-def _sign(percent: int, buckets: int):
+def _sign(percent: int, buckets: int, salt: int):
     """Signatures, packed by bucket: (bucket, sigs, times, nodes), each node once with how many signatures follow for it.
 
-    The lowest bit of a signature tells probes.
+    The lowest two bits of a signature are its role.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(percent)
         for _, data, offsets in steps(batches, step_bytes=SIGN_BYTES):
             shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
-            nodes = node_ids(shingles, bounds)
+            nodes = node_ids(shingles, bounds, salt)
             _, once = np.unique(nodes, return_index=True)  # equal sets sign once
             size = np.diff(bounds)[once]
-            inner = np.repeat(bounds[:-1][once] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            sig, place, probe = signatures.of(shingles[inner], np.concatenate([[0], np.cumsum(size)]))
+            inner = ragged(bounds[:-1][once], size)
+            sig, place, role = signatures.of(shingles[inner], np.concatenate([[0], np.cumsum(size)]))
             bucket = (sig % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((place, bucket))
             bucket, place = bucket[order], place[order]
-            short = ((sig >> np.uint64(32)) & np.uint64(0xFFFFFFFE) | probe.astype(np.uint64)).astype(np.uint32).view(np.int32)[order]
+            short = ((sig >> np.uint64(32)) & np.uint64(0xFFFFFFFC) | role).astype(np.uint32).view(np.int32)[order]
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])])) if len(order) else np.zeros(0, np.int64)
             present, counts = np.unique(bucket, return_counts=True)
             sets = np.unique(bucket[first], return_counts=True)[1]
@@ -200,73 +244,189 @@ def _sign(percent: int, buckets: int):
     return run
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
 def _meet(rows: pa.Table) -> pa.Table:
-    """The sets that meet in one bucket: (gid, hub, node, probe), a row for each but the hub."""
+    """The groups of one bucket in which some set probes what another indexes: (gid, size, node, role), a row for each member.
+
+    Of groups with the same members one stays.
+    """
     sig = rows["sigs"].combine_chunks().flatten().to_numpy().view(np.uint32)
     node = np.repeat(*(rows[k].combine_chunks().flatten().to_numpy() for k in ("nodes", "times")))
-    probe, sig = (sig & 1).astype(bool), sig >> 1
-    order = np.lexsort((~probe, node, sig))
-    sig, node, probe = sig[order], node[order], probe[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, probe = sig[new], node[new], probe[new]
-    order = np.lexsort((node, ~probe, sig))  # a group's hub, its least probing set, comes first
-    sig, node, probe = sig[order], node[order], probe[order]
-    begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    role, sig = (sig & 3).astype(np.uint8), sig >> 2
+    order = np.lexsort((node, sig))
+    sig, node, role = sig[order], node[order], role[order]
+    first = _starts(sig, node)
+    sig, node, role = sig[first], node[first], np.bitwise_or.reduceat(role, first) if len(first) else role
+    begins = _starts(sig)
     counts = np.diff(np.append(begins, len(sig)))
-    live = np.repeat((counts > 1) & probe[begins], counts) if len(sig) else np.zeros(0, bool)
-    hub = np.repeat(node[begins], counts) if len(sig) else node
-    live[begins] = False
-    gid = (np.int64(rows["bucket"][0].as_py()) << 32 if len(sig) else 0) | sig[live].astype(np.int64)
-    return pa.table({"gid": gid, "hub": hub[live], "node": node[live], "probe": probe[live]})
+    some = lambda bit: np.add.reduceat((role & bit > 0).astype(np.int64), begins) > 0 if len(begins) else np.zeros(0, bool)
+    live = (counts > 1) & some(PROBES) & some(INDEXED)
+    begins, counts = begins[live], counts[live]
+    members = mix(_sums(mix(node.view(np.uint64)), np.append(0, np.arange(1, len(node) + 1)))) if len(node) else np.zeros(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(members)])
+    same = total[begins + counts] - total[begins] + counts.astype(np.uint64)
+    _, kept, times = np.unique(same, return_index=True, return_counts=True)
+    begins, counts = begins[kept], counts[kept]
+    at = ragged(begins, counts)
+    many = np.repeat(times > 1, counts)
+    gid = np.int64(rows["bucket"][0].as_py()) << 30 | sig[at].astype(np.int64)
+    return pa.table({"gid": gid, "size": np.repeat(counts, counts), "node": node[at], "role": np.where(many, PROBES | INDEXED, role[at]).astype(np.int32)})
+
+
+class Bitmaps:
+    """Parity bitmaps of some sets, to tell which pairs may link."""
+
+    def __init__(self, bits: pa.Array, n: np.ndarray, percent: int):
+        self.n, self.percent, self.width = n, percent, parity_width(n)
+        data = bits.buffers()[2]
+        self.flat = np.frombuffer(data, np.uint64) if data is not None else np.zeros(0, np.uint64)
+        self.begin = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits)] // 8
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _level(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of this width, and those twice as wide folded to it; and each set's row among them."""
+        if width not in self.levels:
+            own, twice = np.flatnonzero(self.width == width), np.flatnonzero(self.width == 2 * width)
+            take = lambda which, w: self.flat[self.begin[which][:, None] + np.arange(w)]
+            wide = take(twice, 2 * width)
+            place = np.zeros(len(self.n), np.int64)
+            place[own], place[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.levels[width] = np.concatenate([take(own, width), wide[:, :width] ^ wide[:, width:]]), place
+        return self.levels[width]
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair whether it may link."""
+        na, nb = self.n[a], self.n[b]
+        out = 100 * np.minimum(na, nb) >= self.percent * np.maximum(na, nb)
+        apart = na + nb - 2 * -(-self.percent * (na + nb) // (100 + self.percent))
+        at = np.flatnonzero(out)
+        width = np.minimum(self.width[a[at]], self.width[b[at]])
+        for w in np.unique(width):
+            bits, place = self._level(int(w))
+            some = at[width == w]
+            for part in np.split(some, range(max(1, (1 << 19) // w), len(some), max(1, (1 << 19) // w))):
+                out[part] = np.bitwise_count(bits[place[a[part]]] ^ bits[place[b[part]]]).sum(1, dtype=np.int64) <= apart[part]
+        return out
+
+
+def _forest(members: np.ndarray, linked) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of members, as (one, others linked with it); linked(x, others) tells which of others x is linked with."""
+    todo = members
+    while len(todo):
+        queue, todo = [todo[0]], todo[1:]
+        while queue and len(todo):
+            x = queue.pop()
+            hit = linked(x, todo)
+            if hit.any():
+                yield x, todo[hit]
+                queue.extend(todo[hit])
+                todo = todo[~hit]
+
+
+def _may_link(percent: int):
+    """Of groups (gid, i, j, node, role, n, bits): a spanning forest of the pairs that meet and whose bitmaps let them link."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, role, n, gid, i, j = (rows[c].to_numpy() for c in ("node", "role", "n", "gid", "i", "j"))
+        order = np.lexsort((node, j, i, gid))
+        bitmaps = Bitmaps(rows["bits"].combine_chunks() if rows["bits"].num_chunks != 1 else rows["bits"].chunk(0), n, percent)
+        begins = _starts(gid[order], i[order], j[order])
+        counts = np.diff(np.append(begins, len(order)))
+        probes, indexed = role & PROBES > 0, role & INDEXED > 0
+        meet = lambda a, b: probes[a] & indexed[b] | indexed[a] & probes[b]
+        hub = np.repeat(order[begins], counts)
+        first = np.zeros(len(order), bool)
+        first[begins] = True
+        near = first.copy()
+        a, b = hub[~first], order[~first]
+        near[~first] = bitmaps.close(a, b) & meet(a, b)
+        us, vs = [hub[near & ~first]], [order[near & ~first]]
+        for g in np.flatnonzero((counts > 2) & ~np.logical_and.reduceat(near, begins)):  # not all are linked by way of the first
+            for x, others in _forest(order[begins[g] : begins[g] + counts[g]], lambda x, rest: bitmaps.close(np.full(len(rest), x), rest) & meet(x, rest)):
+                us.append(np.full(len(others), x))
+                vs.append(others)
+        u, v = node[np.concatenate(us)], node[np.concatenate(vs)]
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((v, u))
+        once = order[_starts(u[order], v[order])]
+        return pa.table({"u": u[once], "v": v[once]})
+
+    return run
 
 
-def _verify(percent: int):
-    """Of rows (hub, node, text) with each hub's own first: the pairs that link."""
+def _links(percent: int):
+    """Of sets by cell (cell, i, j, node, text), each cell's rows in a row: a spanning forest of each cell's links, verified exactly."""
+
+    def forest(nodes: list[int], sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(h) for h, _ in sets])
+        h, other = (np.concatenate(x) for x in zip(*sets, strict=True))
+        order = np.lexsort((other, h))  # shingles are told apart by 128 bits
+        new = np.zeros(len(h), np.int64)
+        new[order[_starts(h[order], other[order])[1:]]] = 1
+        ids = np.empty(len(h), np.int64)
+        ids[order] = np.cumsum(new[order])
+        begin, mark = np.cumsum(size) - size, np.zeros(len(h), bool)
+
+        def linked(x: int, rest: np.ndarray) -> np.ndarray:
+            mark[ids[begin[x] : begin[x] + size[x]]] = True
+            some = mark[ids[ragged(begin[rest], size[rest])]]
+            both = np.add.reduceat(some.astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            mark[ids[begin[x] : begin[x] + size[x]]] = False
+            return 100 * both >= percent * (size[x] + size[rest] - both)
+
+        for x, others in _forest(np.arange(len(sets)), linked):
+            yield from ((nodes[x], nodes[y]) for y in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
+        now, nodes, sets = None, [], []
         for batch, data, offsets in steps(batches):
-            shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
-            hubs, nodes, found = column(batch, "hub").to_numpy(), column(batch, "node").to_numpy(), []
-            for i in range(batch.num_rows):
-                mine = shingles[bounds[i] : bounds[i + 1]]
-                if hubs[i] == nodes[i]:
-                    hub, own = hubs[i], mine.copy()
-                    continue
-                assert hub == hubs[i], "a hub's row comes before its members"
-                at = np.minimum(np.searchsorted(own, mine), max(len(own) - 1, 0))
-                both = int((own[at] == mine).sum()) if len(own) else 0
-                if 100 * both >= percent * (len(own) + len(mine) - both):
-                    found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs[found]), pa.array(nodes[found])], names=["u", "v"])
+            h, bounds, other = shingle_sets(Words(data, offsets, lower=True), second=True)
+            found = []
+            for k, (key, node) in enumerate(zip(zip(*(column(batch, c).to_pylist() for c in ("cell", "i", "j")), strict=True), column(batch, "node").to_pylist(), strict=True)):
+                if key != now:
+                    found += forest(nodes, sets) if len(nodes) > 1 else []
+                    now, nodes, sets = key, [], []
+                if not nodes or nodes[-1] != node:  # rows that repeat are one set
+                    nodes.append(node)
+                    sets.append((h[bounds[k] : bounds[k + 1]].copy(), other[bounds[k] : bounds[k + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], names=["u", "v"])
+        if len(nodes) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*forest(nodes, sets), strict=True)] or [pa.array([], pa.int64())] * 2, names=["u", "v"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, node) whose texts link. A hub with many members is verified in several tasks."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    hubs = parts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = members.unionByName(hubs).join(texts.select("node", "text"), "node")
-    dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("node"))
-    return dealt.select("hub", "node", "text").mapInArrow(_verify(percent), "u long, v long")
+def _in_parts(rows: DataFrame, key: str, size: str, part: int) -> DataFrame:
+    """rows with i and j: one row where the key's size is one part, else a row for each part that this row's part meets."""
+    parts = F.ceil(F.col(size) / part).cast("int")
+    own = F.pmod(F.xxhash64("node", key), parts).cast("int")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    pairs = F.when(parts < 2, F.array(pair(F.lit(0), F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: pair(own, p)))
+    return rows.withColumn("ij", F.explode(pairs)).select(*[c for c in rows.columns], "ij.i", "ij.j")
 
 
-def across_components(met: DataFrame, sizes: DataFrame, done: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between sets that meet, have different labels and sizes that may link, and were not verified (done)."""
-    ends = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    known = met.join(ends("node"), "node", "left").join(ends("hub"), "hub", "left").withColumns({"node_c": F.coalesce("node_c", "node"), "hub_c": F.coalesce("hub_c", "hub")})
-    mixed = known.where("node_c <> hub_c").select("gid").distinct()
-    apart = cut(known.join(mixed, "gid").select("gid", "hub", "node", "node_c", "hub_c", "probe"), "apart", release=True)
-    members = apart.select("gid", "node", F.col("node_c").alias("c"), "probe").unionByName(apart.select("gid", F.col("hub").alias("node"), F.col("hub_c").alias("c"), F.lit(True).alias("probe")).distinct())
-    members = members.join(sizes, "node")
-    a, b = members.where("probe").alias("a"), members.alias("b")  # the smaller set probes
-    meet = (F.col("a.gid") == F.col("b.gid")) & (F.col("a.c") != F.col("b.c")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (~F.col("b.probe") | (F.col("a.node") < F.col("b.node")))))
-    pairs = a.join(b, meet & (100 * F.col("a.n") >= percent * F.col("b.n"))).select(F.least("a.node", "b.node").alias("hub"), F.greatest("a.node", "b.node").alias("node")).distinct()
-    was = done.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    return verified(cut(pairs.join(was, ["hub", "node"], "left_anti"), "pairs", release=True), texts, percent)
+def candidate_cells(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component): the sets that some chain of meetings, let pass by their bitmaps, joins."""
+    n_buckets = max(LEAST_BUCKETS, met.count() // MEMBERS_TOGETHER)
+    parts = _in_parts(met.join(sets.select("node", "n", "bits"), "node"), "gid", "size", GROUP_PART)
+    groups = parts.withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(n_buckets)))
+    may = groups.select("bucket", "gid", "i", "j", "node", "role", "n", "bits").groupBy("bucket").applyInArrow(_may_link(percent), "u long, v long")
+    return connected_components(cut(may.distinct(), "may-link", release=True))
+
+
+def verified(cells: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the links of each cell."""
+    sizes = cells.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    chosen = cells.join(sizes, "component").join(sets.select("node", "rid"), "node").select("rid", "node", F.col("component").alias("cell"), "size")
+    parts = _in_parts(texts.select("rid", "text").join(chosen, "rid"), "cell", "size", CELL_PART)
+    dealt = parts.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
+    return dealt.select("cell", "i", "j", "node", "text").mapInArrow(_links(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -275,19 +435,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     Links join nodes to components and leave out pairs that others imply. rid is the row's own hash.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    sketches = cut(texts.mapInArrow(_sketch, "doc_id long, rid long, n long, node long"), "sketches")
-    buckets = max(LEAST_BUCKETS, sketches.count() // ROWS_TOGETHER)
-    signed = texts.select("text").mapInArrow(_sign(percent, buckets), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
-    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, hub long, node long, probe boolean"), "met", release=True)
-    there = met.select("node").distinct().unionByName(met.select(F.col("hub").alias("node")).distinct()).distinct()
-    chosen = sketches.where("n > 0").join(there, "node").groupBy("node").agg(F.min("rid").alias("rid"))
-    whole = cut(texts.join(chosen, "rid").groupBy("rid", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", release=True)
-    often = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    first = cut(often.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("hub", "node"), "hubs")
-    links = cut(verified(first, whole, percent), "first", release=True)
-    sizes = sketches.where("n > 0").select("node", "n").distinct()
-    more = across_components(met, sizes, first, connected_components(links), whole, percent)
-    return sketches.withColumnRenamed("n", "n_shingles"), cut(links.unionByName(more), "links", release=True)
+    salt, unlike = -1, 1
+    while unlike:  # unlike sets of one number: with other numbers, anew
+        salt += 1
+        sketches = cut(texts.mapInArrow(_sketch(salt), "doc_id long, rid long, n long, node long, other long, bits binary"), "sketches")
+        of_nodes = sketches.groupBy("node").agg(F.min("other").alias("o"), F.max("other").alias("p"), F.sum(F.lit(1)).alias("c"))
+        told = of_nodes.agg(F.sum((F.col("o") != F.col("p")).cast("long")).alias("unlike"), F.sum("c").alias("rows")).first()
+        unlike = told["unlike"]
+    buckets = max(LEAST_BUCKETS, (told["rows"] or 0) // ROWS_TOGETHER)
+    signed = texts.select("text").mapInArrow(_sign(percent, buckets, salt), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
+    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, size long, node long, role int"), "met", release=True)
+    own = sketches.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("rid").alias("rid"), F.min_by("bits", "rid").alias("bits"))
+    sets = cut(own.join(met.select("node").distinct(), "node", "left_semi"), "sets", release=True)
+    cells = candidate_cells(met, sets, percent)
+    links = cut(verified(cells, sets, texts, percent), "links", release=True)
+    return sketches.select("doc_id", "rid", F.col("n").alias("n_shingles"), "node"), links
 
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
@@ -301,8 +463,8 @@ def with_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Letters A-Z count as a-z. Equal texts, and different texts of equal sets, link. Rows without words have no
     shingles and only themselves; so a null id without words has a null component. A component has its
-    smallest id that is not null. Repeated rows each return; an empty table gives no rows. Sets and shingles
-    are told apart by 64-bit hashes.
+    smallest id that is not null. Repeated rows each return; an empty table gives no rows. Shingles that are
+    compared, and whole sets, are told apart by 128 bits. Columns other than doc_id and text aren't read.
     """
     rows = _labelled(docs, percent)
     names = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
@@ -311,15 +473,20 @@ def with_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id (nulls last); rows without words all stay."""
+    """``docs`` with one row of each component, that of the smallest doc_id (nulls last); rows without words all stay.
+
+    Of equal rows of a component one stays. Columns of any name are kept as they are; a long text is one row as
+    any other, and an empty table gives no rows.
+    """
     rows = _labelled(docs, percent)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
-    chosen = rows.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.rid").alias("__rid"), F.lit(True).alias("__one"))
-    wordless = rows.where("n_shingles = 0").select(F.col("rid").alias("__rid"), F.lit(False).alias("__one")).distinct()
-    kept = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(chosen.unionByName(wordless), "__rid")
-    # of equal rows one stays
-    first = F.row_number().over(Window.partitionBy("__rid").orderBy("__one"))
-    return kept.withColumn("__n", first).where(~F.col("__one") | (F.col("__n") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    chosen = rows.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("o")).select("o.rid", F.lit(True).alias("one"))
+    wordless = rows.where("n_shingles = 0").select("rid", F.lit(False).alias("one")).distinct()
+    rid, one, number = private(docs.columns, "rid", "one", "number")
+    stay = chosen.unionByName(wordless).toDF(rid, one)
+    kept = docs.withColumn(rid, F.xxhash64("doc_id", "text")).join(stay, rid)
+    first = F.row_number().over(Window.partitionBy(rid).orderBy(one))
+    return kept.withColumn(number, first).where(~F.col(one) | (F.col(number) == 1)).select(*named(*docs.columns))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
