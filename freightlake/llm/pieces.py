@@ -1,11 +1,12 @@
 """Op 3, SentencePiece encoding and decoding on a relational lattice.
 
 Texts are split where no piece can reach across, and each distinct part (a word with its leading spaces) is
-encoded once: its substrings of bounded length are exploded, joined to the piece table, grouped by word into
-the edges of its lattice, and a path is folded from them with ``aggregate``. For unigram models that is the
-Viterbi path. Byte-pair models do not choose the path of largest score but merge best neighbours first; for
-them the fold replays the merges over the same edges. The words' ids are written as sorted hash arrays that
-the tasks which put texts together map into memory.
+encoded once: its substrings of bounded length meet the piece table and become the edges of the word's lattice.
+For unigram models these are DataFrame steps (explode, equi-join, group) and the Viterbi path is folded with
+``aggregate``. Byte-pair models do not choose the path of largest score but merge best neighbours first, so
+Viterbi gives other ids than the model; for them the merges run over the lattices of many words at once inside
+Arrow batches. The words' ids are written as sorted hash arrays that the tasks which put texts together map into
+memory.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import column, list_array, shared_dir, span_hashes, steps, table, text_buffers
+from .common import bytes_array, column, list_array, named, private, ragged, shared_dir, span_hashes, steps, table, text_buffers
 from .lm import _flat, _place, map_array, save_array
 
 UNIGRAM, BPE = 1, 2
@@ -28,8 +31,8 @@ UNIGRAM, BPE = 1, 2
 BREAKS = "\n\t"
 #: What a character without piece costs a unigram path more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Files of the dictionary.
-FILES = 64
+#: Bytes of text whose distinct words are found together; of words whose lattices are built together; of all texts to a file of the dictionary.
+WORD_BYTES, LATTICE_BYTES, FILE_BYTES = 4 << 20, 1 << 17, 128 << 20
 _MARK = "▁"
 
 
@@ -92,18 +95,6 @@ def _once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def merged_bounds(n: Column, edges: Column) -> Column:
-    """The bounds of the pieces of a byte-pair model: best neighbours merged first, the leftmost where they tie."""
-
-    def merge(bounds: Column, _: Column) -> Column:
-        place = lambda x: F.array_position(bounds, x)
-        fits = F.filter(edges, lambda x: (x["e"] - x["s"] > 1) & (place(x["s"]) > 0) & (place(x["e"]) == place(x["s"]) + 2))
-        best = F.array_min(F.transform(fits, lambda x: F.struct(x["cost"].alias("cost"), x["s"].alias("s"), x["e"].alias("e"))))
-        return _once(best, lambda m: F.when(m.isNull(), bounds).otherwise(F.filter(bounds, lambda v: (v <= m["s"]) | (v >= m["e"]))))
-
-    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), merge))
-
-
 def viterbi_bounds(n: Column, edges: Column, unknown_cost: float) -> Column:
     """The bounds of the pieces on the cheapest path; of equally cheap ones that whose last piece begins first."""
     kind = "array<struct<cost:double,s:int>>"
@@ -123,12 +114,136 @@ def viterbi_bounds(n: Column, edges: Column, unknown_cost: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) for distinct non-empty words."""
+class Merges:
+    """The lattice and the merges of a byte-pair model, for many words at once.
+
+    Substrings of bounded length meet the pieces by two hashes (128 bits); best neighbours merge first, the leftmost
+    where they tie. Short words merge in step with each other, long ones by a heap each.
+    """
+
+    LONG, NEVER = 64, np.iinfo(np.int64).max
+
+    def __init__(self, model: Model):
+        chars = np.frombuffer("".join(model.pieces).encode("utf-32-le"), np.uint32)
+        size = np.array([len(x) for x in model.pieces], np.int64)
+        begin = np.cumsum(size) - size
+        h = span_hashes(chars, begin, begin + size)
+        order = np.argsort(h)
+        self.model, self.h, self.second = model, h[order], span_hashes(chars, begin, begin + size, second=True)[order]
+        self.ids, self.rank = np.array(model.ids)[order], np.unique(-np.array(model.scores), return_inverse=True)[1][order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[h >> np.uint64(44)] = True
+
+    def lattice(self, chars: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """By length less one and place: the piece that these characters spell, or -1. left: characters to the end of the word."""
+        out = np.full((self.model.longest, len(chars)), -1, np.int32)
+        for k in range(1, self.model.longest + 1):
+            p = np.flatnonzero(left >= k)
+            h = span_hashes(chars, p, p + k)
+            some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.h, h[some]), len(self.h) - 1)
+            hit = self.h[at] == h[some]
+            p, at = p[some[hit]], at[hit]
+            hit = self.second[at] == span_hashes(chars, p, p + k, second=True)
+            out[k - 1, p[hit]] = at[hit]
+        return out
+
+    def _ranks(self, found: np.ndarray, p: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """What merging each symbol at p with the next costs: its rank, then its place; NEVER if no piece spells both."""
+        both = size[p]
+        both = np.where(left[p] > both, both + size[np.minimum(p + both, len(size) - 1)], len(found) + 1)
+        piece = np.where(both <= len(found), found[np.minimum(both, len(found)) - 1, p], -1)
+        return np.where(piece >= 0, self.rank[piece] << np.int64(32) | p, self.NEVER)
+
+    def _together(self, found: np.ndarray, begins: np.ndarray, counts: np.ndarray, size: np.ndarray, left: np.ndarray) -> None:
+        """Merge in all these words, one merge each in a step; size gets each symbol's length at its place, 0 elsewhere."""
+        before = np.arange(len(size)) - 1
+        cost = np.full(len(size), self.NEVER)
+        at = ragged(begins, counts)
+        cost[at] = self._ranks(found, at, size, left)
+        while len(begins):
+            best = np.minimum.reduceat(cost[at], np.cumsum(counts) - counts)
+            on = best < self.NEVER
+            if on.sum() * 2 < len(on):  # leave out what is done
+                begins, counts, best = begins[on], counts[on], best[on]
+                at = ragged(begins, counts)
+            p = best[best < self.NEVER] & np.int64(0xFFFFFFFF)
+            q = p + size[p]
+            size[p] += size[q]
+            size[q], cost[q] = 0, self.NEVER
+            after = (p + size[p])[left[p] > size[p]]
+            before[after] = p[left[p] > size[p]]
+            cost[p] = self._ranks(found, p, size, left)
+            b = before[p]
+            b = b[(b >= 0) & (left[b] > left[p])]  # in the same word
+            cost[b] = self._ranks(found, b, size, left)
+
+    def _alone(self, found: np.ndarray, begin: int, n: int, size: np.ndarray) -> None:
+        """Merge in one long word."""
+        end, longest = begin + n, len(found)
+        sizes, before = [1] * n, list(range(-1, n - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(p: int) -> None:
+            q = p + sizes[p]
+            if p >= 0 and q < n and (both := sizes[p] + sizes[q]) <= longest and (piece := found[both - 1, begin + p]) >= 0:
+                heappush(heap, (int(self.rank[piece]), p, both))
+
+        for p in range(n - 1):
+            offer(p)
+        while heap:
+            _, p, both = heappop(heap)
+            if not sizes[p] or (q := p + sizes[p]) >= n or sizes[p] + sizes[q] != both:
+                continue  # one of the two has merged since
+            sizes[p], sizes[q] = both, 0
+            if p + both < n:
+                before[p + both] = p
+            offer(p)
+            if before[p] >= 0:
+                offer(before[p])
+        size[begin:end] = sizes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; data and offsets are UTF-8."""
+        model = self.model
+        byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        bounds = np.searchsorted(byte, offsets)
+        counts = np.diff(bounds)
+        left = np.repeat(bounds[1:], counts) - np.arange(len(chars))
+        found, size = self.lattice(chars, left), np.ones(len(chars), np.int64)
+        short = (counts <= self.LONG) & (counts > 0)
+        self._together(found, bounds[:-1][short], counts[short], size, left)
+        for w in np.flatnonzero(counts > self.LONG):
+            self._alone(found, int(bounds[w]), int(counts[w]), size)
+        p = np.flatnonzero(size)
+        piece = found[size[p] - 1, p]
+        spelled = (piece < 0) & (model.bytes_from >= 0)  # by its bytes
+        n = np.where(spelled, np.diff(byte)[p], 1)
+        ends = np.cumsum(n)
+        out = np.full(int(ends[-1]) if len(ends) else 0, model.unknown, np.int64)
+        out[(ends - n)[piece >= 0]] = self.ids[piece[piece >= 0]]
+        out[ragged((ends - n)[spelled], n[spelled])] = data[ragged(byte[p[spelled]], n[spelled])].astype(np.int64) + model.bytes_from
+        return out, np.diff(np.append(0, ends)[np.searchsorted(p, bounds)])
+
+
+def merged_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) for distinct non-empty words by a byte-pair model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = Merges(model)
+        for batch, data, offsets in steps(batches, "word", LATTICE_BYTES):
+            ids, counts = merges.encode(data, offsets)
+            yield pa.RecordBatch.from_arrays([column(batch, "word"), list_array(ids.astype(np.int32), counts, pa.int32())], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def best_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) for distinct non-empty words by a unigram model: the cheapest path of each word's lattice."""
     worst = max((-s for s in model.scores), default=0.0) + UNKNOWN_PENALTY
-    n, edges = F.col("n"), F.col("edges")
-    bounds = merged_bounds(n, edges) if model.kind == BPE else viterbi_bounds(n, edges, worst)
-    cut_up = lattice(words, model).withColumn("bounds", bounds)
+    edges = F.col("edges")
+    cut_up = lattice(words, model).withColumn("bounds", viterbi_bounds(F.col("n"), edges, worst))
     b = F.col("bounds")
 
     def spelled(s: Column) -> Column:
@@ -145,6 +260,11 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return cut_up.select("word", F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), ids)).alias("ids"))
 
 
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) for distinct non-empty words."""
+    return merged_words(words, model) if model.kind == BPE else best_words(words, model)
+
+
 def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where words begin among the bytes of prepared texts: as the pattern in ``write_dictionary`` has it."""
     if not len(data):
@@ -157,20 +277,55 @@ def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def write_dictionary(texts: DataFrame, model: Model) -> str:
-    """Encode all distinct words of prepared texts (column text) and write hash arrays; returns their folder."""
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """All distinct words of prepared texts (column text); each task sends a word once for each of its steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in steps(batches, step_bytes=WORD_BYTES):
+            starts = _word_starts(data, offsets)
+            ends = np.append(starts[1:], len(data)) if len(starts) else starts
+            _, once = np.unique(span_hashes(data, starts, ends), return_index=True)
+            size = (ends - starts)[once]
+            yield pa.RecordBatch.from_arrays([bytes_array(data[ragged(starts[once], size)], size)], names=["word"])
+
+    return texts.mapInArrow(run, "word binary").distinct().select(F.col("word").cast("string").alias("word"))
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """The ids of words: files by the first bits of a word's hash, each with sorted hashes and the ids of their words."""
+
+    folder: str
+    bits: int
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct sorted words in a row, and how many each has."""
+        counts, flat = np.zeros(len(hashes), np.int64), []
+        files = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        begins = np.flatnonzero(np.append(True, files[1:] != files[:-1])) if len(files) else np.zeros(0, np.int64)
+        for i, j in zip(begins, np.append(begins[1:], len(hashes)), strict=True):
+            known, end, ids = (map_array(self.folder, f"{name}-{files[i]}", kind) for name, kind in (("word", "u8"), ("end", "i8"), ("ids", "i4")))
+            at = np.searchsorted(known, hashes[i:j])
+            begin = np.where(at > 0, end[at - 1], 0)
+            counts[i:j] = end[at] - begin
+            flat.append(ids[ragged(begin, counts[i:j])])
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), counts
+
+
+def write_dictionary(texts: DataFrame, model: Model) -> Dictionary:
+    """Encode all distinct words of prepared texts (column text) and write their ids to the shared folder."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
-    pattern = rf"[{BREAKS}]| +[^ {BREAKS}]*|[^ {BREAKS}]+"
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word")).distinct()
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (total // FILE_BYTES).bit_length())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(column(batch, "word"))
             h = span_hashes(data, offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(58)).astype(np.int32)), pa.array(h.view(np.int64)), column(batch, "ids")], names=["bucket", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int32)), pa.array(h.view(np.int64)), column(batch, "ids")], names=["bucket", "h", "ids"])
 
     def write(rows: pa.Table) -> pa.Table:
         b = rows["bucket"][0].as_py()
@@ -180,26 +335,9 @@ def write_dictionary(texts: DataFrame, model: Model) -> str:
         save_array(folder, f"ids-{b}", _flat(rows, "ids").astype(np.int32))
         return pa.table({"bucket": pa.array([b], pa.int32())})
 
-    encoded = encode_words(words, model).mapInArrow(pack, "bucket int, h long, ids array<int>")
-    done = {r["bucket"] for r in encoded.groupBy("bucket").applyInArrow(write, "bucket int").collect()}
-    for b in set(range(FILES)) - done:
-        for name, kind in (("word", "i8"), ("end", "i8"), ("ids", "i4")):
-            save_array(folder, f"{name}-{b}", np.zeros(0, kind))
-    return folder
-
-
-def _look_up(folder: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of distinct sorted words in a row, and how many each has."""
-    counts, flat = np.zeros(len(hashes), np.int64), []
-    cuts = np.searchsorted(hashes, np.arange(FILES, dtype=np.uint64) << np.uint64(58))
-    for b, (i, j) in enumerate(zip(cuts, np.append(cuts[1:], len(hashes)), strict=True)):
-        if i < j:
-            known, end, ids = map_array(folder, f"word-{b}", "u8"), map_array(folder, f"end-{b}", "i8"), map_array(folder, f"ids-{b}", "i4")
-            at = np.searchsorted(known, hashes[i:j])
-            begin = np.where(at > 0, end[at - 1], 0)
-            counts[i:j] = end[at] - begin
-            flat.append(ids[np.repeat(begin - (np.cumsum(counts[i:j]) - counts[i:j]), counts[i:j]) + np.arange(int(counts[i:j].sum()))])
-    return np.concatenate(flat) if flat else np.zeros(0, np.int32), counts
+    encoded = encode_words(distinct_words(texts), model).mapInArrow(pack, "bucket int, h long, ids array<int>")
+    encoded.groupBy("bucket").applyInArrow(write, "bucket int").write.format("noop").mode("overwrite").save()  # the files are the result
+    return Dictionary(folder, bits)
 
 
 def encode(docs: DataFrame, model: Model, out: str = "ids", keep_text: bool = True) -> DataFrame:
@@ -210,13 +348,13 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", keep_text: bool = Tr
     Without keep_text the text itself goes no further, which halves what tasks hold.
     """
     names = [c for c in docs.columns if c != out and (keep_text or c != "text")]
-    folder = write_dictionary(docs.select(prepared(F.col("text")).alias("text")), model)
+    words = write_dictionary(docs.select(prepared(F.col("text")).alias("text")), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches, "__prepared"):
+        for batch, data, offsets in steps(batches, whole):
             starts = _word_starts(data, offsets)
             distinct, inverse = np.unique(span_hashes(data, starts, np.append(starts[1:], len(data))), return_inverse=True)
-            ids, counts = _look_up(folder, distinct)
+            ids, counts = words.look_up(distinct)
             n = counts[inverse]
             ends = np.cumsum(n)
             begins = np.cumsum(counts) - counts
@@ -224,9 +362,9 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", keep_text: bool = Tr
             bounds = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [list_array(flat, np.diff(bounds), pa.int32())], names=[*names, out])
 
-    kept = [F.col(f"`{c}`") for c in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, prepared(F.col("text")).alias("__prepared")).mapInArrow(run, f"{schema}, `{out}` array<int>")
+    kept, (whole,) = named(*names), private(docs.columns, "prepared")
+    schema = StructType([*docs.select(*kept).schema, StructField(out, ArrayType(IntegerType()))])
+    return docs.select(*kept, prepared(F.col("text")).alias(whole)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -252,9 +390,8 @@ def decode(encoded: DataFrame, model: Model, ids: str = "ids", out: str = "decod
                 texts = [data[i:j].decode("utf-8", "replace").removeprefix(" ") if ok else None for i, j, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(texts, pa.string())], names=[*names, out])
 
-    rows = encoded.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{out}` string")
+    rows = encoded.select(*named(*names))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField(out, StringType())]))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
