@@ -32,7 +32,7 @@ BREAKS = "\n\t"
 #: What a character without piece costs a unigram path more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text whose distinct words are found together; of words whose lattices are built together; of all texts to a file of the dictionary.
-WORD_BYTES, LATTICE_BYTES, FILE_BYTES = 4 << 20, 1 << 17, 128 << 20
+WORD_BYTES, LATTICE_BYTES, FILE_BYTES = 2 << 20, 1 << 17, 128 << 20
 _MARK = "▁"
 
 
