@@ -2,13 +2,14 @@
 
 Spark counts the training words, then the n-grams of neighbouring words, in sorted arrays: each task counts
 what it reads, and buckets of a hash range are merged where they meet. Grams that end in the same pair meet in
-one bucket, so the distinct words that a shorter gram follows are counted there too. Every bucket is a set of
-sorted array files in the shared folder. Workers map these files into memory and look up what a text needs.
+one bucket, so the distinct words that a shorter gram follows are counted there too. Every bucket is a file of
+sorted hash arrays in the shared folder. Workers map these files into memory and look up what a text needs.
+A context that was followed once, by one word, is not stored: it is there as a gram, so its counts are known.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,8 @@ from .toxicity import fold
 ROWS_TOGETHER, LEAST_BUCKETS, COUNT_BYTES = 4000, 64, 4 << 20
 #: Words to a gram in the registered query.
 ORDER = 3
-#: Files that a worker keeps mapped.
-MAPPED = 300
+#: Files that a worker keeps mapped, or in memory if they are in a remote folder.
+MAPPED, HELD = 20_000, 64
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -46,19 +47,80 @@ def save_array(folder: str, name: str, values: np.ndarray) -> None:
     system.move(part, f"{path}/{name}")
 
 
-@lru_cache(maxsize=MAPPED)
+def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Several arrays in one file, after a head that tells where each of them is."""
+    head, at, parts = {}, 0, []
+    for key, x in arrays.items():
+        data = np.ascontiguousarray(x).tobytes()
+        head[key] = [at, len(x), x.dtype.str, list(x.shape[1:])]
+        parts += [data, bytes(-len(data) % 8)]
+        at += len(data) + len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    save_array(folder, name, np.frombuffer(b"".join([len(text).to_bytes(8, "little"), text, *parts]), np.uint8))
+
+
 def map_array(folder: str, name: str, kind: str) -> np.ndarray:
-    """Map an array file into memory; one of a remote folder is copied to an unnamed local file first."""
+    """An array file, mapped into memory; one of a remote folder is read."""
+    return (_mapped if folder.startswith(("file:", "/")) else _held)(folder, name).view(kind)
+
+
+@lru_cache(maxsize=MAPPED)
+def _mapped(folder: str, name: str) -> np.ndarray:
+    path = f"{_place(folder)[1]}/{name}"
+    try:
+        return np.memmap(path, dtype=np.uint8, mode="r")
+    except (FileNotFoundError, ValueError):  # no such bucket, or nothing in it
+        return np.zeros(0, np.uint8)
+
+
+@lru_cache(maxsize=HELD)
+def _held(folder: str, name: str) -> np.ndarray:
     system, path = _place(folder)
     if not system.get_file_info(f"{path}/{name}").size:
-        return np.zeros(0, kind)
-    if isinstance(system, pafs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", dtype=kind, mode="r")
-    with tempfile.TemporaryFile() as copy, system.open_input_stream(f"{path}/{name}") as source:
-        while data := source.read(1 << 20):
-            copy.write(data)
-        copy.flush()
-        return np.memmap(copy, dtype=kind, mode="r")
+        return np.zeros(0, np.uint8)
+    with system.open_input_stream(f"{path}/{name}") as source:
+        return np.frombuffer(source.readall(), np.uint8)
+
+
+def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of one file; none if there is no such file."""
+    return (_heads if folder.startswith(("file:", "/")) else _arrays)(folder, name)
+
+
+def _arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    data = map_array(folder, name, "u1")
+    if not len(data):
+        return {}
+    n = int.from_bytes(data[:8].tobytes(), "little")
+    head = json.loads(data[8 : 8 + n].tobytes())
+    return {key: data[8 + n + at : 8 + n + at + count * int(np.prod(shape, dtype=int)) * np.dtype(kind).itemsize].view(kind).reshape(count, *shape) for key, (at, count, kind, shape) in head.items()}
+
+
+_heads = lru_cache(maxsize=MAPPED)(_arrays)
+
+
+def keys_of(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted 64-bit keys, kept by their first 40 bits: of some hundred thousand in a bucket, one in millions is taken for another."""
+    return {name: (keys >> np.uint64(32)).astype(np.uint32), f"{name}+": (keys >> np.uint64(24)).astype(np.uint8)}
+
+
+def find(arrays: dict[str, np.ndarray], name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``wanted`` of the keys that the arrays hold under that name, and where they are there."""
+    known = arrays.get(name)
+    if known is None or not len(known) or not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rest, first, more = arrays[f"{name}+"], (wanted >> np.uint64(32)).astype(np.uint32), (wanted >> np.uint64(24)).astype(np.uint8)
+    at, todo, found = np.searchsorted(known, first), np.arange(len(wanted)), []
+    while len(todo):  # the same 32 bits come twice at most, but for the rarest cases
+        todo = todo[at[todo] < len(known)]
+        todo = todo[known[at[todo]] == first[todo]]
+        hit = rest[at[todo]] == more[todo]
+        found.append(todo[hit])
+        todo = todo[~hit]
+        at[todo] += 1
+    hits = np.concatenate(found)
+    return hits, at[hits]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +178,12 @@ class Vocabulary:
         cuts = np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         for b, (i, j) in enumerate(zip(cuts, np.append(cuts[1:], len(hashes)), strict=True)):
             if i < j:
-                known = map_array(self.folder, f"hash-{b}", "u8")
+                arrays = map_arrays(self.folder, f"words-{b}")
+                known = arrays.get("hash", np.zeros(0, np.uint64))
                 at = np.searchsorted(known, hashes[i:j])
                 hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == hashes[i:j]) if len(known) else np.zeros(0, np.int64)
                 ids[i + hit] = at[hit] + self.begins[b]
-                counts[i + hit] = map_array(self.folder, f"count-{b}", "i8")[at[hit]]
+                counts[i + hit] = arrays["count"][at[hit]] if len(hit) else 0
         return ids, counts
 
     def encode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +204,7 @@ def count_words(texts: DataFrame, folder: str, n_buckets: int) -> Vocabulary:
     def merge(rows: pa.Table) -> pa.Table:
         b = rows["bucket"][0].as_py()
         hashes, counts = _merged(_flat(rows, "a").view(np.uint64), _flat(rows, "b"))
-        save_array(folder, f"hash-{b}", hashes)
-        save_array(folder, f"count-{b}", counts)
+        save_arrays(folder, f"words-{b}", {"hash": hashes, "count": counts})
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(hashes)], "total": [int(counts.sum())]})
 
     packed = texts.mapInArrow(count, "bucket int, a array<long>, b array<long>")
@@ -150,9 +212,6 @@ def count_words(texts: DataFrame, folder: str, n_buckets: int) -> Vocabulary:
     sizes = np.zeros(1 << bits, np.int64)
     for r in rows:
         sizes[r["bucket"]] = r["n"]
-    for b in set(range(1 << bits)) - {r["bucket"] for r in rows}:
-        save_array(folder, f"hash-{b}", np.zeros(0, np.uint64))
-        save_array(folder, f"count-{b}", np.zeros(0, np.int64))
     return Vocabulary(folder, bits, np.concatenate([[0], np.cumsum(sizes)]), sum(r["total"] for r in rows))
 
 
@@ -183,30 +242,34 @@ class GramModel:
     pairs: int
     rest: float  # weight of the uniform distribution
 
-    def _contexts(self, k: int, keys: np.ndarray, v: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Statistics of distinct contexts of k - 1 words, v their last: total, and next words seen 1, 2, 3 or more times."""
+    def _contexts(self, k: int, keys: np.ndarray, v: np.ndarray, count: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Statistics of distinct contexts of k - 1 words, v their last, that are there: total, and next words seen 1, 2, 3 or more times."""
         out = np.zeros((len(keys), 4), np.int64)
+        out[there] = (1, 1, 0, 0)  # what is there and not stored was followed once
         hot = count > self.hot_above
-        for name, place in (("hot", np.where(known & hot, _spread(keys, self.buckets), -1)), ("first", np.where(known & ~hot, bucket_of(v, v, np.zeros_like(count), self.buckets, self.hot_above), -1))):
-            for b, rows in _groups(place):
-                if b < 0:
-                    continue
-                at, hit = _find(map_array(self.folder, f"{name}-{k}-{b}", "u8"), keys[rows])
-                out[rows[hit]] = map_array(self.folder, f"{name}-stats-{k}-{b}", self.vocabulary.kind).reshape(-1, 4)[at[hit]]
-                if name == "first":
-                    _, hit = _find(map_array(self.folder, f"single-{k}-{b}", "u8"), keys[rows])
-                    out[rows[hit]] = (1, 1, 0, 0)
+        for b, rows in _groups(np.where(there & hot, _spread(keys, self.buckets), -1)):
+            if b >= 0:
+                arrays = map_arrays(self.folder, f"hot-{k}-{b}")
+                hit, at = find(arrays, "key", keys[rows])
+                out[rows[hit]] = arrays["stats"][at] if len(hit) else 0
+        for b, rows in _groups(np.where(there & ~hot, bucket_of(v, v, np.zeros_like(count), self.buckets, self.hot_above), -1)):
+            if b >= 0:
+                arrays = map_arrays(self.folder, f"grams-{b}")
+                for name in (f"few{k}", f"some{k}"):
+                    hit, at = find(arrays, name, keys[rows])
+                    out[rows[hit]] = arrays[f"{name}-stats"][at] if len(hit) else 0
         return out
 
     def _times(self, k: int, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The count of each distinct gram of k words; keys are sorted."""
         out = np.zeros(len(keys), np.int64)
         for b, rows in _groups(bucket):
-            if b < 0:
-                continue
-            for name in ("once", "more"):
-                at, hit = _find(map_array(self.folder, f"{name}-{k}-{b}", "u8"), keys[rows])
-                out[rows[hit]] = 1 if name == "once" else map_array(self.folder, f"times-{k}-{b}", self.vocabulary.kind)[at[hit]]
+            if b >= 0:
+                arrays = map_arrays(self.folder, f"grams-{b}")
+                out[rows[find(arrays, f"once{k}", keys[rows])[0]]] = 1
+                for name in (f"more{k}", f"many{k}"):
+                    hit, at = find(arrays, name, keys[rows])
+                    out[rows[hit]] = arrays[f"{name}-times"][at] if len(hit) else 0
         return out
 
     def _words(self, w: np.ndarray) -> np.ndarray:
@@ -217,40 +280,34 @@ class GramModel:
                 follows[rows] = map_array(self.folder, f"second-{b}", "i8")[w[rows] - b * self.range_size]
         return (follows - self.word_discounts[np.minimum(follows, 3)]) / max(self.pairs, 1) + self.rest / (self.vocabulary.size + 1)
 
-    def log10(self, grams: list[np.ndarray], count_v: np.ndarray) -> np.ndarray:
-        """Of each last word after those before it, by ids; -1 is unknown, and the size of the vocabulary the begin."""
+    def log10(self, grams: list[np.ndarray], count_v: np.ndarray, count: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Of each last word after those before it, by ids; -1 is unknown, and the size of the vocabulary the begin. begins: where texts begin."""
         v, w = grams[-2:]
         words, at_w = np.unique(w, return_inverse=True)
         p = self._words(words)[at_w]
+        seen = count > 0  # the gram of one word less that ends here
         for k in range(2, self.order + 1):
             some, lost = grams[-k:], self.gram_discounts[k]
+            there = np.append(False, seen[:-1])  # what stands before a word is the gram that ends in the word before
+            there[begins] = self.pairs > 0
             contexts, index, at = np.unique(_key(some[:-1]), return_index=True, return_inverse=True)
-            known = np.all([x[index] >= 0 for x in some[:-1]], axis=0)
-            first = self._contexts(k, contexts, v[index], count_v[index], known)[at]
+            first = self._contexts(k, contexts, v[index], count_v[index], there[index])[at]
             keys, index, at = np.unique(_key(some), return_index=True, return_inverse=True)
-            known = np.all([x[index] >= 0 for x in some], axis=0)
+            known = there[index] & (w[index] >= 0)
             times = self._times(k, keys, np.where(known, bucket_of(v[index], w[index], count_v[index], self.buckets, self.hot_above), -1))[at]
             total = np.maximum(first[:, 0], 1)
             given = (times - lost[np.minimum(times, 3)]) / total + first[:, 1:] @ lost[1:] / total * p
             p = np.where(first[:, 0] > 0, given, p)
+            seen = times > 0
         return np.log10(p)
 
 
-def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted key is in the known sorted ones, and the places in wanted that are there."""
-    if not len(known):
-        return np.zeros(len(wanted), np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return at, np.flatnonzero(known[at] == wanted)
-
-
 def _key(ids: list[np.ndarray]) -> np.ndarray:
-    """Words and pairs by their ids, longer grams by a 64-bit hash of them."""
+    """A 64-bit hash of the words' ids."""
     key = (ids[0] + 1).astype(np.uint64)
-    for k, x in enumerate(ids[1:]):
-        x = (x + 1).astype(np.uint64)
-        key = key << np.uint64(32) | x if k == 0 else mix(mix(key) + x)
-    return key
+    for x in ids[1:]:
+        key = mix(key) + (x + 1).astype(np.uint64)
+    return mix(key)
 
 
 def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -291,8 +348,7 @@ def _grams(vocabulary: Vocabulary, tokens: np.ndarray, bounds: np.ndarray, order
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The order of grams by their last pair, then by the words before it, nearest first; and where distinct ones begin in it."""
-    pair = _key(grams[-2:])
-    order = np.lexsort([*grams[:-2], pair]) if len(grams) > 2 else np.argsort(pair, kind="stable")
+    order = np.lexsort([*grams[:-2], grams[-1], grams[-2]])
     new = np.ones(len(order), bool)
     new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in grams], axis=0)
     return order, np.flatnonzero(new)
@@ -307,11 +363,13 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
     buckets = max(LEAST_BUCKETS, n_docs // ROWS_TOGETHER)
-    vocabulary = count_words(texts, folder, LEAST_BUCKETS)
+    vocabulary = count_words(texts, folder, buckets)
     collect_garbage(spark)
     hot_above = max(1000, vocabulary.total // buckets)
     range_size = max(1, -(-vocabulary.size // buckets))
     lists = ascii_lowercase[: order + 1]  # of a gram's words, then of counts
+    wide = vocabulary.size >= (1 << 31) - 1
+    kind, sql = (np.int64, "long") if wide else (np.int32, "int")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in steps(batches, step_bytes=COUNT_BYTES):
@@ -320,14 +378,14 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             times = np.diff(np.append(first, len(at))).astype(np.int32)
             grams, count_v = [x[at[first]] for x in grams], count_v[at[first]]
             bucket = bucket_of(*grams[-2:], count_v, buckets, hot_above)
-            yield _packed(bucket, *((x.astype(np.uint32).view(np.int32), pa.int32()) for x in grams), (times, pa.int32()))
+            yield _packed(bucket, *((x.astype(kind), pa.from_numpy_dtype(kind)) for x in grams), (times, pa.int32()))
 
     def merge(rows: pa.Table) -> pa.Table:
         b = rows["bucket"][0].as_py()
-        grams = [_flat(rows, c).view(np.uint32).astype(np.int64) for c in lists[:-1]]
+        grams = [_flat(rows, c).astype(np.int64) for c in lists[:-1]]
         at, first = _distinct(grams)
         times = np.add.reduceat(_flat(rows, lists[-1]).astype(np.int64)[at], first)
-        grams, out = [x[at[first]] for x in grams], []
+        grams, out, arrays = [x[at[first]] for x in grams], [], {}
         for k in range(order, 1, -1):
             if k < order:  # what a shorter gram follows: it is sorted by its last words, each of the longer ones a row
                 grams = grams[1:]
@@ -340,9 +398,9 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             keys = _key(grams)
             by = np.argsort(keys)
             keys, sorted_times = keys[by], times[by]
-            save_array(folder, f"once-{k}-{b}", keys[sorted_times == 1])
-            save_array(folder, f"more-{k}-{b}", keys[sorted_times > 1])
-            save_array(folder, f"times-{k}-{b}", sorted_times[sorted_times > 1].astype(vocabulary.kind))
+            more, many = (sorted_times > 1) & (sorted_times < 256), sorted_times > 255
+            arrays |= keys_of(f"once{k}", keys[sorted_times == 1]) | keys_of(f"more{k}", keys[more]) | keys_of(f"many{k}", keys[many])
+            arrays |= {f"more{k}-times": sorted_times[more].astype(np.uint8), f"many{k}-times": sorted_times[many].astype(vocabulary.kind)}
             keys = _key(grams[:-1])
             by = np.argsort(keys, kind="stable")
             keys, sorted_times = keys[by], times[by]
@@ -351,17 +409,17 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             last, keys = grams[-2][by[first]], keys[first]
             some, at = np.unique(last, return_inverse=True)
             hot = (vocabulary_counts(vocabulary, some) > hot_above)[at]  # dealt by both words: these are parts of its statistics
-            single = ~hot & (stats[:, 0] == 1)
-            save_array(folder, f"single-{k}-{b}", keys[single])
-            save_array(folder, f"first-{k}-{b}", keys[~hot & ~single])
-            save_array(folder, f"first-stats-{k}-{b}", stats[~hot & ~single].astype(vocabulary.kind))
+            few, some = ~hot & (stats[:, 0] > 1) & (stats[:, 0] < 256), ~hot & (stats[:, 0] > 255)
+            arrays |= keys_of(f"few{k}", keys[few]) | keys_of(f"some{k}", keys[some])
+            arrays |= {f"few{k}-stats": stats[few].astype(np.uint8), f"some{k}-stats": stats[some].astype(vocabulary.kind)}
             out += [(k, c, keys[hot][part].view(np.int64), stats[hot][part].ravel()) for c, part in _groups(_spread(keys[hot], buckets))] if hot.any() else []
+        save_arrays(folder, f"grams-{b}", arrays)
         seconds, follows = np.unique(grams[-1], return_counts=True)  # of pairs
         out += [(1, r, seconds[part], follows[part]) for r, part in _groups(seconds // range_size)]
         kind, key, a, b = zip(*out, strict=True)
         return pa.table({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.list_(pa.int64()))})
 
-    packed = texts.mapInArrow(count, f"bucket int, {', '.join(f'{c} array<int>' for c in lists)}")
+    packed = texts.mapInArrow(count, f"bucket int, {', '.join(f'{c} array<{sql}>' for c in lists[:-1])}, {lists[-1]} array<int>")
     found = cut(packed.groupBy("bucket").applyInArrow(merge, "kind int, key long, a array<long>, b array<long>"), "gram-stats", release=True)
 
     def add_up(rows: pa.Table) -> pa.Table:
@@ -376,12 +434,11 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             keys, at = np.unique(a.view(np.uint64), return_inverse=True)
             stats = np.zeros((len(keys), 4), np.int64)
             np.add.at(stats, at, b.reshape(-1, 4))
-            save_array(folder, f"hot-{kind}-{r}", keys)
-            save_array(folder, f"hot-stats-{kind}-{r}", stats.astype(vocabulary.kind))
+            save_arrays(folder, f"hot-{kind}-{r}", keys_of("key", keys) | {"stats": stats.astype(vocabulary.kind)})
         return pa.table({"key": [r], "n": pa.array([n], pa.list_(pa.int64()))})
 
-    ranges = found.where("kind > 0").groupBy("kind", "key").applyInArrow(add_up, "key long, n array<long>").collect()  # a row for each range and each bucket of frequent contexts
-    n = np.array([r["n"] for r in ranges] or [[0] * 6]).sum(0)
+    ranges = found.where("kind > 0").groupBy("kind", "key").applyInArrow(add_up, "key long, n array<long>")
+    n = np.array([x or 0 for x in ranges.agg(*[F.sum(F.element_at("n", k + 1)).alias(f"n{k}") for k in range(6)]).first()])
     word_d = discounts(n[:4])
     pairs = int(n[5])
     rest = float(word_d[1:] @ np.array([n[0], n[1], n[4]])) / pairs if pairs else 1.0
@@ -397,7 +454,7 @@ def vocabulary_counts(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     cuts = np.searchsorted(ids, vocabulary.begins)
     for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if i < j:
-            out[i:j] = map_array(vocabulary.folder, f"count-{b}", "i8")[ids[i:j] - vocabulary.begins[b]]
+            out[i:j] = map_arrays(vocabulary.folder, f"words-{b}")["count"][ids[i:j] - vocabulary.begins[b]]
     return out
 
 
@@ -412,15 +469,15 @@ def score_texts(docs: DataFrame, model: GramModel) -> DataFrame:
             grams, count_v, count = _grams(vocabulary, tokens, bounds, model.order)
             add = lambda x, at=bounds[:-1]: np.add.reduceat(x, at)  # noqa: E731  every text has its end
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.diff(bounds), pa.int64()), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, vocabulary.total)), pa.array(add(np.log10(count + 1.0) - base)), pa.array(add(model.log10(grams, count_v)))],
+                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.diff(bounds), pa.int64()), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, vocabulary.total)), pa.array(add(np.log10(count + 1.0) - base)), pa.array(add(model.log10(grams, count_v, count, bounds[:-1])))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def op6_lm_scores(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
-    """Scores of all documents by a model of those that aren't held out; ORDER is what is registered.
+def op6_lm_scores(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:
+    """Scores of all documents by a model of those that aren't held out.
 
     A null or empty text is its end alone. A null id is not held out. Repeated rows count and return as often
     as they are there. Without training rows the model is uniform over nothing: every token has probability 1.

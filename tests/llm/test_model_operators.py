@@ -138,7 +138,7 @@ def test_language_model(spark, docs, rows, tmp_path):
         x = tokens(t)
         base, score = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(p(a, w)) for a, w in zip(["\t", *x[:-1]], x))
         need[i, held(i), len(x), sum(words[w] > 0 for w in x), n, round(base, 4), round(score, 4)] += 1
-    got = lm.op6_lm_scores(spark, str(tmp_path)).collect()
+    got = lm.op6_lm_scores(spark, str(tmp_path), order=2).collect()
     assert Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 4), round(r[6], 4)) for r in got) == need
 
 
