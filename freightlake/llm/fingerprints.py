@@ -71,12 +71,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _order_buckets(docs: DataFrame, key: str) -> tuple[Column, DataFrame]:
-    """A bucket number that grows with the key, by quantiles of the key, and the rows of each bucket."""
+def _order_buckets(docs: DataFrame, key: str, tie: str) -> Column:
+    """A bucket number that grows with the key, by quantiles of the key; null and frequent keys are split by the first byte of the tie."""
     n = docs.count()
     k = min(10_000, max(1, n // ROWS_TOGETHER))
     probs = [i / k for i in range(1, k)] or [0.5]
-    bounds = sorted(set(docs.agg(F.percentile_approx(key, probs, 50_000).alias("q")).first()["q"] or []))
+    found = docs.agg(F.percentile_approx(key, probs, 50_000).alias("q")).first()["q"] or []
+    often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})  # keys that fill more than a bucket
+    bounds = sorted({*found, *(x + 1 for x in often if x + 1 < 1 << 63)})
     width = max(1, round(len(bounds) ** 0.5))
     coarse = bounds[::width]
     fine = [bounds[i : i + width] for i in range(0, len(bounds), width)]
@@ -84,18 +86,20 @@ def _order_buckets(docs: DataFrame, key: str) -> tuple[Column, DataFrame]:
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
     c = below(longs(coarse))
     f = F.when(c > 0, below(F.element_at(F.array(*[longs(x) for x in fine]), F.greatest(c, F.lit(1))))).otherwise(F.lit(0)) if fine else F.lit(0)
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(c * (width + 1) + f)
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(c * (width + 1) + f).cast("long")
+    of_many = F.col(key).isNull() | (F.col(key).isin(often) if often else F.lit(False))
+    return bucket * 256 + F.when(of_many, F.shiftright(tie, 56) + 128).otherwise(F.lit(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Each (doc_id, text) with ``next_text``: that of the next document by descending doc_id, cyclic.
 
     Null ids come last; equal ids are ordered by the hash of their texts. The order is cut into buckets
-    by quantiles of doc_id: a window runs inside each, and a bucket's last row takes the first of the
-    bucket below it.
+    by quantiles of doc_id, and null or frequent ids further by that hash: a window runs inside each, and a
+    bucket's last row takes the first of the bucket below it.
     """
     docs = docs.withColumn("__h", F.xxhash64("text"))
-    docs = docs.withColumn("__bucket", _order_buckets(docs, "doc_id"))
+    docs = docs.withColumn("__bucket", _order_buckets(docs, "doc_id", "__h"))
     order = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "__h")
     heads = docs.groupBy("__bucket").agg(F.max_by("text", order).alias("__head"))
     names = docs.groupBy("__bucket").count()

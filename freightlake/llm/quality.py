@@ -14,16 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, column, cut, steps, table, text_buffers
+from .common import SPACES, Words, column, cut, named, ragged, steps, table
 from .toxicity import fold
 
 #: Bytes of a chunk and from one chunk's start to the next one's; a filter's width and step.
 CHUNK, HOP, WIDTH, STRIDE = 256, 224, 8, 2
 FILTERS, EMBEDDING, SYMBOLS = 16, 8, 513
-#: Training: labelled rows at most, bytes of a text at most for it to be trained on, chunks of a text, rounds.
-TRAIN_ROWS, TRAIN_BYTES, TRAIN_CHUNKS, EPOCHS = 1500, 200_000, 8, 6
+#: Training: labelled rows at most; chunks that stand for a text, drawn from all over it; of these in a round; rounds.
+TRAIN_ROWS, TRAIN_CHUNKS, ROUND_CHUNKS, EPOCHS = 1500, 64, 8, 6
 ACCEPT = 0.3
+#: Bytes of a long text whose words are found together, and chunks whose responses are held together.
+BLOCK_BYTES, POOL_CHUNKS = 1 << 20, 4096
 
 
 @dataclass
@@ -39,22 +42,40 @@ class Network:
         return np.stack([self.embedding @ w for w in self.filters]).astype(np.float32)
 
 
+def _blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about BLOCK_BYTES that end where a word does."""
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK_BYTES, len(data))
+        while end < len(data) and data[end] not in SPACES:
+            spaces = np.flatnonzero(np.isin(data[end : end + BLOCK_BYTES], SPACES))
+            end = end + int(spaces[0]) if len(spaces) else min(end + BLOCK_BYTES, len(data))
+        yield at, end
+        at = end
+
+
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's bytes + 1, 256 more in words that repeat the word before, then zeros (a filter's width and to an even place); and the texts' begins."""
-    words = Words(data, offsets)
-    h = words.hashes()
-    same = np.zeros(len(h), bool)
-    same[1:] = h[1:] == h[:-1]
-    firsts = words.bounds[:-1]
-    same[firsts[firsts < len(same)]] = False
-    change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, words.starts[same], 256)
-    np.add.at(change, words.ends[same], -256)
     size = np.diff(offsets)
     room = size + WIDTH + (size & 1)
     begins = np.cumsum(room) - room
-    out = np.zeros(int(room.sum()), np.int32)
-    out[np.arange(len(data)) + np.repeat(begins - offsets[:-1], size)] = data.astype(np.int32) + 1 + np.cumsum(change[:-1])
+    out = np.zeros(int(room.sum()), np.int16)
+    before, text_before = None, -1  # the last word of the block before, and its text
+    for at, end in _blocks(data):
+        texts = np.arange(int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left")))
+        bounds = np.clip(np.append(offsets[texts], offsets[texts[-1] + 1]), at, end) - at
+        words = Words(data[at:end], bounds)
+        h, of = words.hashes(), texts[words.text_of()]
+        same = np.zeros(len(h), bool)
+        same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+        if len(h):
+            same[0] = before == h[0] and text_before == of[0]
+            before, text_before = h[-1], of[-1]
+        change = np.zeros(end - at + 1, np.int16)
+        change[words.starts[same]] += 256
+        change[words.ends[same]] -= 256
+        counts = np.diff(bounds)
+        out[ragged(begins[texts] + bounds[:-1] + at - offsets[texts], counts)] = data[at:end].astype(np.int16) + 1 + np.cumsum(change[:-1], dtype=np.int16)
     return out, begins
 
 
@@ -72,12 +93,14 @@ def score_texts(net: Network, tables: np.ndarray, data: np.ndarray, offsets: np.
     """The probability of label 1 for each text."""
     sym, begins = symbols(data, offsets)
     text, start, end = chunk_bounds(begins, np.diff(offsets))
-    n = max(0, (len(sym) - WIDTH) // STRIDE + 1)
-    response = np.tile(net.bias.astype(np.float32), (n + 1, 1))
-    for j in range(WIDTH):
-        response[:n] += tables[j].take(sym[j : j + STRIDE * n : STRIDE][:n], axis=0)
-    ends = np.minimum(np.stack([start, end], 1).ravel(), n)
-    pooled = np.maximum(np.maximum.reduceat(response, ends, axis=0)[::2], 0)
+    pooled = np.empty((len(text), FILTERS), np.float32)
+    for a in range(0, len(text), POOL_CHUNKS):
+        part = slice(a, a + POOL_CHUNKS)
+        low, high = int(start[a]), int(end[part].max())
+        response = np.tile(net.bias.astype(np.float32), (high - low + 1, 1))
+        for j in range(WIDTH):
+            response[:-1] += tables[j].take(sym[STRIDE * low + j : STRIDE * high + j : STRIDE], axis=0)
+        pooled[part] = np.maximum(np.maximum.reduceat(response, np.stack([start[part], end[part]], 1).ravel() - low, axis=0)[::2], 0)
     first = np.searchsorted(text, np.arange(len(offsets) - 1))
     mean = np.add.reduceat(pooled, first, axis=0) / np.diff(np.append(first, len(text)))[:, None]
     top = np.maximum.reduceat(pooled, first, axis=0)
@@ -85,8 +108,51 @@ def score_texts(net: Network, tables: np.ndarray, data: np.ndarray, offsets: np.
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: pa.Array, labels: np.ndarray, seed: int = 8) -> Network:
-    """Fit all parameters to labelled texts by Adam on the logistic loss."""
+def drawn_chunks(doc_id: int, data: np.ndarray, most: int = TRAIN_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a whole text's chunks, or of ``most`` of them drawn at random, and how many steps of the filters each has."""
+    size = np.array([len(data)])
+    sym, begins = symbols(data, np.array([0, len(data)]))
+    _, start, end = chunk_bounds(begins, size)
+    rng = np.random.default_rng([8, doc_id & 0xFFFFFFFF])
+    chosen = np.arange(len(start)) if len(start) <= most else np.sort(rng.choice(len(start), most, replace=False))
+    padded = np.append(sym, np.zeros(CHUNK + WIDTH, np.int16))
+    return padded[STRIDE * start[chosen][:, None] + np.arange(CHUNK + WIDTH)], (end - start)[chosen]
+
+
+def gradients(p: dict[str, np.ndarray], chunks: np.ndarray, steps_in: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss of texts of ``counts`` chunks each, and its gradient (the filters' and weights' with their decay)."""
+    span = CHUNK // STRIDE
+    at = np.arange(span)[None, :].repeat(len(chunks), 0)
+    at[at >= steps_in[:, None]] = 0  # beyond the text: its first step once more
+    windows = np.take_along_axis(chunks, (at[..., None] * STRIDE + np.arange(WIDTH)).reshape(len(chunks), -1), 1).reshape(len(chunks), span, WIDTH)
+    flat = p["e"][windows].reshape(-1, WIDTH * EMBEDDING)
+    response = (flat @ p["f"] + p["b"]).reshape(len(chunks), span, FILTERS)
+    best = response.argmax(1)
+    peak = np.take_along_axis(response, best[:, None], 1)[:, 0]
+    pooled = np.maximum(peak, 0)
+    first = np.cumsum(counts) - counts
+    mean = np.add.reduceat(pooled, first, axis=0) / counts[:, None]
+    top = np.maximum.reduceat(pooled, first, axis=0)
+    x = np.concatenate([mean, top], 1)
+    z = np.clip(x @ p["w"] + p["c"], -30, 30)
+    error = (1 / (1 + np.exp(-z)) - labels) / len(labels)
+    dx = error[:, None] * p["w"]
+    doc = np.repeat(np.arange(len(labels)), counts)
+    holds = (pooled == top[doc]).astype(x.dtype)
+    holds /= np.add.reduceat(holds, first, axis=0)[doc]  # chunks that tie share what the largest response gets
+    d_pooled = dx[doc, :FILTERS] / counts[doc][:, None] + dx[doc, FILTERS:] * holds
+    d_peak = d_pooled * (peak > 0)
+    row = (np.arange(len(chunks))[:, None] * span + best).ravel()
+    patch = flat[row].reshape(len(chunks), FILTERS, -1)
+    grad = {"w": x.T @ error + 1e-4 * p["w"], "c": error.sum(), "b": d_peak.sum(0), "f": np.einsum("cfd,cf->df", patch, d_peak) + 1e-4 * p["f"]}
+    d_patch = (d_peak[..., None] * p["f"].T[None]).reshape(-1, EMBEDDING)
+    grad["e"] = np.zeros_like(p["e"])
+    np.add.at(grad["e"], windows.reshape(-1, WIDTH)[row].ravel(), d_patch)
+    return float(np.mean(np.logaddexp(0, z) - labels * z)), grad
+
+
+def train(chunks: list[np.ndarray], steps_in: list[np.ndarray], labels: np.ndarray, seed: int = 8) -> Network:
+    """Fit all parameters to labelled texts, each given by its chunks, by Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     p = {
         "e": rng.normal(0, 0.3, (SYMBOLS, EMBEDDING)),
@@ -97,43 +163,12 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 8) -> Network:
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    data, offsets = text_buffers(texts)
-    sym, begins = symbols(data, offsets)
-    text, start, end = chunk_bounds(begins, np.diff(offsets))
-    own = np.split(np.arange(len(text)), np.searchsorted(text, np.arange(1, len(labels))))
-    span = CHUNK // STRIDE
     step = 0
     for epoch in range(EPOCHS):
         rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
         for batch in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 32)):
-            chosen = [own[i] if len(own[i]) <= TRAIN_CHUNKS else np.sort(rng.choice(own[i], TRAIN_CHUNKS, replace=False)) for i in batch]
-            chunk = np.concatenate(chosen)
-            counts = np.array([len(x) for x in chosen])
-            at = start[chunk][:, None] + np.arange(span)
-            inside = at < end[chunk][:, None]
-            at = np.minimum(np.where(inside, at, start[chunk][:, None]), (len(sym) - WIDTH) // STRIDE)
-            windows = sym[at[..., None] * STRIDE + np.arange(WIDTH)]
-            flat = p["e"][windows].reshape(-1, WIDTH * EMBEDDING)
-            response = (flat @ p["f"] + p["b"]).reshape(len(chunk), span, FILTERS)
-            best = response.argmax(1)
-            peak = np.take_along_axis(response, best[:, None], 1)[:, 0]
-            pooled = np.maximum(peak, 0)
-            first = np.cumsum(counts) - counts
-            mean = np.add.reduceat(pooled, first, axis=0) / counts[:, None]
-            top = np.maximum.reduceat(pooled, first, axis=0)
-            x = np.concatenate([mean, top], 1)
-            error = (1 / (1 + np.exp(-np.clip(x @ p["w"] + p["c"], -30, 30))) - labels[batch]) / len(batch)
-            dx = error[:, None] * p["w"]
-            doc = np.repeat(np.arange(len(batch)), counts)
-            holds = pooled == top[doc]
-            d_pooled = dx[doc, :FILTERS] / counts[doc][:, None] + dx[doc, FILTERS:] * holds
-            d_peak = d_pooled * (peak > 0)
-            row = (np.arange(len(chunk))[:, None] * span + best).ravel()
-            patch = flat[row].reshape(len(chunk), FILTERS, -1)
-            grad = {"w": x.T @ error + 1e-4 * p["w"], "c": error.sum(), "b": d_peak.sum(0), "f": np.einsum("cfd,cf->df", patch, d_peak) + 1e-4 * p["f"]}
-            d_patch = (d_peak[..., None] * p["f"].T[None]).reshape(-1, EMBEDDING)
-            grad["e"] = np.zeros_like(p["e"])
-            np.add.at(grad["e"], windows.reshape(-1, WIDTH)[row].ravel(), d_patch)
+            own = [np.arange(len(chunks[i])) if len(chunks[i]) <= ROUND_CHUNKS else np.sort(rng.choice(len(chunks[i]), ROUND_CHUNKS, replace=False)) for i in batch]
+            _, grad = gradients(p, np.concatenate([chunks[i][k] for i, k in zip(batch, own, strict=True)]), np.concatenate([steps_in[i][k] for i, k in zip(batch, own, strict=True)]), np.array([len(k) for k in own]), labels[batch])
             step += 1
             for k, g in grad.items():
                 m, v = moments[k]
@@ -143,11 +178,12 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 8) -> Network:
     return Network(p["e"], p["f"].reshape(WIDTH, EMBEDDING, FILTERS), p["b"], p["w"].astype(np.float64), float(p["c"]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, accept: float = ACCEPT) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, train_chunks: int = TRAIN_CHUNKS, accept: float = ACCEPT) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with score and predicted.
 
     The network learns ``labels.quality`` from labelled rows where ``learn`` (over doc_id) holds: about
-    train_rows at most, with texts of TRAIN_BYTES at most. Scores cover whole texts. Null labels are none;
+    train_rows at most, whatever the length of their texts; a long text is stood for by train_chunks of its
+    chunks, drawn at random from the whole of it. Scores cover whole texts. Null labels are none;
     of several labels for an id the smallest counts. A null text is empty, and an empty text is one chunk of
     padding. Without labels of both classes every score is the one class there is, 1 if none. Repeated rows
     each return; an empty table gives no rows. Columns of docs named score or predicted are replaced.
@@ -155,10 +191,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).where(learn)
     n = known.count()
     kept = cut(known.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(max(n, 1))) < train_rows), "known")  # small enough to broadcast
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches):
+            for i, (doc_id, label) in enumerate(zip(column(batch, "doc_id").to_pylist(), column(batch, "label").to_pylist(), strict=True)):
+                chunks, steps_in = drawn_chunks(int(doc_id), data[offsets[i] : offsets[i + 1]], train_chunks)
+                yield pa.RecordBatch.from_arrays([pa.array([int(doc_id)], pa.int64()), pa.array([label], pa.int32()), pa.array([chunks.tobytes()]), pa.array([steps_in.tolist()], pa.list_(pa.int32()))], names=["doc_id", "label", "chunks", "steps"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(kept), "doc_id")
+    drawn = texts.mapInArrow(draw, "doc_id long, label int, chunks binary, steps array<int>")
+    sample = drawn.groupBy("doc_id", "label").agg(F.min("chunks").alias("chunks"), F.min_by("steps", "chunks").alias("steps")).toArrow().sort_by("doc_id")
     y = sample["label"].to_numpy().astype(np.float32)
-    net = train(sample["text"], y) if 0 < y.sum() < len(y) else None
+    chunks = [np.frombuffer(x, np.int16).reshape(-1, CHUNK + WIDTH) for x in sample["chunks"].to_pylist()]
+    net = train(chunks, [np.array(x) for x in sample["steps"].to_pylist()], y) if 0 < y.sum() < len(y) else None
     constant = float(y[0]) if len(y) else 1.0
 
     names = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -169,9 +214,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, train_rows:
             score = score_texts(net, tables, data, offsets) if net else np.full(batch.num_rows, constant)
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(score)], names=[*names, "score"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    rows = docs.select(*named(*names))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())])).withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Words, column, list_array, span_hashes, steps, table
+from .common import Words, column, list_array, named, private, span_hashes, steps, table
 
 WINDOW = 35
 GRAM = 16
@@ -60,26 +61,26 @@ def anchors_of(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -
     return h[first], starts[first], np.diff(np.append(first, len(starts))), np.maximum(np.add.reduceat(anchor.astype(np.int64), first), 1)
 
 
-def _anchors(window: int, gram: int):
+def _anchors(window: int, gram: int, rid_name: str, text_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches, "__text"):
+        for batch, data, offsets in steps(batches, text_name):
             words = Words(data, offsets)
             h, start, n, times = anchors_of(words.hashes(), words.bounds, window, gram)
             text = np.searchsorted(words.bounds, start, "right") - 1
-            rid = column(batch, "__rid").to_numpy()[text]
+            rid = column(batch, rid_name).to_numpy()[text]
             at = (start - words.bounds[text]) << _N_BITS | n
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid), pa.array(at), pa.array(times)], names=["h", "rid", "at", "times"])
 
     return run
 
 
-def _requests(window: int, buckets: int, most: int):
+def _requests(window: int, buckets: int, most: int, rid_name: str, text_name: str, shared_name: str):
     """The window hashes around every shared anchor: (bucket, rid, at, windows); hot ones in buckets under 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in steps(batches, "__text"):
+        for batch, data, offsets in steps(batches, text_name):
             words = Words(data, offsets)
-            shared = column(batch, "shared")
+            shared = column(batch, shared_name)
             per_text = np.diff(shared.offsets.to_numpy())
             flat = shared.flatten()
             h, at, c = (flat.field(k).to_numpy() for k in range(3))
@@ -88,7 +89,7 @@ def _requests(window: int, buckets: int, most: int):
             begins = np.cumsum(n) - n
             start = np.repeat((at >> _N_BITS) + words.bounds[text] - begins, n) + np.arange(int(n.sum()))
             spans = span_hashes(words.hashes(), start, start + window)
-            rid = column(batch, "__rid").to_numpy()[text]
+            rid = column(batch, rid_name).to_numpy()[text]
             bucket = np.where(c > most, -1 - rid % buckets, (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rid), pa.array(at), list_array(spans.view(np.int64), n, pa.int64())], names=["bucket", "rid", "at", "windows"])
 
@@ -108,10 +109,10 @@ def _repeated(rows: pa.Table) -> pa.Table:
     return pa.table({"rid": rows["rid"].to_numpy()[keep], "at": rows["at"].to_numpy()[keep], "mask": mask[keep]})
 
 
-def _removal(window: int, names: list[str]):
+def _removal(window: int, names: list[str], text_name: str, marks_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = column(batch, "__text"), column(batch, "__marks")
+            texts, marks = column(batch, text_name), column(batch, marks_name)
             ats, masks = (marks.flatten().field(k).to_numpy() for k in range(2))
             ends = np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
             kept, n_words, n_removed, spans = [], [], [], []
@@ -155,14 +156,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     if not window - _MOST < gram <= window or gram < 1:
         raise ValueError(f"gram must lie in window - {_MOST - 1} .. window")
     names = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed", "removed")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    rows = kept.withColumns({"__rid": F.xxhash64("doc_id", "text"), "__text": F.coalesce("text", F.lit(""))})
+    rid, whole, shared, marked = private([*names, "kept_text", "n_words", "n_removed", "removed"], "rid", "whole", "shared", "marks")
+    kept = docs.select(*named(*names))
+    rows = kept.withColumns({rid: F.xxhash64("doc_id", "text"), whole: F.coalesce("text", F.lit(""))})
     buckets = max(LEAST_BUCKETS, docs.count() // ROWS_TOGETHER)
-    anchors = rows.select("__rid", "__text").mapInArrow(_anchors(window, gram), "h long, rid long, at long, times long")
+    anchors = rows.select(rid, whole).mapInArrow(_anchors(window, gram, rid, whole), "h long, rid long, at long, times long")
     often = anchors.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1")
-    seeds = anchors.join(often, "h").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("h", "at", "c")).alias("shared"))
+    seeds = anchors.join(often, "h").groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("h", "at", "c")).alias(shared))
     # rows keep all their columns here so that they are shuffled once, for this join and the last
-    asked = rows.join(seeds, "__rid").mapInArrow(_requests(window, buckets, hot_above), "bucket int, rid long, at long, windows array<long>").repartition("bucket")
+    asked = rows.join(seeds, rid).mapInArrow(_requests(window, buckets, hot_above, rid, whole, shared), "bucket int, rid long, at long, windows array<long>").repartition("bucket")
     cold = asked.groupBy("bucket").applyInArrow(_repeated, "rid long, at long, mask long")
     # hot anchors: each distinct list of windows is counted once, as often as it occurs
     hot = asked.select(F.explode_outer(F.when(F.col("bucket") < 0, F.array(F.struct("rid", "at", "windows")))).alias("x")).where("x is not null").select("x.*")
@@ -170,9 +172,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     lists = hot.groupBy("key").agg(F.first("windows").alias("windows"), F.count(F.lit(1)).alias("c")).select("key", "c", F.posexplode("windows").alias("i", "w"))
     twice = lists.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
     masks = lists.join(twice, "w").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    marks = cold.unionByName(hot.select("rid", "at", "key").join(masks, "key").drop("key")).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("at", "mask")).alias("__marks"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.join(marks, "__rid", "left").mapInArrow(_removal(window, names), f"{schema}, kept_text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
+    marks = cold.unionByName(hot.select("rid", "at", "key").join(masks, "key").drop("key")).groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("at", "mask")).alias(marked))
+    new = docs.sparkSession.createDataFrame([], "kept_text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>").schema
+    return rows.join(marks, rid, "left").mapInArrow(_removal(window, names, whole, marked), StructType([*kept.schema, *new]))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, named, table
 
 #: At most about so many labelled rows fit the model; more are thinned out by a hash of their ids.
 TRAIN_ROWS = 10_000
@@ -115,10 +115,14 @@ def _with_features(rows: DataFrame, lexicons: tuple[tuple[str, ...], tuple[str,
     return rows.withColumns({f"__{k}": c.cast("double") for k, c in features(F.coalesce("text", F.lit("")), *lexicons).items()})
 
 
+def _for_scale() -> Column:
+    """Whether a labelled row is kept from the trees and from the lexicon they use, to fit the scale: a quarter of the rows."""
+    return F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
+
+
 def _fit(train: DataFrame):
     """A function that adds ``__score`` to rows with features, from rows that have ``__label`` too."""
-    held = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
-    parts = {"trees": train.where(~held), "scale": train.where(held)}
+    parts = {"trees": train.where(~_for_scale()), "scale": train.where(_for_scale())}
     classes = lambda t: [r["__label"] for r in t.select("__label").distinct().collect()]  # noqa: E731  two at most
     found = {k: classes(t) for k, t in parts.items()}
     if len(both := set(found["trees"]) | set(found["scale"])) < 2:
@@ -147,12 +151,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_rows
     n = known.count()
     kept = cut(known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(max(n, 1))) < train_rows), "known")  # about train_rows rows: small enough to broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(kept), "doc_id")
-    lexicons = learn_lexicon(texts.select("text", F.col("__label").alias("label")))
+    lexicons = learn_lexicon(texts.where(~_for_scale()).select("text", F.col("__label").alias("label")))
     names = [f"__{k}" for k in FEATURES]
     model = _fit(cut(_with_features(texts, lexicons).select("doc_id", "__label", *names), "train"))
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = model(_with_features(docs.select(*[F.col(f"`{c}`") for c in columns]), lexicons))
-    return scored.select(*[F.col(f"`{c}`") for c in columns], F.col("__score").alias("score"), (F.col("__score") >= reject).cast("int").alias("predicted"))
+    # the rows' own columns wait in one column, so that none has a feature's name
+    scored = model(_with_features(docs.select(F.struct(*named(*columns)).alias("row"), "text"), lexicons))
+    return scored.select("row.*", F.col("__score").alias("score"), (F.col("__score") >= reject).cast("int").alias("predicted"))
 
 
 def fold(mod: int) -> Column:
