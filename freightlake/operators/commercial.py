@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .ranking import global_prefix, ntile
 
 MONEY = "decimal(18,2)"
@@ -14,8 +15,10 @@ def rfm_segments(orders: DataFrame, customer: str, ts: str, amount: str, tiles:
     """M1: recency, frequency and monetary quintiles of each customer; ties by customer."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
     out = orders.groupBy(customer).agg(F.max(day).cast("long").alias("__last"), F.count(F.lit(1)).alias("frequency"), F.sum(F.col(amount).cast(MONEY)).alias("monetary"))
+    out = saved(out)  # a row for each customer, read for every rank
     for value, name in (("__last", "r"), ("frequency", "f"), ("monetary", "m")):
-        out = global_prefix(out, value, customer).withColumn(name, ntile(F.col("row"), F.col("total_rows"), tiles)).drop("row", "total_rows")
+        ranked = global_prefix(out, value, customer)
+        out = saved(ranked.withColumn(name, ntile(F.col("row"), F.col("total_rows"), tiles)).drop("row", "total_rows"))
     return out.select(customer, F.date_add(F.lit("1970-01-01").cast("date"), F.col("__last").cast("int")).alias("last_day"), "frequency", F.col("monetary").cast("double").alias("monetary"), "r", "f", "m", (F.col("r") * 100 + F.col("f") * 10 + F.col("m")).alias("segment"))
 
 

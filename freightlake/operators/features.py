@@ -42,6 +42,6 @@ def category_counts(df: DataFrame, entity: str, category: str, values: list[str]
 
 def scale_features(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """z-scores by group; 0 where a group's values do not differ."""
-    stats = df.groupBy(group).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    stats = df.groupBy(F.col(group).alias("__group")).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
     z = F.when(F.coalesce("__sd", F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col(value) - F.col("__mean")) / F.col("__sd"))
-    return df.join(stats, group).withColumn("z", F.round(z, digits)).drop("__mean", "__sd")
+    return df.join(stats, F.col(group).eqNullSafe(F.col("__group"))).withColumn("z", F.round(z, digits)).drop("__group", "__mean", "__sd")

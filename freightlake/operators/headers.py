@@ -41,15 +41,27 @@ def map_headers(df: DataFrame, names: NameMap, keep: tuple[str, ...] = ()) -> Da
     return df.select(*[one(cs).alias(name) for name, cs in sources.items()], *[F.col(f"`{c}`") for c in keep])
 
 
-def critical_column_report(df: DataFrame, names: NameMap, source: str) -> DataFrame:
-    """H2: per source file and critical column: is it there, rows, filled rows, share filled."""
+def critical_column_report(df: DataFrame, names: NameMap, source: str, headers: DataFrame | None = None) -> DataFrame:
+    """H2: per source file and critical column: is it there, rows, filled rows, share filled.
+
+    With headers (source_file and each file's own headers, as ``csv_headers`` has them), a column is there if the
+    file has it, with or without rows; without, if the table has it.
+    """
     mapped = map_headers(df, names, keep=(source,))
     there = _sources(df, names)
     filled = [F.count_if(F.trim(F.col(c).cast("string")) != "").alias(c) for c in names.critical]
     counts = mapped.groupBy(source).agg(F.count(F.lit(1)).alias("rows"), *filled)
-    present = F.create_map(*[x for c in names.critical for x in (F.lit(c), F.lit(bool(there.get(c))))])
-    long = counts.unpivot([source, "rows"], list(names.critical), "column", "filled")
-    return long.select(F.col(source).alias("source_file"), "column", present[F.col("column")].alias("present"), "rows", "filled", (F.col("filled") / F.col("rows")).alias("fill_rate"))
+    long = counts.unpivot([source, "rows"], list(names.critical), "column", "filled").withColumnRenamed(source, "source_file")
+    if headers is None:
+        present = F.create_map(*[x for c in names.critical for x in (F.lit(c), F.lit(bool(there.get(c))))])[F.col("column")]
+    else:
+        known = {c: {plain(x) for x in (c, *names.aliases[c])} for c in names.critical}
+        spelled = F.transform("headers", lambda h: F.lower(F.trim(F.regexp_replace(F.ltrim(h, F.lit("\ufeff")), r"[\s_\-.]+", " "))))
+        has = [F.struct(F.lit(c).alias("column"), F.arrays_overlap(spelled, F.array(*map(F.lit, sorted(known[c])))).alias("present")) for c in names.critical]
+        own = headers.select("source_file", F.inline(F.array(*has)))
+        long = own.join(long, ["source_file", "column"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "filled")})
+        present = F.col("present")
+    return long.select("source_file", "column", present.alias("present"), "rows", "filled", F.try_divide("filled", "rows").alias("fill_rate"))
 
 
 def unmapped_header_report(df: DataFrame, names: NameMap, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -25,10 +25,20 @@ def phase_status(manifest: DataFrame, stages: list[str]) -> DataFrame:
 
 
 def artifact_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """L3: (key, change): rows added, removed, changed and same between two runs, by a hash of each row."""
-    columns = sorted(c for c in old.columns if c != key)
-    # a null hashes as nothing, so what is null is part of the hash as well
-    row = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns])), 256).alias("h"))
-    a, b = row(old).withColumnRenamed("h", "h_old"), row(new).withColumnRenamed("h", "h_new")
-    change = F.when(F.col("h_old").isNull(), "added").when(F.col("h_new").isNull(), "removed").when(F.col("h_old") != F.col("h_new"), "changed").otherwise("same")
-    return a.join(b, key, "full").select(key, change.alias("change"))
+    """L3: (key, change): keys added, removed, changed and same between two runs, by hashes of their rows.
+
+    A key that repeats is one row of the result, the same if all its rows are. Null is a key as any other. A
+    column that one run lacks is null there, so a new column is a change where it holds something.
+    """
+    columns = sorted({*old.columns, *new.columns} - {key})
+
+    def of(df: DataFrame, name: str) -> DataFrame:
+        # JSON leaves out what is null, so a null value and a column that is not there are alike
+        row = F.to_json(F.struct(*[F.col(c) for c in columns if c in df.columns])) if len(df.columns) > 1 else F.lit("{}")
+        parts = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(20,0)")) for seed in (1, 2)]  # in any order of rows
+        return df.groupBy(F.col(key).alias(f"{name}_key")).agg(F.struct(F.count(F.lit(1)).alias("n"), *[p.alias(f"h{i}") for i, p in enumerate(parts)]).alias(name))
+
+    a, b = of(old, "old"), of(new, "new")
+    both = a.join(b, F.col("old_key").eqNullSafe(F.col("new_key")), "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same")
+    return both.select(F.when(F.col("old").isNull(), F.col("new_key")).otherwise(F.col("old_key")).alias(key), change.alias("change"))

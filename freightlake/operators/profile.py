@@ -7,23 +7,30 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def profile_numeric(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Count, nulls, distinct, least, largest, mean, deviation and quartiles of each column, in one aggregate.
+    """Count, nulls, distinct, least, largest, mean, deviation and quartiles of each column.
 
-    Exact quartiles and distinct counts are for small tables; otherwise both are sketches.
+    Distinct counts and quartiles come from the counts of values of all columns at once, or are sketches.
     """
     def stats(c: str):
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        q = (lambda p: F.percentile(c, F.lit(p))) if exact else (lambda p: F.percentile_approx(c, F.lit(p), F.lit(10_000)).cast("double"))
+        q = lambda p: F.lit(None).cast("double") if exact else F.percentile_approx(c, F.lit(p), F.lit(10_000)).cast("double")
         return F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), distinct.alias("distinct"),
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), (F.lit(0).cast("long") if exact else F.approx_count_distinct(c)).alias("distinct"),
             F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("largest"),
             F.round(F.sum(F.col(c).cast("decimal(28,6)")).cast("double") / F.count(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("sd"),
             F.round(q(0.25), 4).alias("q1"), F.round(q(0.5), 4).alias("median"), F.round(q(0.75), 4).alias("q3"),
         )
 
-    return df.agg(F.array(*map(stats, columns)).alias("s")).select(F.inline("s"))
+    sums = df.agg(F.array(*map(stats, columns)).alias("s")).select(F.inline("s"))
+    if not exact:
+        return sums
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    q = exact_quantiles(long, "value", "column", [0.25, 0.5, 0.75])
+    own = {"distinct": F.coalesce(q["distinct"], F.lit(0))} | {name: F.round(q[f"q{i}"], 4) for i, name in enumerate(("q1", "median", "q3"))}
+    return sums.join(q, "column", "left").select(*[own[c].alias(c) if c in own else sums[c] for c in sums.columns])
 
 
 def profile_categorical(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:

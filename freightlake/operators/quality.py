@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 REPORT = "rule string, column string, checked long, failed long, pass_rate double, severity string, status string"
 
 
@@ -85,9 +87,10 @@ def foreign_key(child: DataFrame, parent: DataFrame, column: str, parent_column:
 
 
 def iqr_bounds(df: DataFrame, value: str, group: str, digits: int = 4, exact: bool = True) -> DataFrame:
-    """(group, q1, q3, low, high) of each group, quartiles rounded first; approximate ones need no sort of a group."""
-    q = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, F.lit(p), F.lit(100_000)))
-    q = df.groupBy(group).agg(F.round(q(0.25), digits).alias("q1"), F.round(q(0.75), digits).alias("q3"))
+    """(group, q1, q3, low, high) of each group, quartiles rounded first; approximate ones are read off a sketch."""
+    sketch = lambda p: F.percentile_approx(value, F.lit(p), F.lit(100_000))
+    q = exact_quantiles(df, value, group, [0.25, 0.75]) if exact else df.groupBy(group).agg(sketch(0.25).alias("q0"), sketch(0.75).alias("q1"))
+    q = q.select(group, F.round("q0", digits).alias("q1"), F.round("q1", digits).alias("q3"))
     width = 1.5 * (F.col("q3") - F.col("q1"))
     return q.withColumns({"low": F.col("q1") - width, "high": F.col("q3") + width})
 

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
-#: Rows between two bounds of the order.
-ROWS_TOGETHER = 50_000
+#: Rows between two bounds of the order, and bounds at most; parts into which the ties of a frequent value fall.
+ROWS_TOGETHER, MOST_BUCKETS, TIE_PARTS = 50_000, 256, 64
 
 
 def global_prefix(df: DataFrame, value: str, tie: str, weight: str | None = None, descending: bool = False, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """df with ``row`` (from 1), ``total_rows`` and, for a weight, ``before`` and ``total`` (its sums), in order of value, then tie.
 
-    Quantiles of the value cut the order into buckets; a window runs inside each, and the buckets' totals,
-    few rows, give where it begins. Null values come last.
+    Quantiles of the value cut the order into buckets. A value that fills more than one, and null, has buckets of its
+    own, cut by quantiles of the tie (a number or a time). A window runs inside each bucket, and the buckets' totals,
+    few rows, give where it begins. Null values come last. A column of df is replaced if it has the name of a new one.
     """
-    n = df.count()
-    k = min(5_000, max(1, n // rows_together))
-    bounds = sorted(set(df.agg(F.percentile_approx(value, [i / k for i in range(1, k)] or [0.5], 50_000).alias("q")).first()["q"] or []))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    bucket = F.when(F.col(value).isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - place if descending else place)
-    rows = df.withColumn("__bucket", bucket)
+    can_cut = isinstance(df.schema[tie].dataType, (NumericType, DateType, TimestampType))
+    cuts = lambda c, k: F.percentile_approx(c, [i / k for i in range(1, k)], 10_000)
+    told = df.agg(F.count(F.lit(1)).alias("n"), cuts(value, MOST_BUCKETS).alias("q"), (cuts(tie, TIE_PARTS) if can_cut else F.lit(None)).alias("t")).first()
+    k = min(MOST_BUCKETS, max(1, told["n"] // rows_together))
+    quantiles = [told["q"][round(i * MOST_BUCKETS / k) - 1] for i in range(1, k)] if told["q"] else []
+    often = sorted({a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b})
+    passed = lambda bounds, is_passed: F.size(F.filter(F.array(*map(F.lit, bounds)), is_passed)) if bounds else F.lit(0)
+    bounds, v = sorted(set(quantiles)), F.col(value)
+    place = passed(bounds, lambda b: b < v) + passed(often, lambda b: b < v) + passed(often, lambda b: b <= v)
+    last = len(bounds) + 2 * len(often)
+    bucket = F.when(v.isNull(), F.lit(last + 1)).otherwise(F.lit(last) - place if descending else place)
+    part = F.when(v.isNull() | (v.isin(often) if often else F.lit(False)), passed(sorted(set(told["t"] or [])), lambda b: b < F.col(tie))).otherwise(F.lit(0))
+    rows = df.withColumn("__bucket", bucket * TIE_PARTS + part)
     w = F.lit(0) if weight is None else F.col(weight)
     totals = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__rows"), F.sum(w).alias("__sum"))
     every = Window.orderBy("__bucket")
@@ -33,7 +42,7 @@ def global_prefix(df: DataFrame, value: str, tie: str, weight: str | None = None
     order = [F.desc_nulls_last(value) if descending else F.asc_nulls_last(value), F.asc(tie)]
     inside = Window.partitionBy("__bucket").orderBy(*order)
     rows = rows.withColumns({"__n": F.row_number().over(inside), "__before": F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    out = rows.join(F.broadcast(begins), "__bucket")  # as many rows as there are bounds, 5,000 at most
+    out = rows.join(F.broadcast(begins), "__bucket")  # as many rows as there are buckets: (3 * MOST_BUCKETS + 2) * TIE_PARTS at most
     out = out.withColumns({"row": F.col("__first") + F.col("__n"), "before": F.col("__start") + F.col("__before")})
     return out.drop("__bucket", "__n", "__before", "__first", "__start", *([] if weight else ["before", "total"]))
 

@@ -165,9 +165,9 @@ def evaluate_policy(spark, d):
     return quality.evaluate_policy(t(spark, d, "orders"), _rules())
 
 
-@query(_report_sql("not_null", "o_orderkey", "count(*)", "count(*) FILTER (WHERE o_orderkey IS NULL)", "orders"))
+@query(_report_sql("not_null", "customer_id", "count(*)", "count(*) FILTER (WHERE o_orderkey % 11 = 0)", "orders", "error", 0.95))
 def rule_not_null(spark, d):
-    return quality.evaluate_policy(t(spark, d, "orders"), [_rules()[0]])
+    return quality.evaluate_policy(damaged(t(spark, d, "orders")), [quality.not_null("customer_id", threshold=0.95)])
 
 
 @query(_UNIQUE)

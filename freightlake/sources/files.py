@@ -16,22 +16,32 @@ def csv_scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     Spark applies one file's header to all files of a read, by position. So files are grouped by their own
     header, each group is read on its own, and the groups are united by name; columns that a file lacks are
-    null. Headers that differ only in case stay apart, with Spark's index appended.
+    null. Headers that differ only in case stay apart, with Spark's index appended. Files without a line are left out.
     """
-    globs = [paths] if isinstance(paths, str) else list(paths)
-    files = [r["path"] for r in spark.read.format("binaryFile").load(globs).select("path").orderBy("path").collect()]  # names only
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
-    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(group).withColumn(SOURCE_FILE, F.col("_metadata.file_path")) for group in by_header.values()]
+    groups = _by_header(spark, paths)
+    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(group).withColumn(SOURCE_FILE, F.col("_metadata.file_path")) for group in groups]
     if not parts:
-        raise FileNotFoundError(f"no file matches {globs}")
+        raise FileNotFoundError(f"no file with a header matches {paths}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def _by_header(spark: SparkSession, paths: str | Sequence[str]) -> list[list[str]]:
+    """The files of each header. First lines are found where the files are read; the driver gets a list of files for each header."""
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    first = lines.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    return [r["paths"] for r in first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.element_at("paths", 1)).collect()]
+
+
+def csv_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(source_file, headers): the columns that each CSV file has itself."""
+    rows = [(group, spark.read.option("header", True).csv(group[0]).columns) for group in _by_header(spark, paths)]
+    return spark.createDataFrame(rows, "files array<string>, headers array<string>").select(F.explode("files").alias(SOURCE_FILE), "headers")
+
+
 def _write_run(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from freightlake.functions import scalars
 from freightlake.operators import contracts, features, headers, kpi, lineage, profile, quality, standardize
+from freightlake.operators.quantiles import exact_quantiles
 from freightlake.operators.ranking import global_prefix, ntile
 from freightlake.sources import files
 
@@ -115,3 +116,53 @@ def test_differences_of_nulls(spark):
     a = spark.createDataFrame([(1, None, "x"), (2, "y", None)], "k int, p string, q string")
     b = spark.createDataFrame([(1, "x", None), (2, "y", None), (3, None, None)], "k int, p string, q string")
     assert sorted(map(tuple, lineage.artifact_diff(a, b, "k").collect())) == [(1, "changed"), (2, "same"), (3, "added")]
+
+
+def test_ranks_of_one_value_in_most_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 > 0, 7).when(F.col("id") % 20 == 0, F.col("id")).alias("v"))
+    df.createOrReplaceTempView("tied")
+    for down in (False, True):
+        got = global_prefix(df, "v", "k", weight="k", descending=down, rows_together=100)
+        order = f"v {'DESC' if down else 'ASC'} NULLS LAST, k"
+        want = spark.sql(f"SELECT k, row_number() OVER (ORDER BY {order}) AS row, coalesce(sum(k) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tied")
+        assert sorted(map(tuple, got.select("k", "row", "before").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_quantiles_by_bracket(spark):
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 2, 5.0).otherwise((F.col("id") * 7919 % 10007).cast("double")).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), (None, 2.0), (9, None), (8, 4.0)], "g long, v double"))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect() if r["q"]}
+    for accuracy in (500, 100_000):  # with brackets and with whole groups
+        got = {r["g"]: list(r)[2:] for r in exact_quantiles(df, "v", "g", probs, accuracy).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert exact_quantiles(df.limit(0), "v", "g", probs).count() == 0
+
+
+def test_differences_of_schemas_and_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "x", "o"), (None, "n", None), (2, "r", None), (2, "s", None), (4, "t", None)], "k int, p string, gone string")
+    b = spark.createDataFrame([(1, "x", None), (None, "n", None), (2, "s", None), (2, "r", None), (4, "t", 5)], "k int, p string, new int")
+    got = {r["k"]: r["change"] for r in lineage.artifact_diff(a, b, "k").collect()}
+    assert got == {1: "changed", None: "same", 2: "same", 4: "changed"}
+    assert {r["change"] for r in lineage.artifact_diff(a, b.limit(0), "k").collect()} == {"removed"}
+
+
+def test_presence_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Order ID,created\n1,2024-01-01\n2,\n")
+    (tmp_path / "b.csv").write_text("\norder_id\n3\n")
+    (tmp_path / "c.csv").write_text("created,order-id\n")
+    (tmp_path / "empty.csv").write_text("")
+    paths = f"{tmp_path}/*.csv"
+    raw = files.csv_scan(spark, paths)
+    assert raw.count() == 3
+    report = headers.critical_column_report(raw, NAMES, files.SOURCE_FILE, files.csv_headers(spark, paths)).collect()
+    got = {(r["source_file"][-5:], r["column"]): (r["present"], r["rows"], r["filled"], r["fill_rate"]) for r in report}
+    assert got == {
+        ("a.csv", "order_id"): (True, 2, 2, 1.0), ("a.csv", "created_at"): (True, 2, 1, 0.5), ("b.csv", "order_id"): (True, 1, 1, 1.0),
+        ("b.csv", "created_at"): (False, 1, 0, 0.0), ("c.csv", "order_id"): (True, 0, 0, None), ("c.csv", "created_at"): (True, 0, 0, None),
+    }
+
+
+def test_scaled_values_of_no_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, x double")
+    assert sorted(r["z"] for r in features.scale_features(df, "x", "g").collect()) == [-0.707107, 0.0, 0.707107]
