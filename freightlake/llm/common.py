@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -161,7 +162,10 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about step_bytes of text each, with the text column's bytes and offsets."""
+    """Slices of the batches with about step_bytes of text each, with the text column's bytes and offsets.
+
+    When the batches end the worker gives back what memory it holds but no longer uses, since it waits for other tasks.
+    """
     for batch in batches:
         data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -170,6 +174,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", step_bytes: int
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del batch, data, offsets
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as far as the allocators can."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bytes_array, column, cut, list_array, mix, named, private, ragged, span_hashes, steps, table
+from .common import Words, bytes_array, column, cut, give_back, list_array, mix, named, private, ragged, span_hashes, steps, table
 from .components import connected_components
 
 SHINGLE = 5
@@ -38,7 +38,7 @@ ROWS_TOGETHER, LEAST_BUCKETS, MEMBERS_TOGETHER = 4000, 64, 20_000
 #: A larger group or cell is split into parts of this size, and each two parts meet in a task of their own.
 GROUP_PART, CELL_PART = 8192, 512
 #: Bytes of text that are signed together.
-SIGN_BYTES = 4 << 20
+SIGN_BYTES = 2 << 20
 PROBES, INDEXED = 1, 2
 _SALT = np.uint64(0xA0761D6478BD642F)
 _DELETED = np.uint64(0xE7037ED1A0B428DB)
@@ -275,6 +275,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     begins, counts = begins[kept], counts[kept]
     at = ragged(begins, counts)
     many = np.repeat(times > 1, counts)
+    give_back()
     gid = np.int64(rows["bucket"][0].as_py()) << 30 | sig[at].astype(np.int64)
     return pa.table({"gid": gid, "size": np.repeat(counts, counts), "node": node[at], "role": np.where(many, PROBES | INDEXED, role[at]).astype(np.int32)})
 
@@ -355,6 +356,7 @@ def _may_link(percent: int):
         u, v = np.minimum(u, v), np.maximum(u, v)
         order = np.lexsort((v, u))
         once = order[_starts(u[order], v[order])]
+        give_back()
         return pa.table({"u": u[once], "v": v[once]})
 
     return run

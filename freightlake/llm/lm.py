@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, collect_garbage, column, cut, list_array, mix, shared_dir, steps, table
+from .common import Words, collect_garbage, column, cut, give_back, list_array, mix, shared_dir, steps, table
 from .toxicity import fold
 
 #: Documents to a bucket, and the fewest buckets. Bytes of text that are counted together.
@@ -414,6 +414,7 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             arrays |= {f"few{k}-stats": stats[few].astype(np.uint8), f"some{k}-stats": stats[some].astype(vocabulary.kind)}
             out += [(k, c, keys[hot][part].view(np.int64), stats[hot][part].ravel()) for c, part in _groups(_spread(keys[hot], buckets))] if hot.any() else []
         save_arrays(folder, f"grams-{b}", arrays)
+        give_back()
         seconds, follows = np.unique(grams[-1], return_counts=True)  # of pairs
         out += [(1, r, seconds[part], follows[part]) for r, part in _groups(seconds // range_size)]
         kind, key, a, b = zip(*out, strict=True)

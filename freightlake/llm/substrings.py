@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, column, list_array, named, private, span_hashes, steps, table
+from .common import Words, column, give_back, list_array, named, private, span_hashes, steps, table
 
 WINDOW = 35
 GRAM = 16
@@ -140,6 +140,7 @@ def _removal(window: int, names: list[str], text_name: str, marks_name: str):
                 spans.append(gone)
             new = [pa.array(kept), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + new, names=[*names, "kept_text", "n_words", "n_removed", "removed"])
+        give_back()
 
     return run
 
