@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import join_months, month_of
+
 MONEY = "decimal(18,2)"
 
 
@@ -22,17 +24,32 @@ def entity_aggregates(df: DataFrame, entity: str, ts: str, amount: str) -> DataF
 
 
 def gap_features(df: DataFrame, entity: str, ts: str, key: str) -> DataFrame:
-    """number of an order in its entity's sequence, and days since the one before."""
-    w = Window.partitionBy(entity).orderBy(ts, key)
-    return df.withColumns({"sequence": F.row_number().over(w), "days_since": F.datediff(F.to_date(ts), F.to_date(F.lag(ts).over(w)))})
+    """number of an order in its entity's sequence, and days since the one before.
+
+    Rows are numbered inside each month of an entity; what its earlier months hold is joined on.
+    """
+    rows = df.withColumn("__month", month_of(ts))
+    months = rows.groupBy(F.col(entity).alias("__entity"), "__month").agg(F.count(F.lit(1)).alias("__n"), F.max(ts).alias("__last"))
+    w = Window.partitionBy("__entity").orderBy("__month")
+    earlier = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = months.select("__entity", "__month", earlier.alias("__before"), F.lag("__last").over(w).alias("__last"))
+    inside = Window.partitionBy(entity, "__month").orderBy(ts, key)
+    rows = join_months(rows.withColumns({"__number": F.row_number().over(inside), "__previous": F.lag(ts).over(inside)}), months, entity)
+    since = F.datediff(F.to_date(ts), F.to_date(F.coalesce("__previous", "__last")))
+    return rows.withColumns({"sequence": F.col("__before") + F.col("__number"), "days_since": since}).drop("__number", "__previous", "__before", "__last", "__month")
 
 
 def rolling_features(df: DataFrame, entity: str, ts: str, amount: str, days: int = 30) -> DataFrame:
-    """rows and sum of the days up to each row's day, that day whole, of its entity."""
-    number = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    w = Window.partitionBy(entity).orderBy("__day").rangeBetween(-days, 0)
-    rows = df.withColumn("__day", number)
-    return rows.withColumns({"rolling_count": F.count(F.lit(1)).over(w), "rolling_sum": F.sum(F.col(amount).cast(MONEY)).over(w).cast("double")}).drop("__day")
+    """rows and sum of the days up to each row's day, that day whole, of its entity.
+
+    Days are summed before the window, so it holds one row for each of an entity's days.
+    """
+    rows = df.withColumn("__day", F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")))
+    daily = rows.groupBy(F.col(entity).alias("__entity"), F.col("__day").alias("__on")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(amount).cast(MONEY)).alias("__sum"))
+    w = Window.partitionBy("__entity").orderBy("__on").rangeBetween(-days, 0)
+    daily = daily.select("__entity", "__on", F.sum("__n").over(w).alias("rolling_count"), F.sum("__sum").over(w).cast("double").alias("rolling_sum"))
+    same = F.col(entity).eqNullSafe(F.col("__entity")) & F.col("__day").eqNullSafe(F.col("__on"))
+    return rows.join(daily, same).drop("__day", "__entity", "__on")
 
 
 def category_counts(df: DataFrame, entity: str, category: str, values: list[str]) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import join_months, month_of
+
 MONEY = "decimal(18,2)"
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, left_amount: str, right_amount: str, tolerance: float = 1.0) -> DataFrame:
-    """(key, left_total, right_total, difference, status) of two sources, each summed by key before the join."""
-    total = lambda df, c, name: df.groupBy(key).agg(F.sum(F.col(c).cast(MONEY)).alias(name))
-    both = total(left, left_amount, "left_total").join(total(right, right_amount, "right_total"), key, "full")
+    """(key, left_total, right_total, difference, status) of two sources, each summed by key before the join; null keys match each other."""
+    total = lambda df, c, name, k: df.groupBy(F.col(key).alias(k)).agg(F.sum(F.col(c).cast(MONEY)).alias(name))
+    both = total(left, left_amount, "left_total", "__left").join(total(right, right_amount, "right_total", "__right"), F.col("__left").eqNullSafe(F.col("__right")), "full")
+    both = both.withColumn(key, F.coalesce("__left", "__right"))
     diff = F.col("left_total") - F.col("right_total")
     status = F.when(F.col("left_total").isNull(), "missing_left").when(F.col("right_total").isNull(), "missing_right").when(F.abs(diff) <= tolerance, "match").otherwise("variance")
     return both.select(key, F.col("left_total").cast("double").alias("left_total"), F.col("right_total").cast("double").alias("right_total"), diff.cast("double").alias("difference"), status.alias("status"))
@@ -25,8 +28,16 @@ def net_revenue(lines: DataFrame, by: dict[str, Column], price: str, discount: s
 
 
 def running_balance(rows: DataFrame, account: str, ts: str, key: str, amount: str) -> DataFrame:
-    """Running total and year-to-date total of each account; its order is by time, then key."""
-    w = Window.partitionBy(account).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
-    y = Window.partitionBy(account, F.year(ts)).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col(amount).cast(MONEY))
-    return rows.withColumns({"running_total": total.over(w).cast("double"), "year_to_date": total.over(y).cast("double")})
+    """Running total and year-to-date total of each account; its order is by time, then key.
+
+    Rows are added up inside each month of an account; the totals of its earlier months are joined on.
+    """
+    rows = rows.withColumn("__month", month_of(ts))
+    money = F.sum(F.col(amount).cast(MONEY))
+    months = rows.groupBy(F.col(account).alias("__entity"), "__month").agg(money.alias("__sum"))
+    before = lambda *by: F.sum("__sum").over(Window.partitionBy("__entity", *by).orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
+    months = months.select("__entity", "__month", before().alias("__before"), before(F.year("__month")).alias("__this_year"))
+    inside = Window.partitionBy(account, "__month").orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_months(rows.withColumn("__inside", money.over(inside)), months, account)
+    plus = lambda c: F.coalesce(F.col(c) + F.col("__inside"), c, "__inside").cast("double")
+    return rows.withColumns({"running_total": plus("__before"), "year_to_date": plus("__this_year")}).drop("__inside", "__before", "__this_year", "__month")

@@ -13,11 +13,14 @@ def kpi_evaluate(df: DataFrame, ts: str, grain: str, dimensions: list[str], meas
 
 
 def kpi_period_change(kpis: DataFrame, dimensions: list[str], months: int = 12) -> DataFrame:
-    """K2: each value with that of so many months before, the change and the relative change (null if the prior is 0 or absent)."""
+    """K2: each value with that of so many months before, the change and the relative change (null if the prior is 0 or absent); null dimensions match each other."""
     index = lambda c: F.year(c) * 12 + F.month(c)
     now = kpis.withColumn("__i", index("period"))
-    was = now.select(*dimensions, (F.col("__i") + months).alias("__i"), F.col("value").alias("prior"))
-    out = now.join(was, [*dimensions, "__i"], "left").drop("__i").withColumn("change", F.col("value") - F.col("prior"))
+    was = now.select(*[F.col(d).alias(f"__{d}") for d in dimensions], (F.col("__i") + months).alias("__then"), F.col("value").alias("prior"))
+    same = F.col("__i").eqNullSafe(F.col("__then"))
+    for d in dimensions:
+        same &= F.col(d).eqNullSafe(F.col(f"__{d}"))
+    out = now.join(was, same, "left").drop("__i", "__then", *[f"__{d}" for d in dimensions]).withColumn("change", F.col("value") - F.col("prior"))
     return out.withColumn("relative_change", F.when(F.col("prior") != 0, F.col("change") / F.col("prior")))
 
 

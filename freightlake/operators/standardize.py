@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def map_codes(df: DataFrame, column: str, lookup: DataFrame, code: str, name: str, out: str, unknown: str = "UNKNOWN") -> DataFrame:
-    """T4: code values by name through a lookup table; codes that it lacks stay visible as ``unknown``."""
-    names = lookup.select(F.col(code).alias("__code"), F.col(name).alias("__name")).dropDuplicates(["__code"])
+    """T4: code values by name through a lookup table; codes that it lacks stay visible as ``unknown``.
+
+    Of several names for a code the least counts.
+    """
+    names = lookup.groupBy(F.col(code).alias("__code")).agg(F.min(name).alias("__name"))
     joined = df.join(names, F.col(column) == F.col("__code"), "left")
     return joined.withColumn(out, F.coalesce("__name", F.lit(unknown))).drop("__code", "__name")
 

@@ -1,10 +1,12 @@
 """What the driver's tables don't hold: odd files, bad values, nulls, ties and empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from freightlake.functions import scalars
-from freightlake.operators import contracts, features, headers, kpi, lineage, profile, quality, standardize
+from freightlake.operators import contracts, features, finance, headers, kpi, lineage, profile, quality, standardize
 from freightlake.operators.quantiles import exact_quantiles
 from freightlake.operators.ranking import global_prefix, ntile
 from freightlake.sources import files
@@ -83,6 +85,8 @@ def test_codes_and_latest_rows(spark):
     lookup = spark.createDataFrame([("F", "full")], "c string, n string")
     df = spark.createDataFrame([("F", 1), ("Z", 2), (None, 3)], "s string, x int")
     assert sorted(r["o"] for r in standardize.map_codes(df, "s", lookup, "c", "n", "o").collect()) == ["UNKNOWN", "UNKNOWN", "full"]
+    lookup = spark.createDataFrame([("F", "full"), ("F", "final"), ("F", "found")], "c string, n string")
+    assert sorted(r["o"] for r in standardize.map_codes(df, "s", lookup, "c", "n", "o").collect()) == ["UNKNOWN", "UNKNOWN", "final"]
     ties = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (2, 1, "c")], "k int, t int, v string")
     assert sorted(tuple(r) for r in standardize.deduplicate(ties, ["k"], [F.desc("t"), F.asc("v")]).collect()) == [(1, 5, "a"), (2, 1, "c")]
 
@@ -98,6 +102,33 @@ def test_changes_over_a_gap(spark):
     assert got == {"2020-01-01": (None, None), "2021-01-01": (0.0, None), "2021-03-01": (None, None)}
 
 
+def test_histories_as_one_window_has_them(spark):
+    """An entity with most rows, others with few, null entities, times and amounts, ties in time."""
+    rng = random.Random(4)
+    day = lambda: None if rng.random() < 0.05 else f"20{rng.randrange(19, 23)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02} {rng.randrange(24):02}:00:00"
+    rows = [(k, rng.choice(["hot"] * 6 + ["a", "b", None]), day(), None if rng.random() < 0.1 else rng.randrange(1, 10_000) / 100) for k in range(800)]
+    df = spark.createDataFrame(rows, "k int, e string, t string, x double").withColumn("t", F.to_timestamp("t")).repartition(5)
+    df.createOrReplaceTempView("history")
+    want = spark.sql("""SELECT k, row_number() OVER w AS sequence, datediff(to_date(t), to_date(lag(t) OVER w)) AS days_since,
+        CAST(sum(CAST(x AS DECIMAL(18,2))) OVER (PARTITION BY e ORDER BY t, k ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total,
+        CAST(sum(CAST(x AS DECIMAL(18,2))) OVER (PARTITION BY e, year(t) ORDER BY t, k ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS year_to_date,
+        count(1) OVER r AS rolling_count, CAST(sum(CAST(x AS DECIMAL(18,2))) OVER r AS DOUBLE) AS rolling_sum
+        FROM history WINDOW w AS (PARTITION BY e ORDER BY t, k), r AS (PARTITION BY e ORDER BY datediff(to_date(t), date'1970-01-01') RANGE BETWEEN 30 PRECEDING AND CURRENT ROW)""").collect()
+    for got in (features.gap_features(df, "e", "t", "k"), finance.running_balance(df, "e", "t", "k", "x"), features.rolling_features(df, "e", "t", "x")):
+        new = [c for c in got.columns if c not in df.columns]
+        assert len(new) == 2 and set(got.columns) == {*df.columns, *new}
+        assert {r["k"]: tuple(r[c] for c in new) for r in got.collect()} == {r["k"]: tuple(r[c] for c in new) for r in want}
+
+
+def test_null_keys_meet(spark):
+    left = spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 3.0)], "k string, x double")
+    right = spark.createDataFrame([(None, 5.5), ("b", 1.0)], "k string, y double")
+    got = {r["k"]: (r["left_total"], r["right_total"], r["status"]) for r in finance.reconcile(left, right, "k", "x", "y").collect()}
+    assert got == {"a": (1.0, None, "missing_right"), "b": (None, 1.0, "missing_left"), None: (5.0, 5.5, "match")}
+    kpis = spark.sql("SELECT date'2020-01-01' AS period, CAST(NULL AS STRING) AS region, 2D AS value UNION ALL SELECT date'2021-01-01', NULL, 3D")
+    assert {r["prior"] for r in kpi.kpi_period_change(kpis, ["region"]).collect()} == {None, 2.0}
+
+
 def test_ranks_over_many_buckets(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
     got = global_prefix(df, "v", "k", weight="v", rows_together=100).withColumn("t", ntile(F.col("row"), F.col("total_rows"), 7))
