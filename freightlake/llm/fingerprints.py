@@ -1,7 +1,7 @@
 """Op 9, document fingerprints by winnowing, with DataFrame functions only.
 
-A text's words give rolling hashes of every ``GRAM`` consecutive words. From every ``WINDOW``
-consecutive hashes the smallest is kept, the rightmost where it ties, with its position. Two texts that
+Every ``GRAM`` consecutive words have a rolling hash: the polynomial of their hashes in ``BASE`` modulo
+``PRIME``, in Horner's form. From every ``WINDOW`` consecutive hashes the smallest is kept, the rightmost where it ties, with its position. Two texts that
 share ``GRAM + WINDOW - 1`` consecutive words share a kept hash.
 """
 
@@ -14,8 +14,10 @@ from .common import table
 
 GRAM = 3
 WINDOW = 6
-#: Documents between two neighbouring bounds of the order by doc_id.
-ROWS_TOGETHER = 2000
+#: The polynomial's point and modulus: products stay below 2**62.
+BASE, PRIME = 1_000_003_037, (1 << 31) - 1
+#: Documents of a bucket of the order by doc_id, and quantiles that the driver holds; evenly cut beyond them.
+ROWS_TOGETHER, MOST_BOUNDS = 2000, 10_000
 #: Low bits that hold a position, from the right; the hash is above them.
 POSITION_BITS = 31
 _LAST = (1 << POSITION_BITS) - 1
@@ -34,21 +36,21 @@ def _zip(a: Column, by: int, b: Column, f) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``out``: array<long>, each a hash of 32 bits above ``2**31 - 1 - position``; in order of position.
+    """``out``: array<long>, each a hash of 31 bits above ``2**31 - 1 - position``; in order of position.
 
     Null and blank texts have none; a text with fewer than GRAM words is one gram; one with fewer than
     WINDOW grams keeps its smallest.
     """
     w, g, p, m2, m4, k = (f"__{out}_{x}" for x in ("w", "g", "p", "m2", "m4", "k"))
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_SPACES))
-    pair = lambda x, y: F.xxhash64(x, y)
+    rolled = lambda h, word: (h * BASE + word) % PRIME
     least = lambda x, y: F.least(x, y)
-    df = df.withColumn(w, F.when(F.length(trimmed) > 0, F.transform(F.split(trimmed, r"[ \t\n\x0B\f\r]+"), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<long>")))
-    whole = F.array(F.aggregate(F.col(w), F.lit(0).cast("long"), pair))
+    df = df.withColumn(w, F.when(F.length(trimmed) > 0, F.transform(F.split(trimmed, r"[ \t\n\x0B\f\r]+"), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))).otherwise(F.array().cast("array<long>")))
+    whole = F.array(F.aggregate(F.col(w), F.lit(0).cast("long"), rolled))
     for i in range(1, GRAM):  # a gram of i + 1 words is one of i words and the next word
-        df = df.withColumn(f"{g}{i}", _zip(F.col(f"{g}{i - 1}" if i > 1 else w), i, F.col(w), pair))
+        df = df.withColumn(f"{g}{i}", _zip(F.col(f"{g}{i - 1}" if i > 1 else w), i, F.col(w), rolled))
     df = df.withColumn(g, F.when(F.size(w) >= GRAM, F.col(f"{g}{GRAM - 1}")).when(F.size(w) > 0, whole).otherwise(F.col(w)))
-    df = df.withColumn(p, F.transform(F.col(g), lambda h, i: F.bitwise_not(F.lit(_LAST)).bitwiseAND(F.shiftrightunsigned(h, 1)) + (F.lit(_LAST) - i)))
+    df = df.withColumn(p, F.transform(F.col(g), lambda h, i: F.shiftleft(h, POSITION_BITS) + (F.lit(_LAST) - i)))
     df = df.withColumn(m2, _zip(F.col(p), 1, F.col(p), least)).withColumn(m4, _zip(F.col(m2), 2, F.col(m2), least))
     mins = _zip(F.col(m4), WINDOW - 2, F.col(m2), least)
     df = df.withColumn(k, F.when(F.size(p) >= WINDOW, F.array_distinct(mins)).when(F.size(p) > 0, F.array(F.array_min(p))).otherwise(F.col(p)))
@@ -72,11 +74,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _order_buckets(docs: DataFrame, key: str, tie: str) -> Column:
-    """A bucket number that grows with the key, by quantiles of the key; null and frequent keys are split by the first byte of the tie."""
+    """A bucket number that grows with the key, by quantiles of the key and even cuts between them.
+
+    Null keys and keys that fill more than a bucket are split by the first bits of the tie.
+    """
     n = docs.count()
-    k = min(10_000, max(1, n // ROWS_TOGETHER))
+    wanted = max(1, n // ROWS_TOGETHER)
+    k = min(MOST_BOUNDS, wanted)
+    cuts = -(-wanted // k)
+    bits = min(24, max(8, wanted.bit_length()))
     probs = [i / k for i in range(1, k)] or [0.5]
-    found = docs.agg(F.percentile_approx(key, probs, 50_000).alias("q")).first()["q"] or []
+    got = docs.agg(F.percentile_approx(key, probs, 5 * MOST_BOUNDS).alias("q"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    found = got["q"] or []
     often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})  # keys that fill more than a bucket
     bounds = sorted({*found, *(x + 1 for x in often if x + 1 < 1 << 63)})
     width = max(1, round(len(bounds) ** 0.5))
@@ -86,9 +95,16 @@ def _order_buckets(docs: DataFrame, key: str, tie: str) -> Column:
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
     c = below(longs(coarse))
     f = F.when(c > 0, below(F.element_at(F.array(*[longs(x) for x in fine]), F.greatest(c, F.lit(1))))).otherwise(F.lit(0)) if fine else F.lit(0)
-    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(c * (width + 1) + f).cast("long")
+    bucket = (c * (width + 1) + f).cast("long")
+    if cuts > 1 and bounds:
+        at = F.when(c > 0, (c - 1) * width + f).otherwise(F.lit(0)) + 1
+        edges = F.array(*[F.lit(float(x)) for x in (got["lo"], *bounds, got["hi"])])
+        start, end = F.element_at(edges, at), F.element_at(edges, at + 1)
+        share = F.when(end > start, (F.col(key).cast("double") - start) / (end - start)).otherwise(F.lit(0.0))
+        bucket = bucket * cuts + F.least(F.greatest(F.floor(share * cuts), F.lit(0)), F.lit(cuts - 1))
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket).cast("long")
     of_many = F.col(key).isNull() | (F.col(key).isin(often) if often else F.lit(False))
-    return bucket * 256 + F.when(of_many, F.shiftright(tie, 56) + 128).otherwise(F.lit(0))
+    return bucket * (1 << bits) + F.when(of_many, F.shiftright(tie, 64 - bits) + (1 << bits - 1)).otherwise(F.lit(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -156,8 +156,10 @@ def test_stages_leave_columns_of_any_name(spark):
     assert {(r["shared"], r["marks"]) for r in removed.select("shared", "marks").distinct().collect()} == {(1, 2)}
 
 
-def test_next_of_frequent_and_null_ids(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [10_000, 3])
+def test_next_of_frequent_and_null_ids(spark, monkeypatch, bounds):
     monkeypatch.setattr(fingerprints, "ROWS_TOGETHER", 20)
+    monkeypatch.setattr(fingerprints, "MOST_BOUNDS", bounds)
     rng = random.Random(6)
     rows = [(i, f"text {rng.random()}") for i in [None] * 60 + [5] * 90 + [6] * 70 + [(1 << 63) - 1] * 50 + list(range(-40, 40))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

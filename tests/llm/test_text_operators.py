@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from freightlake.llm import fingerprints, jaccard, sharding, substrings
@@ -61,6 +62,38 @@ def test_fingerprints_hold_the_guarantee(spark):
             assert any(start <= place(x) < start + fingerprints.WINDOW for x in got[i])
 
 
+def fingerprint_by_the_book(text):
+    """(hash, position) of the kept grams: each gram's polynomial from its words, each window's least, rightmost on ties."""
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words_of(text)]
+    words = [(h - (1 << 64) if h >> 63 else h) % fingerprints.PRIME for h in words]
+    k = min(len(words), fingerprints.GRAM)
+    grams = [sum(h * fingerprints.BASE ** (k - 1 - j) for j, h in enumerate(words[i : i + k])) % fingerprints.PRIME for i in range(len(words) - k + 1)] if words else []
+    ends = range(min(fingerprints.WINDOW, len(grams)), len(grams) + 1) if grams else ()
+    return sorted({min(((grams[i], -i) for i in range(max(0, e - fingerprints.WINDOW), e))) for e in ends}, key=lambda x: -x[1])
+
+
+def as_string(found):
+    return " ".join(f"{h:x}@{-i}" for h, i in found)
+
+
+def alike(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_as_by_the_book(spark, docs, rows, tmp_path):
+    docs.select("doc_id", "text").where("doc_id is not null and doc_id not in (14, 15)").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = sorted(((i, t or "") for i, t in rows if i is not None and i not in (14, 15)), reverse=True)
+    want = {}
+    for (i, own), (_, after) in zip(texts, texts[1:] + texts[:1]):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        f, e, x = map(fingerprint_by_the_book, (own, edited, after))
+        want[i] = (len(own), hashlib.sha256(edited.encode()).hexdigest(), as_string(f), as_string(e), alike(f, e), alike(f, x))
+    got = fingerprints.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got} == want
+
+
 def test_next_documents_and_edited_texts(spark, docs, rows, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r for r in fingerprints.op9_fingerprints(spark, str(tmp_path)).collect() if r["doc_id"] is not None]
