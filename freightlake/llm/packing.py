@@ -157,7 +157,7 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buckets: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, bucket): whole windows have bucket -1."""
+    """(doc_id, start, length, ids, doc_tokens, bucket): whole windows have bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, turn = encoder_of(tokenizer), None
@@ -173,17 +173,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buckets:
                 for start in range(0, len(own), capacity):
                     part = own[start : start + capacity]
                     turn = (turn + 1) % buckets
-                    out.append((doc_id, start, len(part), zlib.crc32(part), len(own), -1 if len(part) == capacity else turn))
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"])
+                    out.append((doc_id, start, len(part), part.tobytes(), len(own), -1 if len(part) == capacity else turn))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
-    One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its
-    text's ids and ``end_id``; a null or blank text is the end alone. It is cut only at multiples of the
+    One row per piece: doc_id, start, length, ids (its token ids, each as four bytes, the lowest first),
+    doc_tokens, sequence_id, offset. A sequence is its pieces' ids by offset. A document is its text's ids and
+    ``end_id``; a null or blank text is the end alone. It is cut only at multiples of the
     capacity. Repeated rows and null ids are packed as any other; an empty table gives no rows.
     Remainders are dealt to buckets in turn, so a bucket is as large whatever ids or lengths repeat.
     """
@@ -196,12 +197,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         window, offset = pack_bucket(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=2 * (window * n_buckets + rows["bucket"]), offset=offset).drop(columns="bucket")
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return whole.unionByName(cut_up.where("bucket >= 0").groupBy("bucket").applyInPandas(packed, schema))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """All documents in sequences of 2048 tokens."""
+    """All documents in sequences of 2048 tokens: their pieces, with ids and the checksums of the ids."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents") if docs is None else docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack(table(spark, sf_dir, "documents") if docs is None else docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids"))

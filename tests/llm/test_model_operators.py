@@ -95,8 +95,8 @@ def test_packing(docs, rows):
         ids = encoder.encode(t or "", add_special_tokens=False).ids + [1]
         for s in range(0, len(ids), 512):
             part = ids[s : s + 512]
-            need[i, s, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)), len(ids)] += 1
-    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == need
+            need[i, s, len(part), b"".join(x.to_bytes(4, "little") for x in part), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], bytes(r["ids"]), r["doc_tokens"]) for r in got) == need
     windows = {}
     for r in got:
         windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -107,6 +107,13 @@ def test_packing(docs, rows):
     assert packing.pack(docs.limit(0), WORD_TOKENIZER).count() == 0
 
 
+def test_packing_query(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op5_packing(spark, str(tmp_path)).collect()
+    assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"] for r in got)
+    assert sum(r["length"] for r in got if r["start"] == 0) and max(r["offset"] + r["length"] for r in got) <= 2048
+
+
 def test_language_model(spark, docs, rows, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
