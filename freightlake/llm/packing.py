@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, steps, table
+from .common import Words, column, cut, give_back, steps, table
 
 CAPACITY = 2048
 #: Documents to a bucket of remainders.
@@ -195,6 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start"], kind="stable", ignore_index=True)
         window, offset = pack_bucket(rows["length"].to_numpy(), capacity)
+        give_back()
         return rows.assign(sequence_id=2 * (window * n_buckets + rows["bucket"]), offset=offset).drop(columns="bucket")
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
