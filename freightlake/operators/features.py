@@ -36,7 +36,7 @@ def gap_features(df: DataFrame, entity: str, ts: str, key: str) -> DataFrame:
     inside = Window.partitionBy(entity, "__month").orderBy(ts, key)
     rows = join_months(rows.withColumns({"__number": F.row_number().over(inside), "__previous": F.lag(ts).over(inside)}), months, entity)
     since = F.datediff(F.to_date(ts), F.to_date(F.coalesce("__previous", "__last")))
-    return rows.withColumns({"sequence": F.col("__before") + F.col("__number"), "days_since": since}).drop("__number", "__previous", "__before", "__last", "__month")
+    return rows.withColumns({"sequence": (F.col("__before") + F.col("__number")).cast("int"), "days_since": since}).drop("__number", "__previous", "__before", "__last", "__month")
 
 
 def rolling_features(df: DataFrame, entity: str, ts: str, amount: str, days: int = 30) -> DataFrame:
