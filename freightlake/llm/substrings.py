@@ -75,7 +75,7 @@ def _anchors(window: int, gram: int, rid_name: str, text_name: str):
 
 
 def _requests(window: int, buckets: int, most: int, rid_name: str, text_name: str, shared_name: str):
-    """The window hashes around every shared anchor: (bucket, rid, at, windows); hot ones in buckets under 0."""
+    """The window hashes around every shared anchor: (bucket, h, rid, at, windows); hot ones in buckets under 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches, text_name):
@@ -91,20 +91,28 @@ def _requests(window: int, buckets: int, most: int, rid_name: str, text_name: st
             spans = span_hashes(words.hashes(), start, start + window)
             rid = column(batch, rid_name).to_numpy()[text]
             bucket = np.where(c > most, -1 - rid % buckets, (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rid), pa.array(at), list_array(spans.view(np.int64), n, pa.int64())], names=["bucket", "rid", "at", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h), pa.array(rid), pa.array(at), list_array(spans.view(np.int64), n, pa.int64())], names=["bucket", "h", "rid", "at", "windows"])
 
     return run
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
-    """Of one bucket's windows, those that occur twice: (rid, at, mask), bit i for the anchor's i-th window."""
+    """Of one bucket's windows, those that occur twice: (rid, at, mask), bit i for the anchor's i-th window.
+
+    Windows are told apart by their anchor's hash and their own, since equal windows have equal anchors.
+    """
     rows = rows.filter(pc.greater_equal(rows["bucket"], 0))
     lists = rows["windows"].combine_chunks()
     flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    anchor = np.repeat(rows["h"].to_numpy(), counts)
+    order = np.lexsort((flat, anchor))
+    equal = np.zeros(len(flat) + 1, bool)  # to the one before, in order
+    equal[1:-1] = (flat[order[1:]] == flat[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+    twice = np.empty(len(flat), bool)
+    twice[order] = equal[1:] | equal[:-1]
     begins = np.cumsum(counts) - counts
     bit = np.arange(len(flat)) - np.repeat(begins, counts)
-    mask = np.add.reduceat((times[inverse] > 1).astype(np.int64) << bit, begins) if len(flat) else np.zeros(0, np.int64)
+    mask = np.add.reduceat(twice.astype(np.int64) << bit, begins) if len(flat) else np.zeros(0, np.int64)
     keep = mask != 0
     return pa.table({"rid": rows["rid"].to_numpy()[keep], "at": rows["at"].to_numpy()[keep], "mask": mask[keep]})
 
@@ -165,15 +173,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     often = anchors.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1")
     seeds = anchors.join(often, "h").groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("h", "at", "c")).alias(shared))
     # rows keep all their columns here so that they are shuffled once, for this join and the last
-    asked = rows.join(seeds, rid).mapInArrow(_requests(window, buckets, hot_above, rid, whole, shared), "bucket int, rid long, at long, windows array<long>").repartition("bucket")
+    asked = rows.join(seeds, rid).mapInArrow(_requests(window, buckets, hot_above, rid, whole, shared), "bucket int, h long, rid long, at long, windows array<long>").repartition("bucket")
     cold = asked.groupBy("bucket").applyInArrow(_repeated, "rid long, at long, mask long")
     # hot anchors: each distinct list of windows is counted once, as often as it occurs
-    hot = asked.select(F.explode_outer(F.when(F.col("bucket") < 0, F.array(F.struct("rid", "at", "windows")))).alias("x")).where("x is not null").select("x.*")
+    hot = asked.select(F.explode_outer(F.when(F.col("bucket") < 0, F.array(F.struct("h", "rid", "at", "windows")))).alias("x")).where("x is not null").select("x.*")
     hot = hot.withColumn("key", F.xxhash64("windows"))
-    lists = hot.groupBy("key").agg(F.first("windows").alias("windows"), F.count(F.lit(1)).alias("c")).select("key", "c", F.posexplode("windows").alias("i", "w"))
-    twice = lists.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
-    masks = lists.join(twice, "w").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    marks = cold.unionByName(hot.select("rid", "at", "key").join(masks, "key").drop("key")).groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("at", "mask")).alias(marked))
+    lists = hot.groupBy("h", "key").agg(F.first("windows").alias("windows"), F.count(F.lit(1)).alias("c")).select("h", "key", "c", F.posexplode("windows").alias("i", "w"))
+    twice = lists.groupBy("h", "w").agg(F.sum("c").alias("c")).where("c > 1").select("h", "w")
+    masks = lists.join(twice, ["h", "w"]).groupBy("h", "key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    marks = cold.unionByName(hot.select("h", "rid", "at", "key").join(masks, ["h", "key"]).drop("h", "key")).groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("at", "mask")).alias(marked))
     new = docs.sparkSession.createDataFrame([], "kept_text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>").schema
     return rows.join(marks, rid, "left").mapInArrow(_removal(window, names, whole, marked), StructType([*kept.schema, *new]))
 

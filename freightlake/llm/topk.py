@@ -34,23 +34,25 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
     return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k]
 
 
-def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For every query, (its place, the candidates' places, their scores): a superset of its k best, ties included."""
+def search_block(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For every query, (its place, the candidates' places, their scores): a superset of its k best, ties included.
+
+    own tells which candidates (columns) each query (row) does not meet.
+    """
     d = q.shape[1]
     if d and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d >= 2.0**52:
         exact = q.astype(object) @ c.T.astype(object)  # too large for whole floats: Python's integers, held to the range of long
         exact = np.array([[min(max(int(x), _LONG[0]), _LONG[1]) for x in row] for row in exact], dtype=object).reshape(len(q), len(c))
-        return [(i, np.flatnonzero(ids != query_ids[i]), exact[i][ids != query_ids[i]]) for i in range(len(q))]
+        return [(i, np.flatnonzero(~own[i]), exact[i][~own[i]]) for i in range(len(q))]
     order = np.argsort(-(c * c).sum(0), kind="stable")
     q, c = np.ascontiguousarray(q[:, order].T), np.ascontiguousarray(c[:, order].T)  # vertical: a row for each dimension
     begins = list(range(0, d, DIMENSIONS)) or [0]
     rest = lambda x: [np.sqrt((x[b + DIMENSIONS :] ** 2).sum(0)) for b in begins]
     rest_q, rest_c = rest(q), rest(c)
-    alive = np.arange(len(ids))
-    own = query_ids[:, None] == ids[None, :]
-    score = np.zeros((len(query_ids), len(ids)))
-    score[own] = -np.inf
-    least = np.full(len(query_ids), -np.inf)
+    n_q = q.shape[1]
+    alive = np.arange(c.shape[1])
+    score = np.where(own, -np.inf, 0.0)
+    least = np.full(n_q, -np.inf)
     pairs = None
     for n, b in enumerate(begins):
         block = slice(b, b + DIMENSIONS)
@@ -71,7 +73,7 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.nd
             at, cand, s = pairs
             s = s + np.einsum("ij,ij->j", q[block][:, at], c[block][:, cand])
             bound = rest_q[n][at] * rest_c[n][cand] * (1 + 1e-9)
-            ends = np.searchsorted(at, np.arange(len(query_ids) + 1))
+            ends = np.searchsorted(at, np.arange(n_q + 1))
             low = s - bound
             for i in np.flatnonzero(np.diff(ends) >= k):
                 least[i] = max(least[i], np.partition(low[ends[i] : ends[i + 1]], -k)[-k])
@@ -81,8 +83,8 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.nd
         at, col = np.nonzero((score >= least[:, None] - 0.5) & (score > -np.inf))
         pairs = (at, alive[col], score[at, col])
     at, cand, s = pairs
-    ends = np.searchsorted(at, np.arange(len(query_ids) + 1))
-    return [(i, cand[ends[i] : ends[i + 1]], s[ends[i] : ends[i + 1]]) for i in range(len(query_ids))]
+    ends = np.searchsorted(at, np.arange(n_q + 1))
+    return [(i, cand[ends[i] : ends[i + 1]], s[ends[i] : ends[i + 1]]) for i in range(n_q)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -90,34 +92,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, vec_id:
 
     Components become floor(scale * x). Every row is a candidate but for the query itself; ties go to the
     smaller id. Vectors that are null or hold null, NaN or infinite components, and rows without id, take
-    no part. Rows of one id count once, with their least vector. Vectors meet only those of their own
-    length. Scores beyond the range of long are held to it. An empty table gives no rows.
+    no part. Rows that share an id are candidates each, for one another too, and ask each, with ranks of
+    their own; rows equal in id and vector are as many candidates but ask once. Vectors meet only those of
+    their own length. Scores beyond the range of long are held to it. An empty table gives no rows.
     """
     x = F.col(vector)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("v"), is_query.alias("asks")).where(x.isNotNull() & F.col("vec_id").isNotNull() & ~bad)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"), F.max("asks").alias("asks")).withColumn("row", F.xxhash64("vec_id", "v"))
     n = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     n_c, n_q = max(1, math.ceil(n["n"] / CANDIDATES)), max(1, math.ceil(n["q"] / QUERIES))
     size = F.size("v").alias("d")
-    asked = rows.where("asks").select("vec_id", "v", size, hash_bucket(n_q, F.lit(1), "vec_id").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    there = rows.select("vec_id", "v", size, hash_bucket(n_c, F.lit(2), "vec_id").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    asked = rows.where("asks").select("row", "vec_id", "v", size, hash_bucket(n_q, F.lit(1), "row").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+    there = rows.select("row", "vec_id", "v", "times", size, hash_bucket(n_c, F.lit(2), "row").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         if q.num_rows and c.num_rows:
-            query_ids, ids = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-            for i, at, s in search_block(query_ids, _ints(q["v"], scale), ids, _ints(c["v"], scale), k):
+            query_ids, query_rows, ids, rows, times = (x.to_numpy() for x in (q["vec_id"], q["row"], c["vec_id"], c["row"], c["times"]))
+            same = (query_ids[:, None] == ids) & (query_rows[:, None] == rows)
+            for i, at, s in search_block(_ints(q["v"], scale), _ints(c["v"], scale), same & (times == 1), k):
                 first = sorted(range(len(at)), key=lambda j: (-s[j], ids[at[j]]))[:k] if s.dtype == object else np.lexsort((ids[at], -s))[:k]
-                out[0].append(np.full(len(first), query_ids[i]))
-                out[1].append(ids[at][first])
-                out[2].append(np.array([int(s[j]) for j in first], dtype=np.int64))
-        return pa.table({name: pa.array(np.concatenate(x) if x else [], type=pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                at = at[first]
+                for x, got in zip(out, (np.full(len(at), query_ids[i]), np.full(len(at), query_rows[i]), ids[at], np.array([int(s[j]) for j in first], dtype=np.int64), times[at] - same[i, at]), strict=True):
+                    x.append(got)
+        return pa.table({name: pa.array(np.concatenate(x) if x else [], type=pa.int64()) for name, x in zip(("query_id", "query", "vec_id", "score", "times"), out, strict=True)})
 
     key = ["d", "qb", "cb"]
-    found = asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(best, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(best, "query_id long, query long, vec_id long, score long, times long")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    first = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))  # no more than k copies can be among the k best
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +132,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+q AS (SELECT min(id) AS id, vec_id, any_value(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, embedding),
+p AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM q JOIN v c ON q.id <> c.id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

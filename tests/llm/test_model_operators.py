@@ -2,10 +2,12 @@
 
 import math
 import random
+import tempfile
 import zlib
 from collections import Counter
 from itertools import product
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,25 @@ def test_top_k(spark, d):
     assert sorted(tuple(r) for r in got.collect()) == best(vectors, 20)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = random.Random(3)
+    vectors = [(i // 3, [float(rng.randrange(-2, 3)) for _ in range(6)]) for i in range(240)]
+    vectors += vectors[:20] + vectors[57:70] + [(40, [9.0] * 6)] * 30
+    ints = [[math.floor(64 * x) for x in v] for _, v in vectors]
+    want, asked = Counter(), set()
+    for n, (i, v) in enumerate(vectors):
+        if i % 20 == 0 and (i, tuple(v)) not in asked:
+            asked.add((i, tuple(v)))
+            found = sorted((-sum(a * b for a, b in zip(ints[n], x)), vectors[m][0]) for m, x in enumerate(ints) if m != n)[:20]
+            want.update((i, rank + 1, c, -s) for rank, (s, c) in enumerate(found))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    df.write.parquet(str(folder := tempfile.mkdtemp()) + "/embeddings.parquet")
+    assert Counter(tuple(r) for r in topk.op1_topk(spark, folder).collect()) == want
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    assert Counter(duck.sql(topk.OP1_SQL).fetchall()) == want
+
+
 def test_top_k_of_large_numbers_and_of_nothing(spark):
     vectors = [(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [-1e6, 5.0]), (3, [1e30, 0.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
