@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: DuckDB's CRC-32 of the bytes in {0}, a list of integers.
+CRC32_SQL = "xor(list_reduce([4294967295::BIGINT] || {0}, lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, zero: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+#: DuckDB's list of the bytes of the text {0}.
+BYTES_SQL = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True

@@ -10,6 +10,7 @@ from pathlib import Path
 from .fingerprints import op9_fingerprints
 from .jaccard import OP7_SQL, op7_jaccard_join
 from .lm import op6_lm_scores
+from .merkle import OP12_SQL, op12_merkle
 from .packing import op5_packing
 from .pieces import op3_sentencepiece
 from .quality import op8_quality
@@ -35,7 +36,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict:
-    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity}
+    named = {"op1_topk": op1_topk, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_lm_scores": op6_lm_scores, "op7_jaccard_join": op7_jaccard_join, "op8_quality": op8_quality, "op9_fingerprints": op9_fingerprints, "op10_toxicity": op10_toxicity, "op12_merkle": op12_merkle}
     import corpus_pipeline
 
     named["pipeline"] = corpus_pipeline.run
@@ -43,4 +44,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {"op1_topk": OP1_SQL, "op2_substrings": OP2_SQL, "op7_jaccard_join": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op2_substrings": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op12_merkle": OP12_SQL}
