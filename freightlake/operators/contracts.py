@@ -2,77 +2,181 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
+
+from ..functions.names import exact, private
+
+VIOLATION = "struct<column:string,reason:string,value:string>"
 
 
 @dataclass(frozen=True)
 class Contract:
-    """The table-valued part of a JSON Schema: properties in order and the required ones."""
+    """The table-valued part of a JSON Schema: properties in order, the required ones, and each one's own schema."""
 
     title: str
     types: dict[str, str]
     required: tuple[str, ...] = ()
+    specs: dict[str, dict] = field(default_factory=dict)
 
     @staticmethod
     def from_json_schema(schema: dict) -> Contract:
-        """From ``type``, ``format``, ``items``, ``properties``, ``required`` and ``x-scale``."""
-        return Contract(schema.get("title", ""), {k: spark_type(v) for k, v in schema["properties"].items()}, tuple(schema.get("required", ())))
+        """From ``type``, ``format``, ``items``, ``properties``, ``required``, ``x-scale``, and the rules that ``_rules`` names."""
+        return Contract(schema.get("title", ""), {k: spark_type(v) for k, v in schema["properties"].items()}, tuple(schema.get("required", ())), dict(schema["properties"]))
 
+    def spec(self, column: str) -> dict:
+        return self.specs.get(column, {})
 
-def spark_type(spec: dict) -> str:
+
+def _kind(spec: dict) -> str:
     kind = spec.get("type", "string")
-    kind = next((k for k in kind if k != "null"), "string") if isinstance(kind, list) else kind
-    if kind == "string":
-        return {"date": "date", "date-time": "timestamp"}.get(spec.get("format", ""), "string")
-    if kind == "number":
-        return f"decimal(18,{spec['x-scale']})" if "x-scale" in spec else "double"
-    if kind == "array":
-        return f"array<{spark_type(spec.get('items', {}))}>"
-    if kind == "object":
-        return "struct<" + ",".join(f"{k}:{spark_type(v)}" for k, v in spec.get("properties", {}).items()) + ">"
-    return {"integer": "bigint", "boolean": "boolean"}[kind]
+    return next((k for k in kind if k != "null"), "string") if isinstance(kind, list) else kind
 
 
-def _cast(df: DataFrame, name: str, kind: str) -> Column:
-    if name not in df.columns:
-        return F.lit(None).cast(kind)
-    return F.col(f"`{name}`").try_cast(kind)
+def spark_type(spec: dict) -> str:
+    """The Spark type of a JSON Schema, arrays and objects included."""
+    return _type(spec, lambda s: {"date": "date", "date-time": "timestamp"}.get(s.get("format", ""), "string") if _kind(s) == "string" else f"decimal(18,{s['x-scale']})" if "x-scale" in s and _kind(s) == "number" else {"number": "double", "integer": "bigint", "boolean": "boolean"}[_kind(s)])
 
 
-def conform(df: DataFrame, contract: Contract) -> DataFrame:
-    """The contract's columns in its types; failed casts and absent columns are null, other columns go."""
-    return df.select(*[_cast(df, c, kind).alias(c) for c, kind in contract.types.items()])
+def _type(spec: dict, scalar) -> str:
+    if _kind(spec) == "array":
+        return f"array<{_type(spec.get('items', {}), scalar)}>"
+    if _kind(spec) == "object":
+        return "struct<" + ",".join("`" + k.replace("`", "``") + f"`:{_type(v, scalar)}" for k, v in spec.get("properties", {}).items()) + ">"
+    return scalar(spec)
+
+
+def _is_nested(spec: dict) -> bool:
+    return _kind(spec) in ("array", "object")
 
 
-def _reasons(df: DataFrame, contract: Contract) -> Column:
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A column as a file would have it: arrays, objects and variants as JSON."""
+    kind = df.schema[name].dataType
+    return F.to_json(exact(name)) if isinstance(kind, (ArrayType, StructType, MapType, VariantType)) else exact(name)
+
+
+def _parsed(text: Column, spec: dict) -> Column:
+    """One level of JSON text, what is in it as text; null if it is not JSON of that kind."""
+    kind = "array<string>" if _kind(spec) == "array" else "struct<" + ",".join("`" + k.replace("`", "``") + "`:string" for k in spec.get("properties", {})) + ">"
+    fits = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("[" if _kind(spec) == "array" else "{")
+    return F.when(fits, F.from_json(text, kind))
+
+
+def _typed(text: Column, spec: dict) -> Column:
+    """Text in the contract's types, level by level; what can't be read or cast is null where it stands."""
+    if _kind(spec) == "array":
+        return F.transform(_parsed(text, spec), lambda x: _typed(x, spec.get("items", {})))
+    if _kind(spec) == "object":
+        value = _parsed(text, spec)
+        return F.when(value.isNotNull(), F.struct(*[_typed(value[k], s).alias(k) for k, s in spec.get("properties", {}).items()]))
+    return text.try_cast(spark_type(spec))
+
+
+def conform(df: DataFrame, contract: Contract) -> DataFrame:
+    """The contract's columns in its types; failed casts and absent columns are null, other columns go.
+
+    Arrays and objects are read from JSON text, or from columns of such types; inside them, what fails is null alone.
+    """
+
+    def one(c: str, kind: str) -> Column:
+        if c not in df.columns:
+            return F.lit(None).cast(kind)
+        spec = contract.spec(c)
+        return _typed(_as_text(df, c), spec).cast(kind) if _is_nested(spec) else exact(c).try_cast(kind)
+
+    return df.select(*[one(c, kind).alias(c) for c, kind in contract.types.items()])
+
+
+def _rules(spec: dict, text: Column, typed: Column) -> list[tuple[str, Column]]:
+    """(rule, whether it fails) for the rules of a scalar; none fails on null."""
+    out = []
+    if "enum" in spec:
+        out.append(("enum", ~text.isin([str(x).lower() if isinstance(x, bool) else str(x) for x in spec["enum"] if x is not None])))
+    if "const" in spec:
+        out.append(("const", text != F.lit(str(spec["const"]))))
+    if "pattern" in spec:
+        out.append(("pattern", ~text.rlike(spec["pattern"])))
+    for name, fails in (("minLength", F.char_length(text) < F.lit(spec.get("minLength"))), ("maxLength", F.char_length(text) > F.lit(spec.get("maxLength")))):
+        if name in spec:
+            out.append((name, fails))
+    for name, fails in (("minimum", lambda b: typed < b), ("maximum", lambda b: typed > b), ("exclusiveMinimum", lambda b: typed <= b), ("exclusiveMaximum", lambda b: typed >= b)):
+        if name in spec:
+            out.append((name, fails(F.lit(spec[name]))))
+    return out
+
+
+def _row(path: Column, why: str, value: Column) -> Column:
+    return F.struct(path.alias("column"), F.lit(why).alias("reason"), value.cast("string").alias("value"))
+
+
+def _found(spec: dict, kind: str, raw: Column, path: Column, required: bool) -> Column:
+    """An array of (column, reason, value), null where there is none, of a scalar as it came."""
+    text = raw.cast("string")
+    missing, typed = raw.isNull() | (F.trim(text) == ""), raw.try_cast(kind)
+    rows = [F.when(missing, _row(path, "required", raw))] if required else []
+    if kind != "string":
+        rows.append(F.when(~missing & typed.isNull(), _row(path, "cast", raw)))
+    rows += [F.when(~missing & fails, _row(path, name, raw)) for name, fails in _rules(spec, F.trim(text) if kind != "string" else text, typed)]
+    return F.array(*rows) if rows else F.array().cast(f"array<{VIOLATION}>")
+
+
+def _violations(spec: dict, kind: str, text: Column, path: Column, required: bool) -> Column:
+    """All that a value violates: a scalar, or JSON text whose parts have paths of their own, such as ``items[3].price``."""
+    if not _is_nested(spec):
+        return _found(spec, kind, text, path, required)
+    value, missing, none = _parsed(text, spec), text.isNull() | (F.trim(text) == ""), F.array().cast(f"array<{VIOLATION}>")
+    rows = [F.when(~missing & value.isNull(), _row(path, "cast", text))] + ([F.when(missing, _row(path, "required", text))] if required else [])
+    if _kind(spec) == "array":
+        item, size = spec.get("items", {}), F.size(value)
+        rows += [F.when(value.isNotNull() & fails, _row(path, name, size)) for name, fails in (("minItems", size < F.lit(spec.get("minItems"))), ("maxItems", size > F.lit(spec.get("maxItems")))) if name in spec]
+        needs = "null" not in (item.get("type") or [])
+        each = F.flatten(F.transform(value, lambda x, i: _violations(item, spark_type(item), x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), needs)))
+    else:
+        parts = [_violations(s, spark_type(s), value[k], F.concat(path, F.lit(f".{k}")), k in spec.get("required", ())) for k, s in spec.get("properties", {}).items()]
+        each = F.when(value.isNotNull(), F.concat(*parts)) if parts else none
+    return F.concat(F.array(*rows), F.coalesce(each, none))
+
+
+def _reasons(df: DataFrame, contract: Contract, shape: str | None = None) -> Column:
     """An array of (column, reason, value) for each row."""
     found = []
-    row = lambda c, why, value: F.struct(F.lit(c).alias("column"), F.lit(why).alias("reason"), value.cast("string").alias("value"))
     for c, kind in contract.types.items():
-        raw = F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")
-        missing = raw.isNull() | (F.trim(raw.cast("string")) == "")
-        if c in contract.required:
-            found.append(F.when(missing, row(c, "required", raw)))
-        if c in df.columns and kind != "string":
-            found.append(F.when(~missing & raw.try_cast(kind).isNull(), row(c, "cast", raw)))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<column:string,reason:string,value:string>>")
-
-
-def contract_violations(df: DataFrame, contract: Contract, key: str) -> DataFrame:
-    """A row (key, column, reason, value) for each failed cast and missing required value, and one per extra column (null key)."""
-    each = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.inline(_reasons(df, contract)))
-    extra = [c for c in df.columns if c not in contract.types]
+        spec, path = contract.spec(c), F.lit(c)
+        if c not in df.columns:
+            if c in contract.required:
+                found.append(F.array(_row(path, "required", F.lit(None))))
+        else:
+            found.append(_violations(spec, kind, _as_text(df, c) if _is_nested(spec) else exact(c), path, c in contract.required))
+    if shape is not None and shape in df.columns:
+        found.append(F.array(F.when(exact(shape).isNotNull(), _row(F.lit("record"), "shape", exact(shape)))))
+    return F.array_compact(F.concat(*found)) if found else F.array().cast(f"array<{VIOLATION}>")
+
+
+def contract_violations(df: DataFrame, contract: Contract, key: str, shape: str | None = None) -> DataFrame:
+    """A row (key, column, reason, value) for each violation, and one per extra column (null key).
+
+    Reasons: ``required``, ``cast``, ``extra``, the rules of JSON Schema (``enum``, ``const``, ``pattern``, ``minimum``,
+    ``maximum``, their exclusive forms, lengths and numbers of items), and ``shape`` for records that don't fit their header, where
+    ``shape`` names the column that tells so. Violations inside arrays and objects name their path.
+    """
+    each = df.select(exact(key).cast("string").alias("key"), F.inline(_reasons(df, contract, shape)))
+    extra = [c for c in df.columns if c not in contract.types and c != shape]
     if not extra:
         return each
     rows = [(None, c, "extra", None) for c in extra]
     return each.unionByName(df.sparkSession.createDataFrame(rows, "key string, column string, reason string, value string"))
 
 
-def quarantine(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows as they came; rejected ones with ``reasons``, the sorted ``column:reason``."""
-    reasons = F.array_sort(F.transform(_reasons(df, contract), lambda r: F.concat_ws(":", r["column"], r["reason"])))
-    marked = df.withColumn("reasons", reasons)
-    return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
+def quarantine(df: DataFrame, contract: Contract, shape: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows as they came; rejected ones with ``reasons``, the sorted ``column:reason``, each once.
+
+    A column of that name stays as it is, and the added one gets another name, with _ appended.
+    """
+    (out,) = private(df.columns, "reasons")
+    reasons = F.array_sort(F.array_distinct(F.transform(_reasons(df, contract, shape), lambda r: F.concat_ws(":", r["column"], r["reason"]))))
+    marked = df.withColumn(out, reasons)
+    return marked.where(F.size(out) == 0).drop(out), marked.where(F.size(out) > 0)

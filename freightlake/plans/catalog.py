@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freightlake.functions import scalars
 from freightlake.operators import commercial, contracts, features, finance, headers, kpi, lineage, marts, profile, quality, standardize
 from freightlake.session import scratch_dir
-from freightlake.sources import files
+from freightlake.sources import files, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,65 @@ def write_clean_read_stage(spark, d):
     return files.read_stage(spark, path, "007")
 
 
+_VERSIONS = "SELECT 'run-1' AS run_id, 1 AS version, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS detail FROM orders UNION ALL SELECT 'run-1', 2, CAST(o_orderkey AS VARCHAR), 'F' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT '2', 1, 'k' || o_orderkey, CAST(o_totalprice > 1000 AS VARCHAR) FROM orders"
+
+
+def _versions(spark, d):
+    """A table of two runs with unlike columns and types, the first written twice."""
+    orders, path = t(spark, d, "orders"), f"{scratch_dir(spark)}/table"
+    runs.write_run(orders.select("o_orderkey", "o_custkey"), path, "run-1")
+    runs.write_run(orders.select(F.concat(F.lit("k"), F.col("o_orderkey")).alias("o_orderkey"), (F.col("o_totalprice") > 1000).alias("large")), path, "2")
+    runs.write_run(orders.where("o_orderstatus = 'F'").select("o_orderstatus", "o_orderkey"), path, "run-1")
+    return path
+
+
+@query(_VERSIONS)
+def stage_versions(spark, d):
+    path, out = _versions(spark, d), None
+    for run, version, detail in (("run-1", 1, "o_custkey"), ("run-1", None, "o_orderstatus"), ("2", None, "large")):
+        rows = files.read_stage(spark, path, run, version)
+        part = rows.select("run_id", F.lit(version or (2 if run == "run-1" else 1)).alias("version"), F.col("o_orderkey").cast("string").alias("key"), F.col(detail).cast("string").alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT 'run-1' AS run_id, 1::BIGINT AS version, count(*) AS rows, 'o_orderkey:long,o_custkey:long' AS columns, false AS latest FROM orders UNION ALL SELECT 'run-1', 2, count(*), 'o_orderstatus:string,o_orderkey:long', true FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT '2', 1, count(*), 'o_orderkey:string,large:boolean', true FROM orders")
+def stage_log(spark, d):
+    return runs.stage_log(spark, _versions(spark, d)).select("run_id", "version", "rows", F.array_join("columns", ",").alias("columns"), "latest")
+
+
+@query("SELECT '2' AS run_id, 'k' || o_orderkey AS o_orderkey, o_totalprice > 1000 AS large, NULL AS o_orderstatus FROM orders UNION ALL SELECT 'run-1', CAST(o_orderkey AS VARCHAR), NULL, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def runs_together(spark, d):
+    return runs.read_runs(spark, _versions(spark, d))
+
+
+def _odd_records(spark, d):
+    """Files of orders whose notes hold separators, quotes and line breaks, and whose records lack fields or have too many, by key."""
+    key, place = F.col("o_orderkey"), f"{scratch_dir(spark)}/odd"
+    note = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""so""'), F.when(key % 3 == 0, F.lit("\nnext line")).otherwise(F.lit("")), F.lit('"'))
+    fields = F.when(key % 5 == 0, F.array(key.cast("string"))).when(key % 7 == 0, F.array(key.cast("string"), note, F.col("o_orderstatus"), F.lit("extra"), F.lit('"a, b"'))).otherwise(F.array(key.cast("string"), note, F.col("o_orderstatus")))
+    lines = t(spark, d, "orders").select((key % 4).alias("part"), F.lit(1).alias("row"), F.array_join(fields, ",").alias("value"))
+    heads = lines.select("part").distinct().select("part", F.lit(0).alias("row"), F.lit("order_id,note,status").alias("value"))
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "row").drop("row").write.partitionBy("part").text(place)
+    return files.csv_scan(spark, f"{place}/part=*")
+
+
+_ODD = """SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ', "so"' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'next line' ELSE '' END END AS note, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'short' WHEN o_orderkey % 7 = 0 THEN 'long' END AS record_shape, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'extra|a, b' END AS overflow FROM orders"""
+
+
+@query(_ODD)
+def csv_odd_records(spark, d):
+    rows = _odd_records(spark, d)
+    return rows.select("order_id", "note", "status", "record_shape", F.array_join("overflow_fields", "|").alias("overflow"))
+
+
+@query(f"SELECT order_id, record_shape IS NULL AND status IS NOT NULL AS accepted, CASE WHEN record_shape = 'short' THEN 'record:shape,status:required' WHEN record_shape = 'long' THEN 'record:shape' ELSE '' END AS reasons FROM ({_ODD})")
+def csv_quarantine(spark, d):
+    contract = contracts.Contract.from_json_schema({"required": ["order_id", "status"], "properties": {"order_id": {"type": "integer"}, "note": {"type": "string"}, "status": {"type": "string"}}})
+    good, bad = contracts.quarantine(_odd_records(spark, d), contract, shape=files.SHAPE)
+    return good.select("order_id", F.lit(True).alias("accepted"), F.lit("").alias("reasons")).unionByName(bad.select("order_id", F.lit(False).alias("accepted"), F.array_join("reasons", ",").alias("reasons")))
+
+
 # 2.2 headers
 
 
@@ -134,6 +193,50 @@ def quarantine(spark, d):
     return good.unionByName(bad.select("order_id", F.array_join("reasons", ",").alias("reasons"), F.lit(False).alias("accepted")))
 
 
+NESTED = contracts.Contract.from_json_schema({
+    "title": "Orders with lines", "required": ["order_id", "lines"], "properties": {
+        "order_id": {"type": "integer", "minimum": 1},
+        "lines": {"type": "array", "maxItems": 6, "items": {"type": "object", "required": ["part"], "properties": {"part": {"type": "integer"}, "quantity": {"type": "integer", "maximum": 45}, "flags": {"type": "array", "items": {"type": "string", "enum": ["A", "N", "F", "O"]}}}}},
+        "priority": {"type": "object", "required": ["rank"], "properties": {"rank": {"type": "integer", "minimum": 2}, "name": {"type": "string", "pattern": "^[A-Z]", "maxLength": 13}}},
+    },
+})
+
+
+def _nested(spark, d):
+    """Orders with their lines and priority as JSON text; parts of some lines are no numbers, by key."""
+    part = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("p"), F.col("l_partkey"))).otherwise(F.col("l_partkey").cast("string"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.struct(part.alias("part"), F.col("l_quantity").cast("int").alias("quantity"), F.array("l_returnflag", "l_linestatus").alias("flags")).alias("json"))
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["json"])).alias("lines"))
+    rank = F.split("o_orderpriority", "-")
+    priority = F.to_json(F.struct(rank[0].alias("rank"), rank[1].alias("name")))
+    return t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("order_id"), "lines", priority.alias("priority"))
+
+
+_LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS i FROM lineitem)"
+
+
+@query(
+    f"""WITH l AS {_LINES} SELECT CAST(l_orderkey AS VARCHAR) AS key, 'lines[' || i || '].part' AS "column", 'cast' AS reason, 'p' || l_partkey AS value FROM l WHERE l_partkey % 50 = 0
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'lines[' || i || '].quantity', 'maximum', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) FROM l WHERE CAST(l_quantity AS INTEGER) > 45
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'lines[' || i || '].flags[0]', 'enum', l_returnflag FROM l WHERE l_returnflag NOT IN ('A', 'N', 'F', 'O')
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'lines[' || i || '].flags[1]', 'enum', l_linestatus FROM l WHERE l_linestatus NOT IN ('A', 'N', 'F', 'O')
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'lines', 'maxItems', CAST(count(*) AS VARCHAR) FROM l GROUP BY l_orderkey HAVING count(*) > 6
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'lines', 'required', NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'order_id', 'minimum', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey < 1
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'priority.rank', 'minimum', split_part(o_orderpriority, '-', 1) FROM orders WHERE CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) < 2
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'priority.name', 'maxLength', split_part(o_orderpriority, '-', 2) FROM orders WHERE length(split_part(o_orderpriority, '-', 2)) > 13
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'priority.name', 'pattern', split_part(o_orderpriority, '-', 2) FROM orders WHERE NOT regexp_matches(split_part(o_orderpriority, '-', 2), '^[A-Z]')"""
+)
+def nested_violations(spark, d):
+    return contracts.contract_violations(_nested(spark, d), NESTED, "order_id")
+
+
+@query("WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(l_quantity AS INTEGER)) AS q, sum(CASE WHEN l_partkey % 50 <> 0 THEN l_partkey END) AS p FROM lineitem GROUP BY 1) SELECT o_orderkey AS order_id, CAST(n AS INTEGER) AS lines, CAST(q AS BIGINT) AS quantity, CAST(p AS BIGINT) AS parts, CAST(split_part(o_orderpriority, '-', 1) AS BIGINT) AS rank FROM orders LEFT JOIN l ON k = o_orderkey")
+def nested_conform(spark, d):
+    rows, add = contracts.conform(_nested(spark, d), NESTED), lambda f: F.aggregate("lines", F.lit(None).cast("long"), lambda s, x: F.coalesce(s + x[f], s, x[f]))
+    return rows.select("order_id", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("lines"), add("quantity").alias("quantity"), add("part").alias("parts"), F.col("priority.rank").alias("rank"))
+
+
 # 2.4 quality
 
 
