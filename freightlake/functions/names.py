@@ -19,6 +19,6 @@ def private(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def exact(name: str) -> Column:
+def named(name: str) -> Column:
     """The column of that name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..session import saved
 from .ranking import global_prefix, ntile
 
@@ -23,10 +24,13 @@ def rfm_segments(orders: DataFrame, customer: str, ts: str, amount: str, tiles:
 
 
 def cohort_retention(orders: DataFrame, customer: str, ts: str) -> DataFrame:
-    """M2: active customers by the month of their first order (year * 12 + month) and months since."""
-    months = orders.select(customer, (F.year(ts) * 12 + F.month(ts)).alias("__m")).distinct()
-    first = months.groupBy(customer).agg(F.min("__m").alias("cohort"))
-    return months.join(first, customer).groupBy("cohort", (F.col("__m") - F.col("cohort")).alias("age")).agg(F.count(F.lit(1)).alias("customers"))
+    """M2: active customers by the month of their first order (year * 12 + month) and months since.
+
+    Null is a customer as any other; orders without a time count under a null age.
+    """
+    months = orders.select(named(customer).alias("who"), (F.year(ts) * 12 + F.month(ts)).alias("m")).distinct()
+    first = months.groupBy(F.col("who").alias("of")).agg(F.min("m").alias("cohort"))
+    return months.join(first, F.col("who").eqNullSafe(F.col("of"))).groupBy("cohort", (F.col("m") - F.col("cohort")).alias("age")).agg(F.count(F.lit(1)).alias("customers"))
 
 
 def abc_classes(lines: DataFrame, item: str, amount: str, a: float = 0.8, b: float = 0.95) -> DataFrame:

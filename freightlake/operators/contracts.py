@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from ..functions.names import exact, private
+from ..functions.names import named, private
 
 VIOLATION = "struct<column:string,reason:string,value:string>"
 
@@ -56,7 +56,7 @@ def _is_nested(spec: dict) -> bool:
 def _as_text(df: DataFrame, name: str) -> Column:
     """A column as a file would have it: arrays, objects and variants as JSON."""
     kind = df.schema[name].dataType
-    return F.to_json(exact(name)) if isinstance(kind, (ArrayType, StructType, MapType, VariantType)) else exact(name)
+    return F.to_json(named(name)) if isinstance(kind, (ArrayType, StructType, MapType, VariantType)) else named(name)
 
 
 def _parsed(text: Column, spec: dict) -> Column:
@@ -86,7 +86,7 @@ def conform(df: DataFrame, contract: Contract) -> DataFrame:
         if c not in df.columns:
             return F.lit(None).cast(kind)
         spec = contract.spec(c)
-        return _typed(_as_text(df, c), spec).cast(kind) if _is_nested(spec) else exact(c).try_cast(kind)
+        return _typed(_as_text(df, c), spec).cast(kind) if _is_nested(spec) else named(c).try_cast(kind)
 
     return df.select(*[one(c, kind).alias(c) for c, kind in contract.types.items()])
 
@@ -150,9 +150,9 @@ def _reasons(df: DataFrame, contract: Contract, shape: str | None = None) -> Col
             if c in contract.required:
                 found.append(F.array(_row(path, "required", F.lit(None))))
         else:
-            found.append(_violations(spec, kind, _as_text(df, c) if _is_nested(spec) else exact(c), path, c in contract.required))
+            found.append(_violations(spec, kind, _as_text(df, c) if _is_nested(spec) else named(c), path, c in contract.required))
     if shape is not None and shape in df.columns:
-        found.append(F.array(F.when(exact(shape).isNotNull(), _row(F.lit("record"), "shape", exact(shape)))))
+        found.append(F.array(F.when(named(shape).isNotNull(), _row(F.lit("record"), "shape", named(shape)))))
     return F.array_compact(F.concat(*found)) if found else F.array().cast(f"array<{VIOLATION}>")
 
 
@@ -163,7 +163,7 @@ def contract_violations(df: DataFrame, contract: Contract, key: str, shape: str
     ``maximum``, their exclusive forms, lengths and numbers of items), and ``shape`` for records that don't fit their header, where
     ``shape`` names the column that tells so. Violations inside arrays and objects name their path.
     """
-    each = df.select(exact(key).cast("string").alias("key"), F.inline(_reasons(df, contract, shape)))
+    each = df.select(named(key).cast("string").alias("key"), F.inline(_reasons(df, contract, shape)))
     extra = [c for c in df.columns if c not in contract.types and c != shape]
     if not extra:
         return each

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import named, private
+from ..session import saved
 from .history import join_months, month_of
+from .ranking import prefix_sums
 
 MONEY = "decimal(18,2)"
 
@@ -26,30 +29,56 @@ def entity_aggregates(df: DataFrame, entity: str, ts: str, amount: str) -> DataF
 def gap_features(df: DataFrame, entity: str, ts: str, key: str) -> DataFrame:
     """number of an order in its entity's sequence, and days since the one before.
 
-    Rows are numbered inside each month of an entity; what its earlier months hold is joined on.
+    Rows are numbered inside each month of an entity; what its earlier months hold is joined on. Columns named
+    sequence or days_since are replaced.
     """
-    rows = df.withColumn("__month", month_of(ts))
-    months = rows.groupBy(F.col(entity).alias("__entity"), "__month").agg(F.count(F.lit(1)).alias("__n"), F.max(ts).alias("__last"))
-    w = Window.partitionBy("__entity").orderBy("__month")
-    earlier = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    months = months.select("__entity", "__month", earlier.alias("__before"), F.lag("__last").over(w).alias("__last"))
-    inside = Window.partitionBy(entity, "__month").orderBy(ts, key)
-    rows = join_months(rows.withColumns({"__number": F.row_number().over(inside), "__previous": F.lag(ts).over(inside)}), months, entity)
-    since = F.datediff(F.to_date(ts), F.to_date(F.coalesce("__previous", "__last")))
-    return rows.withColumns({"sequence": (F.col("__before") + F.col("__number")).cast("int"), "days_since": since}).drop("__number", "__previous", "__before", "__last", "__month")
+    month, of, in_month, n, last, number, previous, before = private([*df.columns, "sequence", "days_since"], "month", "entity_of", "month_of", "n", "last", "number", "previous", "before")
+    rows = df.withColumn(month, month_of(ts))
+    months = rows.groupBy(named(entity).alias(of), F.col(month).alias(in_month)).agg(F.count(F.lit(1)).alias(n), F.max(ts).alias(last))
+    w = Window.partitionBy(of).orderBy(in_month)
+    earlier = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = months.select(of, in_month, earlier.alias(before), F.lag(last).over(w).alias(last))
+    inside = Window.partitionBy(named(entity), month).orderBy(ts, key)
+    rows = join_months(rows.withColumns({number: F.row_number().over(inside), previous: F.lag(ts).over(inside)}), months, entity, month, of, in_month)
+    since = F.datediff(F.to_date(ts), F.to_date(F.coalesce(previous, last)))
+    return rows.withColumns({"sequence": (F.col(before) + F.col(number)).cast("int"), "days_since": since}).drop(number, previous, before, last, month)
 
 
 def rolling_features(df: DataFrame, entity: str, ts: str, amount: str, days: int = 30) -> DataFrame:
     """rows and sum of the days up to each row's day, that day whole, of its entity.
 
-    Days are summed before the window, so it holds one row for each of an entity's days.
+    Days are summed before the window, so it holds one row for each of an entity's days. Columns named
+    rolling_count or rolling_sum are replaced.
     """
-    rows = df.withColumn("__day", F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")))
-    daily = rows.groupBy(F.col(entity).alias("__entity"), F.col("__day").alias("__on")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(amount).cast(MONEY)).alias("__sum"))
-    w = Window.partitionBy("__entity").orderBy("__on").rangeBetween(-days, 0)
-    daily = daily.select("__entity", "__on", F.sum("__n").over(w).alias("rolling_count"), F.sum("__sum").over(w).cast("double").alias("rolling_sum"))
-    same = F.col(entity).eqNullSafe(F.col("__entity")) & F.col("__day").eqNullSafe(F.col("__on"))
-    return rows.join(daily, same).drop("__day", "__entity", "__on")
+    day, of, on, n, total = private([*df.columns, "rolling_count", "rolling_sum"], "day", "entity_of", "on", "n", "total")
+    rows = df.drop("rolling_count", "rolling_sum").withColumn(day, F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")))
+    daily = rows.groupBy(named(entity).alias(of), F.col(day).alias(on)).agg(F.count(F.lit(1)).alias(n), F.sum(named(amount).cast(MONEY)).alias(total))
+    w = Window.partitionBy(of).orderBy(on).rangeBetween(-days, 0)
+    daily = daily.select(of, on, F.sum(n).over(w).alias("rolling_count"), F.sum(total).over(w).cast("double").alias("rolling_sum"))
+    return rows.join(daily, named(entity).eqNullSafe(F.col(of)) & F.col(day).eqNullSafe(F.col(on))).drop(day, of, on)
+
+
+def rolling_range(df: DataFrame, entity: str, ts: str, amount: str, seconds: float) -> DataFrame:
+    """F4 at full precision: rows and sum of amounts of the entity from ``seconds`` before each row's time up to it, both included.
+
+    Rows of one time are summed first. Then each time has two places in the order of all entities' times: its own, and
+    that where its range begins. The difference of the running sums there is the range's sum, so an entity with
+    most of the rows, or of the rows of one range, is spread over as many parts as it needs. Rows without a time
+    are a range of their own. Columns named rolling_count or rolling_sum are replaced.
+    """
+    of, on = private([*df.columns, "rolling_count", "rolling_sum"], "entity_of", "on")
+    rows = df.drop("rolling_count", "rolling_sum")
+    moment = lambda c: F.unix_micros(c.cast("timestamp"))
+    times = saved(rows.groupBy(named(entity).alias("e"), moment(named(ts)).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(named(amount).cast(MONEY)).alias("s"), F.count(named(amount)).alias("with_amount")))
+    ends = times.select("e", "t", F.col("t").alias("at"), F.lit(1).alias("kind"), "n", F.coalesce("s", F.lit(0)).alias("s"), "with_amount")
+    begins = times.where("t is not null").select("e", "t", (F.col("t") - round(seconds * 1e6)).alias("at"), F.lit(0).alias("kind"), *[F.lit(0).cast(times.schema[c].dataType).alias(c) for c in ("n", "s", "with_amount")])
+    order = [(F.col(c), Column.asc_nulls_first) for c in ("e", "at", "kind")]
+    placed = prefix_sums(ends.unionByName(begins), order, {"n": "n", "s": "s", "k": "with_amount"})
+    reach = lambda name, own: F.sum(F.when(F.col("kind") == 1, F.col(f"before_{name}") + F.col(own)).otherwise(-F.col(f"before_{name}")))
+    alone = lambda own: F.max(F.when(F.col("t").isNull(), F.col(own)))
+    told = placed.groupBy(F.col("e").alias(of), F.col("t").alias(on)).agg(*[F.coalesce(alone(own), reach(name, own)).alias(name) for name, own in (("n", "n"), ("s", "s"), ("k", "with_amount"))])
+    told = told.select(of, on, F.col("n").alias("rolling_count"), F.when(F.col("k") > 0, F.col("s")).cast("double").alias("rolling_sum"))
+    return rows.join(told, named(entity).eqNullSafe(F.col(of)) & moment(named(ts)).eqNullSafe(F.col(on))).drop(of, on)
 
 
 def category_counts(df: DataFrame, entity: str, category: str, values: list[str]) -> DataFrame:
@@ -59,6 +88,7 @@ def category_counts(df: DataFrame, entity: str, category: str, values: list[str]
 
 def scale_features(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """z-scores by group; 0 where a group's values do not differ."""
-    stats = df.groupBy(F.col(group).alias("__group")).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
-    z = F.when(F.coalesce("__sd", F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col(value) - F.col("__mean")) / F.col("__sd"))
-    return df.join(stats, F.col(group).eqNullSafe(F.col("__group"))).withColumn("z", F.round(z, digits)).drop("__group", "__mean", "__sd")
+    of, mean, sd = private([*df.columns, "z"], "group_of", "mean", "sd")
+    stats = df.groupBy(named(group).alias(of)).agg(F.avg(named(value)).alias(mean), F.stddev_samp(named(value)).alias(sd))
+    z = F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(0.0)).otherwise((named(value) - F.col(mean)) / F.col(sd))
+    return df.join(stats, named(group).eqNullSafe(F.col(of))).withColumn("z", F.round(z, digits)).drop(of, mean, sd)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
+
 
 def month_of(ts: str) -> Column:
     """First day of the month; null times make a month of their own, before all others."""
     return F.trunc(F.to_date(ts), "month")
 
 
-def join_months(rows: DataFrame, months: DataFrame, entity: str) -> DataFrame:
-    """``rows`` with the columns of ``months``, one row for each ``__entity`` and ``__month``; nulls match nulls."""
-    months = months.withColumnRenamed("__month", "__month_of")
-    same = F.col(entity).eqNullSafe(F.col("__entity")) & F.col("__month").eqNullSafe(F.col("__month_of"))
-    return rows.join(months, same).drop("__entity", "__month_of")
+def join_months(rows: DataFrame, months: DataFrame, entity: str, month: str, of: str, month_of_: str) -> DataFrame:
+    """``rows`` with the columns of ``months``, one row for each ``of`` and ``month_of_``; nulls match nulls, and the two go."""
+    return rows.join(months, named(entity).eqNullSafe(F.col(of)) & F.col(month).eqNullSafe(F.col(month_of_))).drop(of, month_of_)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import named, private
+
 
 def kpi_evaluate(df: DataFrame, ts: str, grain: str, dimensions: list[str], measures: dict[str, str]) -> DataFrame:
     """K1: (period, dimensions, measure, value) for SQL measures such as ``sum(x)``, in one aggregate."""
@@ -15,12 +17,13 @@ def kpi_evaluate(df: DataFrame, ts: str, grain: str, dimensions: list[str], meas
 def kpi_period_change(kpis: DataFrame, dimensions: list[str], months: int = 12) -> DataFrame:
     """K2: each value with that of so many months before, the change and the relative change (null if the prior is 0 or absent); null dimensions match each other."""
     index = lambda c: F.year(c) * 12 + F.month(c)
-    now = kpis.withColumn("__i", index("period"))
-    was = now.select(*[F.col(d).alias(f"__{d}") for d in dimensions], (F.col("__i") + months).alias("__then"), F.col("value").alias("prior"))
-    same = F.col("__i").eqNullSafe(F.col("__then"))
-    for d in dimensions:
-        same &= F.col(d).eqNullSafe(F.col(f"__{d}"))
-    out = now.join(was, same, "left").drop("__i", "__then", *[f"__{d}" for d in dimensions]).withColumn("change", F.col("value") - F.col("prior"))
+    i, then, *was = private([*kpis.columns, "prior", "change", "relative_change"], "month_index", "then", *[f"{d}_of" for d in dimensions])
+    now = kpis.drop("prior", "change", "relative_change").withColumn(i, index("period"))
+    before = now.select(*[named(d).alias(w) for d, w in zip(dimensions, was, strict=True)], (F.col(i) + months).alias(then), F.col("value").alias("prior"))
+    same = F.col(i).eqNullSafe(F.col(then))
+    for d, w in zip(dimensions, was, strict=True):
+        same &= named(d).eqNullSafe(F.col(w))
+    out = now.join(before, same, "left").drop(i, then, *was).withColumn("change", F.col("value") - F.col("prior"))
     return out.withColumn("relative_change", F.when(F.col("prior") != 0, F.col("change") / F.col("prior")))
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from .quantiles import exact_quantiles
 
 REPORT = "rule string, column string, checked long, failed long, pass_rate double, severity string, status string"
@@ -97,9 +98,10 @@ def iqr_bounds(df: DataFrame, value: str, group: str, digits: int = 4, exact: bo
 
 def iqr_outlier(df: DataFrame, value: str, group: str, severity: str = "warn", threshold: float = 0.9, exact: bool = True) -> DataFrame:
     """Q9: values outside a group's quartiles by over 1.5 times their distance fail."""
-    bounds = iqr_bounds(df, value, group, exact=exact)
-    joined = df.where(F.col(value).isNotNull()).join(bounds, group)
-    counts = joined.agg(F.count(F.lit(1)).alias("checked"), F.count_if((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).alias("failed"))
+    rows = df.where(named(value).isNotNull()).select(named(value).alias("v"), named(group).alias("g"))
+    bounds = iqr_bounds(rows, "v", "g", exact=exact).select(F.col("g").alias("of"), "low", "high")
+    joined = rows.join(bounds, F.col("g").eqNullSafe(F.col("of")))  # null is a group too
+    counts = joined.agg(F.count(F.lit(1)).alias("checked"), F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("failed"))
     return _one(counts, "iqr_outlier", value, severity, threshold)
 
 

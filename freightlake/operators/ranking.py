@@ -2,49 +2,61 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampType
 
-#: Rows between two bounds of the order, and bounds at most; parts into which the ties of a frequent value fall.
-ROWS_TOGETHER, MOST_BUCKETS, TIE_PARTS = 50_000, 256, 64
+from ..functions.names import named, private
+from ..session import saved
+
+#: Rows of a part of the order.
+ROWS_TOGETHER = 50_000
+
+
+def prefix_sums(df: DataFrame, order: list[tuple[Column, Callable[[Column], Column]]], sums: Mapping[str, str] | None = None, rows_together: int = ROWS_TOGETHER) -> DataFrame:
+    """df with ``row`` (from 1), ``total_rows`` and, for each (name, column) of sums, ``before_<name>`` and ``total_<name>``.
+
+    order: expressions with their directions, such as ``Column.desc_nulls_last``. A sample sort: the rows are cut into parts by ranges of the whole order, ties of any type included, and rows equal
+    in all of it by where they are stored. The number of parts grows with the rows, so none holds many, however
+    often a value comes. Rows are numbered as they lie in their part; sums run inside parts; the parts' totals, one
+    row for each, give where a part begins. A column of df is replaced if it has the name of a new one.
+    """
+    sums = dict(sums or {})
+    new = {"row", "total_rows", *[f"{kind}_{name}".lower() for name in sums for kind in ("before", "total")]}
+    mid, part, place, first, start, own, tie = private([*df.columns, *new], "mid", "part", "part_of", "first_mid", "rows_before", "weight", "spread")
+    kept = [c for c in df.columns if c.lower() not in new]
+    rows = saved(df.select(*map(named, kept), *[named(c).alias(f"{own}_{i}") for i, c in enumerate(sums.values())], *[c.alias(f"{tie}_{i}") for i, (c, _) in enumerate(order)]))
+    spread = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    parts = max(1, math.ceil(rows.count() / rows_together))
+    keys = [*[direction(F.col(f"{tie}_{i}")) for i, (_, direction) in enumerate(order)], F.col(tie)]
+    rows = rows.withColumn(tie, spread).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(tie, *[f"{tie}_{i}" for i in range(len(order))])
+    rows = saved(rows.withColumn(mid, F.monotonically_increasing_id())).withColumn(part, F.shiftrightunsigned(mid, 33))
+    ends = rows.groupBy(F.col(part).alias(place)).agg(F.count(F.lit(1)).alias("n"), F.min(mid).alias(first), *[F.sum(f"{own}_{i}").alias(f"{place}_{i}") for i in range(len(sums))])
+    earlier, every = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    begins = ends.select(place, first, zero("n", earlier).alias(start), F.sum("n").over(every).alias("total_rows"), *[f(f"{place}_{i}").alias(name) for i in range(len(sums)) for f, name in ((lambda c: zero(c, earlier), f"{start}_{i}"), (lambda c: F.sum(c).over(every), f"{first}_{i}"))])
+    inside = Window.partitionBy(part).orderBy(mid).rowsBetween(Window.unboundedPreceding, -1)
+    for i in range(len(sums)):
+        rows = rows.withColumn(f"{mid}_{i}", zero(F.col(f"{own}_{i}"), inside))
+    out = rows.join(begins, F.col(part) == F.col(place))
+    return out.select(
+        *map(named, kept), (F.col(start) + F.col(mid) - F.col(first) + 1).alias("row"), "total_rows",
+        *[x for i, name in enumerate(sums) for x in ((F.col(f"{start}_{i}") + F.col(f"{mid}_{i}")).alias(f"before_{name}"), F.col(f"{first}_{i}").alias(f"total_{name}"))],
+    )
 
 
 def global_prefix(df: DataFrame, value: str, tie: str, weight: str | None = None, descending: bool = False, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """df with ``row`` (from 1), ``total_rows`` and, for a weight, ``before`` and ``total`` (its sums), in order of value, then tie.
 
-    Quantiles of the value cut the order into buckets. A value that fills more than one, and null, has buckets of its
-    own, cut by quantiles of the tie (a number or a time). A window runs inside each bucket, and the buckets' totals,
-    few rows, give where it begins. Null values come last. A column of df is replaced if it has the name of a new one.
+    Null values come last. A column of df is replaced if it has the name of a new one.
     """
-    can_cut = isinstance(df.schema[tie].dataType, (NumericType, DateType, TimestampType))
-    cuts = lambda c, k: F.percentile_approx(c, [i / k for i in range(1, k)], 10_000)
-    told = df.agg(F.count(F.lit(1)).alias("n"), cuts(value, MOST_BUCKETS).alias("q"), (cuts(tie, TIE_PARTS) if can_cut else F.lit(None)).alias("t")).first()
-    k = min(MOST_BUCKETS, max(1, told["n"] // rows_together))
-    quantiles = [told["q"][round(i * MOST_BUCKETS / k) - 1] for i in range(1, k)] if told["q"] else []
-    often = sorted({a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b})
-    passed = lambda bounds, is_passed: F.size(F.filter(F.array(*map(F.lit, bounds)), is_passed)) if bounds else F.lit(0)
-    bounds, v = sorted(set(quantiles)), F.col(value)
-    place = passed(bounds, lambda b: b < v) + passed(often, lambda b: b < v) + passed(often, lambda b: b <= v)
-    last = len(bounds) + 2 * len(often)
-    bucket = F.when(v.isNull(), F.lit(last + 1)).otherwise(F.lit(last) - place if descending else place)
-    part = F.when(v.isNull() | (v.isin(often) if often else F.lit(False)), passed(sorted(set(told["t"] or [])), lambda b: b < F.col(tie))).otherwise(F.lit(0))
-    rows = df.withColumn("__bucket", bucket * TIE_PARTS + part)
-    w = F.lit(0) if weight is None else F.col(weight)
-    totals = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__rows"), F.sum(w).alias("__sum"))
-    every = Window.orderBy("__bucket")
-    earlier = every.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    begins = totals.select(
-        "__bucket", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__first"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"),
-        F.sum("__rows").over(whole).alias("total_rows"), F.sum("__sum").over(whole).alias("total"),
-    )
-    order = [F.desc_nulls_last(value) if descending else F.asc_nulls_last(value), F.asc(tie)]
-    inside = Window.partitionBy("__bucket").orderBy(*order)
-    rows = rows.withColumns({"__n": F.row_number().over(inside), "__before": F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    out = rows.join(F.broadcast(begins), "__bucket")  # as many rows as there are buckets: (3 * MOST_BUCKETS + 2) * TIE_PARTS at most
-    out = out.withColumns({"row": F.col("__first") + F.col("__n"), "before": F.col("__start") + F.col("__before")})
-    return out.drop("__bucket", "__n", "__before", "__first", "__start", *([] if weight else ["before", "total"]))
+    order = [(named(value), Column.desc_nulls_last if descending else Column.asc_nulls_last), (named(tie), Column.asc_nulls_first)]
+    out = prefix_sums(df, order, {} if weight is None else {"weight": weight}, rows_together)
+    if weight is None:
+        return out
+    return out.drop(*[c for c in out.columns if c.lower() in ("before", "total")]).withColumnsRenamed({"before_weight": "before", "total_weight": "total"})
 
 
 def ntile(row: Column, total: Column, tiles: int) -> Column:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import named, private
+
 
 def map_codes(df: DataFrame, column: str, lookup: DataFrame, code: str, name: str, out: str, unknown: str = "UNKNOWN") -> DataFrame:
     """T4: code values by name through a lookup table; codes that it lacks stay visible as ``unknown``.
 
     Of several names for a code the least counts.
     """
-    names = lookup.groupBy(F.col(code).alias("__code")).agg(F.min(name).alias("__name"))
-    joined = df.join(names, F.col(column) == F.col("__code"), "left")
-    return joined.withColumn(out, F.coalesce("__name", F.lit(unknown))).drop("__code", "__name")
+    known, label = private([*df.columns, out], "code_of", "name_of")
+    names = lookup.groupBy(named(code).alias(known)).agg(F.min(named(name)).alias(label))
+    joined = df.join(names, named(column) == F.col(known), "left")
+    return joined.withColumn(out, F.coalesce(label, F.lit(unknown))).drop(known, label)
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,5 +24,5 @@ def deduplicate(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
     The limit of one row runs before the shuffle too, so a frequent key sends one row from each task.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
+    (rank,) = private(df.columns, "rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)

@@ -332,6 +332,23 @@ def profile_numeric(spark, d):
     return profile.profile_numeric(t(spark, d, "orders"), ["o_totalprice"])
 
 
+_RUNS_PROFILE = lambda c: f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS largest, round(CAST(sum(CAST({c} AS DECIMAL(28,6))) AS DOUBLE) / count({c}), 6) AS mean, round(stddev_samp({c}), 4) AS sd, true AS distinct_near, true AS q1_near, true AS median_near, true AS q3_near FROM orders"
+
+
+@query(" UNION ALL ".join(map(_RUNS_PROFILE, ("o_totalprice", "o_custkey"))))
+def profile_runs(spark, d):
+    """Sketches of two runs, stored and merged; what they estimate is held against the rows: 1 % of ranks, 4 % of distinct values."""
+    orders, path, columns = t(spark, d, "orders"), f"{scratch_dir(spark)}/profiles", ["o_totalprice", "o_custkey"]
+    for run, rows in (("f", orders.where("o_orderstatus = 'F'")), ("rest", orders.where("o_orderstatus <> 'F'"))):
+        runs.write_run(profile.profile_sketch(rows, columns), path, run)
+    told = profile.profile_of_sketches(profile.merge_sketches(runs.read_runs(spark, path))).where("column is not null")
+    ends = {r["column"]: r for r in told.collect()}  # a row for each column
+    near = lambda c, q, p: (F.count_if(F.col(c) < ends[c][q]) / F.count(c) <= p + 0.01) & (F.count_if(F.col(c) <= ends[c][q]) / F.count(c) >= p - 0.01)
+    checks = [F.struct(F.lit(c).alias("of"), (F.abs(F.count_distinct(c) - ends[c]["distinct"]) <= 0.04 * F.count_distinct(c)).alias("distinct_near"), near(c, "q1", 0.25).alias("q1_near"), near(c, "median", 0.5).alias("median_near"), near(c, "q3", 0.75).alias("q3_near")) for c in columns]
+    held = orders.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+    return told.join(held, F.col("column") == F.col("of")).select("column", "rows", "nulls", "least", "largest", "mean", F.round("sd", 4).alias("sd"), "distinct_near", "q1_near", "median_near", "q3_near")
+
+
 @query(
     "WITH v AS (SELECT 'p_brand' AS c, p_brand AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part), n AS (SELECT c, v, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k, sum(n) OVER (PARTITION BY c) AS s FROM n) SELECT c AS \"column\", CAST(k AS INTEGER) AS rank, v AS value, n, n / s AS share FROM r WHERE k <= 5"
 )
@@ -418,6 +435,14 @@ def rolling_features(spark, d):
     return features.rolling_features(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").select("o_orderkey", "rolling_count", "rolling_sum")
 
 
+@query(
+    "SELECT event_id, count(*) OVER w AS rolling_count, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS rolling_sum FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 5400 SECONDS PRECEDING AND CURRENT ROW)"
+)
+def rolling_range(spark, d):
+    """The last 90 minutes of each kind of event, few kinds that hold many rows each."""
+    return features.rolling_range(t(spark, d, "events").select("event_id", "event_type", "ts", "value"), "event_type", "ts", "value", 5400).select("event_id", "rolling_count", "rolling_sum")
+
+
 @query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"n_F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"n_O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"n_P\" FROM orders GROUP BY 1")
 def category_counts(spark, d):
     return features.category_counts(t(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])

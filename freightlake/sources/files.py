@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.names import exact, private
+from ..functions.names import named, private
 from .runs import RUN, read_run, write_run  # noqa: F401
 
 SOURCE_FILE = "source_file"
@@ -44,15 +44,15 @@ def csv_scan(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", mu
         schema = StructType([StructField(c, StringType()) for c in [*head, raw]])  # raw: only of records that don't fit
         rows = spark.read.schema(schema).options(**options, columnNameOfCorruptRecord=raw).csv(group)
         # Spark reads raw records only together with another column: none of the first one's text goes behind them
-        record = F.concat(F.col(raw), F.substring(F.coalesce(exact(head[0]), F.lit("")), F.lit(1), F.lit(0)))
+        record = F.concat(F.col(raw), F.substring(F.coalesce(named(head[0]), F.lit("")), F.lit(1), F.lit(0)))
         fields, n = record_fields(record, sep), len(head)
         fit = F.when(F.size(fields) < n, "short").when(F.size(fields) > n, "long").otherwise("unclear")
         rest = F.when(F.size(fields) > n, F.slice(fields, n + 1, F.greatest(F.size(fields) - n, F.lit(0))))
-        parts.append(rows.select(*map(exact, head), F.when(record.isNotNull(), fit).alias(shape), F.when(record.isNotNull(), rest).alias(overflow), F.col("_metadata.file_path").alias(place)))
+        parts.append(rows.select(*map(named, head), F.when(record.isNotNull(), fit).alias(shape), F.when(record.isNotNull(), rest).alias(overflow), F.col("_metadata.file_path").alias(place)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(*[exact(c) for c in out.columns if c not in (shape, overflow, place)], shape, overflow, place)
+    return out.select(*[named(c) for c in out.columns if c not in (shape, overflow, place)], shape, overflow, place)
 
 
 def record_fields(record: Column, sep: str = ",") -> Column:

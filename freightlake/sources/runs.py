@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegralType, LongType, NumericType, StringType, StructType
 
-from ..functions.names import exact
+from ..functions.names import named
 
 RUN = "run_id"
 LOG = "run_id string, version long, commit_id string, schema string, rows long, files long, bytes long"
@@ -111,11 +111,11 @@ def read_runs(spark: SparkSession, path: str, run_ids: list[str] | None = None)
         for f in part.schema.fields:
             kinds.setdefault(f.name, []).append(f.dataType)
     one = {name: _common(found) for name, found in kinds.items()}
-    parts = [p.select(*[exact(f.name).cast(one[f.name]).alias(f.name) for f in p.schema.fields]) for p in parts]
+    parts = [p.select(*[named(f.name).cast(one[f.name]).alias(f.name) for f in p.schema.fields]) for p in parts]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(*[exact(c) for c in out.columns if c != RUN], RUN)
+    return out.select(*[named(c) for c in out.columns if c != RUN], RUN)
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
