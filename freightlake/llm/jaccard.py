@@ -40,6 +40,8 @@ GROUP_PART, CELL_PART = 8192, 512
 #: Bytes of text that are signed together.
 SIGN_BYTES = 2 << 20
 PROBES, INDEXED = 1, 2
+#: Sets at most that share a number with an unlike one.
+MOST_MOVED, _MASK = 100_000, (1 << 64) - 1
 _SALT = np.uint64(0xA0761D6478BD642F)
 _DELETED = np.uint64(0xE7037ED1A0B428DB)
 _PARITY = np.uint64(0x8EBC6AF09C88C6E3)
@@ -67,9 +69,17 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def node_ids(shingles: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit number for each set, equal for equal sets."""
-    return mix(_sums(mix(shingles ^ (_SALT + np.uint64(salt))), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+def node_ids(shingles: np.ndarray, bounds: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A number of 64 bits (or fewer) for each set, equal for equal sets."""
+    return (mix(_sums(mix(shingles ^ _SALT), bounds) + np.diff(bounds).astype(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def renumbered(nodes: np.ndarray, others: np.ndarray, moved: dict[tuple[int, int], int]) -> np.ndarray:
+    """The sets' numbers, where unlike sets of one number are told apart by their second numbers."""
+    out = nodes.copy()
+    for at in np.flatnonzero(np.isin(nodes, [node for node, _ in moved])):
+        out[at] = moved.get((int(nodes[at]), int(others[at])), nodes[at])
+    return out
 
 
 def parity_width(n: np.ndarray) -> np.ndarray:
@@ -202,21 +212,21 @@ class Signatures:
         return out
 
 
-def _sketch(salt: int):
+def _sketch(bits: int):
     """A row for each text: its set's size, number, a second number of other hashes, and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches):
             shingles, bounds, second = shingle_sets(Words(data, offsets, lower=True), second=True)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "rid"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_ids(shingles, bounds, salt)), pa.array(node_ids(second, bounds, salt)), bytes_array(*parities(shingles, bounds))],
+                [column(batch, "doc_id"), column(batch, "rid"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_ids(shingles, bounds, bits)), pa.array(node_ids(second, bounds)), bytes_array(*parities(shingles, bounds))],
                 names=["doc_id", "rid", "n", "node", "other", "bits"],
             )
 
     return run
 
 
-def _sign(percent: int, buckets: int, salt: int):
+def _sign(percent: int, buckets: int, moved: dict[tuple[int, int], int], bits: int):
     """Signatures, packed by bucket: (bucket, sigs, times, nodes), each node once with how many signatures follow for it.
 
     The lowest two bits of a signature are its role.
@@ -226,7 +236,10 @@ def _sign(percent: int, buckets: int, salt: int):
         signatures = Signatures(percent)
         for _, data, offsets in steps(batches, step_bytes=SIGN_BYTES):
             shingles, bounds = shingle_sets(Words(data, offsets, lower=True))
-            nodes = node_ids(shingles, bounds, salt)
+            nodes = node_ids(shingles, bounds, bits)
+            if moved and np.isin(nodes, [node for node, _ in moved]).any():
+                _, _, second = shingle_sets(Words(data, offsets, lower=True), second=True)
+                nodes = renumbered(nodes, node_ids(second, bounds), moved)
             _, once = np.unique(nodes, return_index=True)  # equal sets sign once
             size = np.diff(bounds)[once]
             inner = ragged(bounds[:-1][once], size)
@@ -431,21 +444,54 @@ def verified(cells: DataFrame, sets: DataFrame, texts: DataFrame, percent: int)
     return dealt.select("cell", "i", "j", "node", "text").mapInArrow(_links(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def spark_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _moved(sketches: DataFrame, nodes: DataFrame) -> dict[tuple[int, int], int]:
+    """A number of its own for each set but one of those that share a number, which is no other set's.
+
+    Of n sets about n squared / 2**65 share one: 11 of 2 * 10**10, and MOST_MOVED only beyond 10**12.
+    """
+    pairs = sketches.join(nodes, "node").select("node", "other").distinct().limit(MOST_MOVED + 1).collect()
+    if len(pairs) > MOST_MOVED:
+        raise ValueError(f"over {MOST_MOVED} sets share their 64-bit numbers with others")
+    least: dict[int, int] = {}
+    for r in pairs:
+        least[r["node"]] = min(least.get(r["node"], r["other"]), r["other"])
+    todo = {(r["node"], r["other"]) for r in pairs if r["other"] != least[r["node"]]}
+    out, turn = {}, 0
+    while todo:
+        turn += 1
+        numbers = np.array([[(node + turn) & _MASK, other & _MASK] for node, other in todo], dtype=np.uint64)
+        tried = dict(zip(todo, mix(mix(numbers[:, 0]) ^ numbers[:, 1]).view(np.int64).tolist(), strict=True))
+        there = {r[0] for r in spark_rows(sketches, [(x,) for x in tried.values()], "node long").join(sketches.select("node"), "node", "left_semi").collect()}
+        seen = {*there, *out.values()}
+        for pair, number in tried.items():
+            if number not in seen:
+                seen.add(number)
+                out[pair] = number
+        todo -= out.keys()
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(members, links): every row's doc_id, rid, n_shingles and node (its set's number), and linked nodes (u, v).
 
-    Links join nodes to components and leave out pairs that others imply. rid is the row's own hash.
+    Links join nodes to components and leave out pairs that others imply. rid is the row's own hash. Sets are numbered
+    by ``bits`` of a hash; unlike sets of one number, told apart by 64 more, get numbers of their own.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    salt, unlike = -1, 1
-    while unlike:  # unlike sets of one number: with other numbers, anew
-        salt += 1
-        sketches = cut(texts.mapInArrow(_sketch(salt), "doc_id long, rid long, n long, node long, other long, bits binary"), "sketches")
-        of_nodes = sketches.groupBy("node").agg(F.min("other").alias("o"), F.max("other").alias("p"), F.sum(F.lit(1)).alias("c"))
-        told = of_nodes.agg(F.sum((F.col("o") != F.col("p")).cast("long")).alias("unlike"), F.sum("c").alias("rows")).first()
-        unlike = told["unlike"]
+    sketches = cut(texts.mapInArrow(_sketch(bits), "doc_id long, rid long, n long, node long, other long, bits binary"), "sketches")
+    of_nodes = sketches.groupBy("node").agg(F.min("other").alias("o"), F.max("other").alias("p"), F.sum(F.lit(1)).alias("c"))
+    told = of_nodes.agg(F.sum((F.col("o") != F.col("p")).cast("long")).alias("unlike"), F.sum("c").alias("rows")).first()
+    moved = _moved(sketches, of_nodes.where("o <> p").select("node")) if told["unlike"] else {}
+    if moved:
+        new = spark_rows(sketches, [(node, other, to) for (node, other), to in moved.items()], "of long, second long, to long")
+        same = (F.col("node") == F.col("of")) & (F.col("other") == F.col("second"))
+        sketches = sketches.join(F.broadcast(new), same, "left").withColumn("node", F.coalesce("to", "node")).drop("of", "second", "to")  # MOST_MOVED rows at most
     buckets = max(LEAST_BUCKETS, (told["rows"] or 0) // ROWS_TOGETHER)
-    signed = texts.select("text").mapInArrow(_sign(percent, buckets, salt), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
+    signed = texts.select("text").mapInArrow(_sign(percent, buckets, moved, bits), "bucket int, sigs array<int>, times array<int>, nodes array<long>")
     met = cut(signed.groupBy("bucket").applyInArrow(_meet, "gid long, size long, node long, role int"), "met", release=True)
     own = sketches.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("rid").alias("rid"), F.min_by("bits", "rid").alias("bits"))
     sets = cut(own.join(met.select("node").distinct(), "node", "left_semi"), "sets", release=True)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Words, collect_garbage, column, cut, give_back, list_array, mix, shared_dir, steps, table
 from .toxicity import fold
 
-#: Documents to a bucket, and the fewest buckets. Bytes of text that are counted together.
-ROWS_TOGETHER, LEAST_BUCKETS, COUNT_BYTES = 4000, 64, 4 << 20
+#: Bytes of text to a bucket, and the fewest buckets. Bytes of text that are counted together.
+BYTES_TOGETHER, LEAST_BUCKETS, COUNT_BYTES = 13 << 20, 64, 4 << 20
 #: Words to a gram in the registered query.
 ORDER = 3
 #: Files that a worker keeps mapped, or in memory if they are in a remote folder.
@@ -61,37 +61,30 @@ def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def map_array(folder: str, name: str, kind: str) -> np.ndarray:
-    """An array file, mapped into memory; one of a remote folder is read."""
+    """An array file, mapped into memory; one of a remote folder is read. A file that is missing is an error, not an empty bucket."""
     return (_mapped if folder.startswith(("file:", "/")) else _held)(folder, name).view(kind)
 
 
 @lru_cache(maxsize=MAPPED)
 def _mapped(folder: str, name: str) -> np.ndarray:
     path = f"{_place(folder)[1]}/{name}"
-    try:
-        return np.memmap(path, dtype=np.uint8, mode="r")
-    except (FileNotFoundError, ValueError):  # no such bucket, or nothing in it
-        return np.zeros(0, np.uint8)
+    return np.memmap(path, dtype=np.uint8, mode="r")
 
 
 @lru_cache(maxsize=HELD)
 def _held(folder: str, name: str) -> np.ndarray:
     system, path = _place(folder)
-    if not system.get_file_info(f"{path}/{name}").size:
-        return np.zeros(0, np.uint8)
     with system.open_input_stream(f"{path}/{name}") as source:
         return np.frombuffer(source.readall(), np.uint8)
 
 
 def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of one file; none if there is no such file."""
+    """The arrays of one file, which must be there."""
     return (_heads if folder.startswith(("file:", "/")) else _arrays)(folder, name)
 
 
 def _arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     data = map_array(folder, name, "u1")
-    if not len(data):
-        return {}
     n = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + n].tobytes())
     return {key: data[8 + n + at : 8 + n + at + count * int(np.prod(shape, dtype=int)) * np.dtype(kind).itemsize].view(kind).reshape(count, *shape) for key, (at, count, kind, shape) in head.items()}
@@ -175,15 +168,15 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each of some sorted hashes; id -1 and count 0 where it is unknown."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        for b, (i, j) in enumerate(zip(cuts, np.append(cuts[1:], len(hashes)), strict=True)):
-            if i < j:
-                arrays = map_arrays(self.folder, f"words-{b}")
-                known = arrays.get("hash", np.zeros(0, np.uint64))
-                at = np.searchsorted(known, hashes[i:j])
-                hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == hashes[i:j]) if len(known) else np.zeros(0, np.int64)
-                ids[i + hit] = at[hit] + self.begins[b]
-                counts[i + hit] = arrays["count"][at[hit]] if len(hit) else 0
+        for b, (i, j) in _runs((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
+            if self.begins[b] == self.begins[b + 1]:  # no file was written
+                continue
+            arrays = map_arrays(self.folder, f"words-{b}")
+            known = arrays["hash"]
+            at = np.searchsorted(known, hashes[i:j])
+            hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == hashes[i:j])
+            ids[i + hit] = at[hit] + self.begins[b]
+            counts[i + hit] = arrays["count"][at[hit]]
         return ids, counts
 
     def encode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +234,11 @@ class GramModel:
     word_discounts: np.ndarray
     pairs: int
     rest: float  # weight of the uniform distribution
+    written: dict[str, np.ndarray]  # which buckets have a file: a byte for each
+
+    def arrays(self, kind: str, b: int) -> dict[str, np.ndarray]:
+        """The arrays of a bucket: none if nothing fell into it."""
+        return map_arrays(self.folder, f"{kind}-{b}") if self.written[kind][b] else {}
 
     def _contexts(self, k: int, keys: np.ndarray, v: np.ndarray, count: np.ndarray, there: np.ndarray) -> np.ndarray:
         """Statistics of distinct contexts of k - 1 words, v their last, that are there: total, and next words seen 1, 2, 3 or more times."""
@@ -249,12 +247,12 @@ class GramModel:
         hot = count > self.hot_above
         for b, rows in _groups(np.where(there & hot, _spread(keys, self.buckets), -1)):
             if b >= 0:
-                arrays = map_arrays(self.folder, f"hot-{k}-{b}")
+                arrays = self.arrays(f"hot-{k}", b)
                 hit, at = find(arrays, "key", keys[rows])
                 out[rows[hit]] = arrays["stats"][at] if len(hit) else 0
         for b, rows in _groups(np.where(there & ~hot, bucket_of(v, v, np.zeros_like(count), self.buckets, self.hot_above), -1)):
             if b >= 0:
-                arrays = map_arrays(self.folder, f"grams-{b}")
+                arrays = self.arrays("grams", b)
                 for name in (f"few{k}", f"some{k}"):
                     hit, at = find(arrays, name, keys[rows])
                     out[rows[hit]] = arrays[f"{name}-stats"][at] if len(hit) else 0
@@ -265,7 +263,7 @@ class GramModel:
         out = np.zeros(len(keys), np.int64)
         for b, rows in _groups(bucket):
             if b >= 0:
-                arrays = map_arrays(self.folder, f"grams-{b}")
+                arrays = self.arrays("grams", b)
                 out[rows[find(arrays, f"once{k}", keys[rows])[0]]] = 1
                 for name in (f"more{k}", f"many{k}"):
                     hit, at = find(arrays, name, keys[rows])
@@ -276,7 +274,7 @@ class GramModel:
         """Probability of distinct words by how many first words they follow."""
         follows = np.zeros(len(w), np.int64)
         for b, rows in _groups(np.where(w < 0, -1, w // self.range_size)):
-            if b >= 0:
+            if b >= 0 and self.written["second"][b]:
                 follows[rows] = map_array(self.folder, f"second-{b}", "i8")[w[rows] - b * self.range_size]
         return (follows - self.word_discounts[np.minimum(follows, 3)]) / max(self.pairs, 1) + self.rest / (self.vocabulary.size + 1)
 
@@ -323,6 +321,13 @@ def bucket_of(v: np.ndarray, w: np.ndarray, count: np.ndarray, buckets: int, hot
     return (np.where(count > hot_above, mix(h + w.astype(np.uint64)), h) % np.uint64(buckets)).astype(np.int64)
 
 
+def _runs(files: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
+    """(file, (begin, end)) of each run of equal numbers; files that none asks for cost nothing."""
+    ends = [*np.flatnonzero(files[1:] != files[:-1]) + 1, len(files)] if len(files) else []
+    for begin, end in zip([0, *ends], ends):  # noqa: B905
+        yield int(files[begin]), (begin, end)
+
+
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     values, first = np.unique(bucket[order], return_index=True)
@@ -354,7 +359,7 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
+def fit(texts: DataFrame, order: int = 2) -> GramModel:
     """Count texts and write the model's arrays to the shared folder."""
     if order < 2:
         raise ValueError("order must be 2 at least")
@@ -362,7 +367,7 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
     folder = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
-    buckets = max(LEAST_BUCKETS, n_docs // ROWS_TOGETHER)
+    buckets = max(LEAST_BUCKETS, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_TOGETHER)
     vocabulary = count_words(texts, folder, buckets)
     collect_garbage(spark)
     hot_above = max(1000, vocabulary.total // buckets)
@@ -417,6 +422,7 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
         give_back()
         seconds, follows = np.unique(grams[-1], return_counts=True)  # of pairs
         out += [(1, r, seconds[part], follows[part]) for r, part in _groups(seconds // range_size)]
+        out.append((-1, b, np.zeros(0, np.int64), np.zeros(0, np.int64)))
         kind, key, a, b = zip(*out, strict=True)
         return pa.table({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.list_(pa.int64()))})
 
@@ -436,9 +442,13 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
             stats = np.zeros((len(keys), 4), np.int64)
             np.add.at(stats, at, b.reshape(-1, 4))
             save_arrays(folder, f"hot-{kind}-{r}", keys_of("key", keys) | {"stats": stats.astype(vocabulary.kind)})
-        return pa.table({"key": [r], "n": pa.array([n], pa.list_(pa.int64()))})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "key": [r], "n": pa.array([n], pa.list_(pa.int64()))})
 
-    ranges = found.where("kind > 0").groupBy("kind", "key").applyInArrow(add_up, "key long, n array<long>")
+    ranges = cut(found.where("kind > 0").groupBy("kind", "key").applyInArrow(add_up, "kind int, key long, n array<long>"), "gram-ranges")
+    n_ranges = -(-vocabulary.size // range_size)
+    written = {"grams": np.zeros(buckets, bool), "second": np.zeros(n_ranges, bool)} | {f"hot-{k}": np.zeros(buckets, bool) for k in range(2, order + 1)}
+    for r in found.where("kind = -1").select("kind", "key").unionByName(ranges.select("kind", "key")).distinct().toLocalIterator():
+        written[{-1: "grams", 1: "second"}.get(r["kind"], f"hot-{r['kind']}")][r["key"]] = True
     n = np.array([x or 0 for x in ranges.agg(*[F.sum(F.element_at("n", k + 1)).alias(f"n{k}") for k in range(6)]).first()])
     word_d = discounts(n[:4])
     pairs = int(n[5])
@@ -446,16 +456,15 @@ def fit(texts: DataFrame, n_docs: int, order: int = 2) -> GramModel:
     of_counts = found.where("kind = 0").groupBy("key").agg(*[F.sum(F.element_at("a", k)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()  # a row for each order
     of_counts = {r["key"]: np.array(r[1:]) for r in of_counts}
     gram_d = {k: discounts(of_counts.get(k, np.zeros(4, np.int64))) for k in range(2, order + 1)}
-    return GramModel(vocabulary, folder, order, buckets, hot_above, range_size, gram_d, word_d, pairs, rest)
+    return GramModel(vocabulary, folder, order, buckets, hot_above, range_size, gram_d, word_d, pairs, rest, written)
 
 
 def vocabulary_counts(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Training counts of sorted ids; that of the begin of a text is as frequent as can be."""
     out = np.full(len(ids), vocabulary.total, np.int64)
-    cuts = np.searchsorted(ids, vocabulary.begins)
-    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if i < j:
-            out[i:j] = map_arrays(vocabulary.folder, f"words-{b}")["count"][ids[i:j] - vocabulary.begins[b]]
+    ids_known = ids[ids < vocabulary.size]
+    for b, (i, j) in _runs(np.searchsorted(vocabulary.begins, ids_known, "right") - 1):
+        out[i:j] = map_arrays(vocabulary.folder, f"words-{b}")["count"][ids_known[i:j] - vocabulary.begins[b]]
     return out
 
 
@@ -485,5 +494,5 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataF
     An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "text")
-    model = fit(docs.where(~F.col("held_out")).select("text"), docs.count(), order)
+    model = fit(docs.where(~F.col("held_out")).select("text"), order)
     return score_texts(docs, model)

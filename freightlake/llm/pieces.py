@@ -306,6 +306,8 @@ class Dictionary:
         for i, j in zip(begins, np.append(begins[1:], len(hashes)), strict=True):
             known, end, ids = (map_array(self.folder, f"{name}-{files[i]}", kind) for name, kind in (("word", "u8"), ("end", "i8"), ("ids", "i4")))
             at = np.searchsorted(known, hashes[i:j])
+            if len(at) and (not len(known) or at[-1] >= len(known) or (known[at] != hashes[i:j]).any()):
+                raise LookupError(f"{self.folder}: file {files[i]} lacks words that were encoded")
             begin = np.where(at > 0, end[at - 1], 0)
             counts[i:j] = end[at] - begin
             flat.append(ids[ragged(begin, counts[i:j])])
