@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..functions.names import named
 from .quantiles import exact_quantiles
@@ -105,6 +106,102 @@ def iqr_outlier(df: DataFrame, value: str, group: str, severity: str = "warn", t
     return _one(counts, "iqr_outlier", value, severity, threshold)
 
 
+@dataclass(frozen=True)
+class OfTable:
+    """A row rule of a named table."""
+
+    table: str
+    rule: Rule
+
+
+@dataclass(frozen=True)
+class Unique:
+    """Q3 as part of a compiled report."""
+
+    table: str
+    keys: tuple[str, ...]
+    severity: str = "error"
+    threshold: float = 1.0
+    name: str = "unique"
+
+
+@dataclass(frozen=True)
+class Known:
+    """Q8, and Q4 for values that a table lists (``name="accepted_values"``): values of a column that the other table lacks fail."""
+
+    table: str
+    column: str
+    parent: str
+    parent_column: str
+    severity: str = "error"
+    threshold: float = 1.0
+    name: str = "foreign_key"
+
+
+@dataclass(frozen=True)
+class Ordered:
+    """Q7 across tables: a row whose ``later`` is before the ``earlier`` of the parent of its key fails; of several parents the latest counts."""
+
+    table: str
+    later: str
+    key: str
+    parent: str
+    earlier: str
+    parent_key: str
+    severity: str = "error"
+    threshold: float = 1.0
+    name: str = "ordering"
+
+
+def compiled_report(tables: dict[str, DataFrame], rules: list[OfTable | Unique | Known | Ordered]) -> DataFrame:
+    """Q10: a report row for each rule, in one scan of each table and for all rules together.
+
+    A scan tags every row with the rules that it takes part in and its key there. Equal tags are counted before the
+    shuffle, so row rules send a row from each task, and a frequent key too. Where the tags of a key meet, each rule
+    counts what fails. Keys are compared as JSON, times to the microsecond and numbers as doubles.
+    """
+    own: dict[str, list[Column]] = {name: [] for name in tables}
+    none = F.lit(None)
+
+    def tag(k: int, side: int, key: Column, when: Column, value: Column | None = None, failed: Column | None = None) -> Column:
+        empty = F.struct(none.cast("long").alias("t"), none.cast("double").alias("x"))
+        return F.when(when, F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), key.cast("string").alias("key"), (empty if value is None else value).alias("value"), (F.lit(0) if failed is None else failed).cast("long").alias("failed")))
+
+    def comparable(table: str, column: str) -> Column:
+        time = isinstance(tables[table].schema[column].dataType, (DateType, TimestampType, TimestampNTZType))
+        c = named(column)
+        return F.struct((F.unix_micros(c.cast("timestamp")) if time else none.cast("long")).alias("t"), (none.cast("double") if time else c.cast("double")).alias("x"))
+
+    for k, r in enumerate(rules):
+        if isinstance(r, OfTable):
+            own[r.table].append(tag(k, 0, none, r.rule.applies, failed=F.coalesce(r.rule.fails, F.lit(False)).cast("int")))
+        elif isinstance(r, Unique):
+            own[r.table].append(tag(k, 0, F.to_json(F.struct(*map(named, r.keys))), F.lit(True)))
+        elif isinstance(r, Known):
+            own[r.table].append(tag(k, 0, named(r.column), named(r.column).isNotNull()))
+            own[r.parent].append(tag(k, 1, named(r.parent_column), named(r.parent_column).isNotNull()))
+        else:
+            own[r.table].append(tag(k, 0, named(r.key), named(r.key).isNotNull() & named(r.later).isNotNull(), comparable(r.table, r.later)))
+            own[r.parent].append(tag(k, 1, named(r.parent_key), named(r.parent_key).isNotNull() & named(r.earlier).isNotNull(), comparable(r.parent, r.earlier)))
+    tagged = [tables[name].select(F.inline(F.array_compact(F.array(*tags)))) for name, tags in own.items() if tags]
+    counts = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("k", "side", "key", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed"))
+    of_key = Window.partitionBy("k", "key")  # a row for each value of an ordering, else one for each side
+    met = counts.withColumn("parent", F.max(F.when(F.col("side") == 1, F.col("value"))).over(of_key)).where("side = 0")
+    kinds = {kind: [k for k, r in enumerate(rules) if isinstance(r, kind)] for kind in (OfTable, Unique, Known, Ordered)}
+    of = lambda kind: F.col("k").isin(kinds[kind])
+    fails = F.when(of(OfTable), F.col("failed")).when(of(Unique), F.col("n") - 1).when(of(Known) & F.col("parent").isNull(), F.col("n")).when(of(Ordered) & (F.col("value") < F.col("parent")), F.col("n")).otherwise(0)
+    checked = F.when(of(Ordered) & F.col("parent").isNull(), 0).otherwise(F.col("n"))
+    sums = met.groupBy("k").agg(F.sum(checked).alias("checked"), F.sum(fails).alias("failed"))
+    told = []
+    for k, r in enumerate(rules):
+        rule = r.rule if isinstance(r, OfTable) else r
+        column = {OfTable: lambda r: r.rule.column, Unique: lambda r: ",".join(r.keys), Known: lambda r: r.column, Ordered: lambda r: f"{r.earlier}<={r.later}"}[type(r)](r)
+        told.append((k, rule.name, column, rule.severity, float(rule.threshold)))
+    names = next(iter(tables.values())).sparkSession.createDataFrame(told, "number int, rule string, column string, severity string, threshold double")
+    every = names.join(sums, F.col("number") == F.col("k"), "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("checked", "failed")})
+    return _judged(every)
+
+
 def quality_report(parts: list[DataFrame]) -> DataFrame:
     """Q10: the rule results as one report."""
     return reduce(lambda a, b: a.unionByName(b), parts)

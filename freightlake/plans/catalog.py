@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlake.functions import scalars
-from freightlake.operators import commercial, contracts, features, finance, headers, kpi, lineage, marts, profile, quality, standardize
+from freightlake.operators import commercial, contracts, digests, features, finance, headers, kpi, lineage, marts, profile, quality, standardize
 from freightlake.session import scratch_dir
 from freightlake.sources import files, runs
 
@@ -311,7 +311,27 @@ def rule_iqr_outlier(spark, d):
 
 @query(" UNION ALL ".join([_POLICY, _UNIQUE, _ORDERING, _FOREIGN, _IQR]))
 def quality_report(spark, d):
-    return quality.quality_report([evaluate_policy(spark, d), rule_unique(spark, d), rule_ordering(spark, d), rule_foreign_key(spark, d), rule_iqr_outlier(spark, d)])
+    return quality.quality_report([one_scan_report(spark, d), rule_iqr_outlier(spark, d)])
+
+
+_SEGMENTS = _report_sql("accepted_values", "c_mktsegment", "count(c_mktsegment)", "count(*) FILTER (WHERE c_mktsegment NOT IN (SELECT o_orderpriority FROM orders))", "customer", "warn", 0.5)
+
+
+@query(" UNION ALL ".join([_POLICY, _UNIQUE, _ORDERING, _FOREIGN]))
+def one_scan_report(spark, d):
+    """All rules of orders and lineitem, one scan of each."""
+    rules = [
+        *[quality.OfTable("orders", r) for r in _rules()], quality.Unique("lineitem", ("l_orderkey", "l_linenumber")),
+        quality.Ordered("lineitem", "l_shipdate", "l_orderkey", "orders", "o_orderdate", "o_orderkey"), quality.Known("orders", "o_orderkey", "lineitem", "l_orderkey"),
+    ]
+    return quality.compiled_report({name: t(spark, d, name) for name in ("orders", "lineitem")}, rules)
+
+
+@query(_SEGMENTS)
+def rule_accepted_from_table(spark, d):
+    """Values that another table lists, however many."""
+    rules = [quality.Known("customer", "c_mktsegment", "orders", "o_orderpriority", severity="warn", threshold=0.5, name="accepted_values")]
+    return quality.compiled_report({name: t(spark, d, name) for name in ("customer", "orders")}, rules)
 
 
 @query(_POLICY)
@@ -629,3 +649,17 @@ def artifact_diff(spark, d):
     key = F.col("o_orderkey")
     new = old.withColumn("o_orderstatus", F.when(key % 3 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))).withColumn("o_orderkey", F.when(key % 5 == 0, key + 1_000_000_000).otherwise(key))
     return lineage.artifact_diff(old, new, "o_orderkey")
+
+
+_EDITED = "o_orderkey % 97 = 0"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o_orderkey % 2 = 0 THEN 'o_custkey,o_orderdate,o_orderpriority,o_orderstatus,o_totalprice' ELSE 'note,o_orderstatus' END AS columns FROM orders WHERE {_EDITED} UNION ALL SELECT o_orderkey + 1000000000, 'added', 'o_custkey,o_orderdate,o_orderpriority,o_orderstatus,o_totalprice' FROM orders WHERE {_EDITED} AND o_orderkey % 2 = 0")
+def run_difference(spark, d):
+    """Two runs that differ in few keys, compared by their digests."""
+    old, key, edited, path = t(spark, d, "orders"), F.col("o_orderkey"), F.expr(_EDITED), f"{scratch_dir(spark)}/digested"
+    new = old.withColumn("note", F.when(edited & (key % 2 == 1), F.lit("new"))).withColumn("o_orderstatus", F.when(edited & (key % 2 == 1), F.lit("X")).otherwise(F.col("o_orderstatus")))
+    new = new.withColumn("o_orderkey", F.when(edited & (key % 2 == 0), key + 1_000_000_000).otherwise(key))
+    digests.write_digested(old, path, "old", "o_orderkey")
+    digests.write_digested(new, path, "new", "o_orderkey")
+    return digests.run_difference(spark, path, "old", "new", "o_orderkey").withColumn("columns", F.array_join("columns", ","))

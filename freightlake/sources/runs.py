@@ -30,8 +30,8 @@ def _folder(path: str, commit: str) -> str:
 
 
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, bytes) in a folder; no content is read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    """(file, bytes) below a folder; no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select(F.substring_index("path", f"/{folder.rsplit('/', 1)[1]}/", -1).alias("file"), F.col("length").alias("bytes"))
 
 
 def stage_log(spark: SparkSession, path: str) -> DataFrame:
@@ -45,14 +45,16 @@ def stage_log(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("columns", F.transform(fields, lambda f: F.concat_ws(":", f["name"], f["type"]))).withColumn("latest", F.row_number().over(last) == 1)
 
 
-def write_run(df: DataFrame, path: str, run_id: str) -> int:
+def write_run(df: DataFrame, path: str, run_id: str, partition_by: tuple[str, ...] = ()) -> int:
     """Write a run, in place of what it held; other runs stay as they are. Returns its version, from 1.
 
-    A column run_id of df is replaced by the run's. A table without rows is a run too.
+    A column run_id of df is replaced by the run's. A table without rows is a run too. Columns of partition_by, which
+    filters on them prune, come last when the run is read.
     """
     spark, commit = df.sparkSession, uuid.uuid4().hex
     body = df.drop(RUN)
-    body.write.parquet(_folder(path, commit))
+    body = body.select(*[named(c) for c in body.columns if c not in partition_by], *map(named, partition_by))
+    body.write.partitionBy(*partition_by).parquet(_folder(path, commit))
     files = _listing(spark, _folder(path, commit))
     files.write.parquet(f"{path}/files/{commit}")
     told = spark.read.parquet(f"{path}/files/{commit}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
