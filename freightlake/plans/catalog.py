@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlake.functions import scalars
-from freightlake.operators import commercial, contracts, digests, features, finance, headers, kpi, lineage, marts, profile, quality, standardize
+from freightlake.operators import commercial, contracts, digests, features, finance, headers, kpi, lineage, marts, profile, provenance, quality, retention, samples, standardize
 from freightlake.session import scratch_dir
 from freightlake.sources import files, runs
 
@@ -167,6 +167,33 @@ def unmapped_header_report(spark, d):
     return headers.unmapped_header_report(texts(t(spark, d, "orders")), NAMES)
 
 
+@query("SELECT header, value, md5('s' || value) AS hash FROM (SELECT DISTINCT 'note' AS header, o_orderpriority AS value FROM orders UNION SELECT DISTINCT 'phone', CAST(o_custkey * 7 AS VARCHAR) FROM orders) QUALIFY row_number() OVER (PARTITION BY header ORDER BY md5('s' || value), value) <= 32")
+def header_samples(spark, d):
+    """Samples of two parts of the table, merged."""
+    raw = texts(t(spark, d, "orders")).withColumn("phone", (F.col("customer").cast("long") * 7).cast("string"))
+    parts = [samples.sample_columns(raw.where(F.col("Order ID").cast("long") % 2 == k), ["note", "phone"]) for k in (0, 1)]
+    return samples.merge_samples(parts[0].unionByName(parts[1]))
+
+
+def _overlap_sql(value: str, known: str) -> str:
+    """The share of common values among the 32 of least hash of two samples of 32."""
+    one = lambda v: f"(SELECT v FROM (SELECT DISTINCT {v} AS v FROM orders) ORDER BY md5('s' || v), v LIMIT 32)"
+    return f"(SELECT avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) FROM (SELECT v, count(*) = 2 AS s FROM (SELECT v FROM {one(value)} UNION ALL SELECT v FROM {one(known)}) GROUP BY v ORDER BY md5('s' || v), v LIMIT 32))"
+
+
+_CLIENT = _overlap_sql("CAST(o_custkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)")
+_GRAMS = lambda a, b: f"(SELECT CAST(count(*) FILTER (WHERE n = 2) AS DOUBLE) / count(*) FROM (SELECT g, count(*) AS n FROM (SELECT DISTINCT 1 AS w, substr(' {a} ', i, 3) AS g FROM range(1, {len(a) + 1}) r(i) UNION ALL SELECT DISTINCT 2, substr(' {b} ', i, 3) FROM range(1, {len(b) + 1}) q(i)) GROUP BY g))"
+
+
+@query(f"SELECT header, proposal, round(l, 6) AS name_likeness, round(o, 6) AS value_overlap, round((l + o) / 2, 6) AS score FROM (SELECT 'customer_ref' AS header, 'customer_id' AS proposal, greatest({_GRAMS('customer ref', 'customer id')}, {_GRAMS('customer ref', 'customer')}) AS l, {_CLIENT} AS o UNION ALL SELECT 'order_status', 'status', {_GRAMS('order status', 'status')}, {_overlap_sql('o_orderstatus', 'o_orderstatus')}) ")
+def alias_proposals(spark, d):
+    """Columns under new names, held against the mapped table; only proposals of a score of 0.5 or more."""
+    orders = t(spark, d, "orders")
+    fresh = texts(orders).select(F.col("Order ID"), F.col("customer").alias("customer_ref"), F.col("status").alias("order_status"))
+    known = headers.NameMap({"order_id": ("order id",), "customer_id": ("customer",), "status": ()})
+    return samples.alias_proposals(fresh, known, texts(orders), least=0.5)
+
+
 # 2.3 contracts
 
 _DAMAGED = "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE CAST(o_custkey AS VARCHAR) END AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total, o_orderstatus AS status, o_orderpriority AS note FROM orders"
@@ -531,6 +558,20 @@ def cohort_retention(spark, d):
     return commercial.cohort_retention(t(spark, d, "orders"), "o_custkey", "o_orderdate")
 
 
+@query(
+    "WITH m AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS m FROM orders), f AS (SELECT o_custkey, min(m) AS cohort FROM m GROUP BY 1) SELECT cohort, CAST(m - cohort AS INTEGER) AS age, count(*) AS customers FROM m JOIN f USING (o_custkey) GROUP BY 1, 2"
+)
+def month_retention(spark, d):
+    return retention.month_retention(t(spark, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders), p AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM d), (SELECT max(d) FROM d), INTERVAL 30 DAYS)) AS DATE) AS day), b AS (SELECT DISTINCT day, c FROM p JOIN d ON d BETWEEN day - 89 AND day), a AS (SELECT DISTINCT day, c FROM p JOIN d ON d BETWEEN day + 1 AND day + 90) SELECT day, (SELECT count(*) FROM b WHERE b.day = p.day) AS before, (SELECT count(*) FROM a WHERE a.day = p.day) AS after, (SELECT count(*) FROM a JOIN b USING (day, c) WHERE a.day = p.day) AS retained FROM p"
+)
+def rolling_retention(spark, d):
+    return retention.rolling_retention(t(spark, d, "orders"), "o_custkey", "o_orderdate")
+
+
 @query(
     "WITH r AS (SELECT l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1), c AS (SELECT l_partkey, v, row_number() OVER w AS k, CAST(coalesce(sum(v) OVER (ORDER BY v DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(v) OVER () AS DOUBLE) AS s FROM r WINDOW w AS (ORDER BY v DESC, l_partkey)) SELECT l_partkey, CAST(v AS DOUBLE) AS revenue, k AS rank, round(s, 9) AS share_before, CASE WHEN s < 0.8 THEN 'A' WHEN s < 0.95 THEN 'B' ELSE 'C' END AS class FROM c"
 )
@@ -651,6 +692,24 @@ def artifact_diff(spark, d):
     return lineage.artifact_diff(old, new, "o_orderkey")
 
 
+_DECIDED = "WITH x AS (SELECT o_orderkey, o_custkey, o_totalprice, 1 AS copy FROM orders UNION ALL SELECT o_orderkey, o_custkey, o_totalprice + 1, 2 FROM orders WHERE o_orderkey % 4 = 0)"
+
+
+@query(
+    f"{_DECIDED} SELECT CAST(o_orderkey AS VARCHAR) AS order_id, copy, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'rejected' WHEN o_orderkey % 4 = 0 AND copy = 1 THEN 'duplicate' ELSE 'kept' END AS decision, CASE WHEN o_orderkey % 77 = 0 THEN 'customer_id:required,total:cast' WHEN o_orderkey % 7 = 0 THEN 'total:cast' WHEN o_orderkey % 11 = 0 THEN 'customer_id:required' END AS reasons, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS kept_copy FROM x"
+)
+def row_decisions(spark, d):
+    """Every raw row's decision, and which copy of its order stands for it."""
+    orders, root = t(spark, d, "orders"), scratch_dir(spark)
+    raw = damaged(orders).withColumn("copy", F.lit(1)).unionByName(damaged(orders.where("o_orderkey % 4 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)).withColumn("copy", F.lit(2)))
+    raw = provenance.with_row_id(files.read_stage(spark, files.write_raw(raw, root, "run-1"), "run-1"))
+    _, decisions = provenance.decided(raw, CONTRACT, ["order_id"], [F.desc("copy")])
+    rows = raw.select(F.col("row_id").alias("id"), "order_id", "copy")
+    kept = raw.select(F.col("row_id").alias("kept"), F.col("copy").alias("kept_copy"))
+    out = rows.join(decisions, F.col("id") == F.col("row_id"), "left").join(kept, F.col("kept_as") == F.col("kept"), "left")
+    return out.select("order_id", "copy", "decision", F.array_join("reasons", ",").alias("reasons"), "kept_copy")
+
+
 _EDITED = "o_orderkey % 97 = 0"
 
 
