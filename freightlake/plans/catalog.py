@@ -719,6 +719,6 @@ def run_difference(spark, d):
     old, key, edited, path = t(spark, d, "orders"), F.col("o_orderkey"), F.expr(_EDITED), f"{scratch_dir(spark)}/digested"
     new = old.withColumn("note", F.when(edited & (key % 2 == 1), F.lit("new"))).withColumn("o_orderstatus", F.when(edited & (key % 2 == 1), F.lit("X")).otherwise(F.col("o_orderstatus")))
     new = new.withColumn("o_orderkey", F.when(edited & (key % 2 == 0), key + 1_000_000_000).otherwise(key))
-    digests.write_digested(old, path, "old", "o_orderkey")
-    digests.write_digested(new, path, "new", "o_orderkey")
-    return digests.run_difference(spark, path, "old", "new", "o_orderkey").withColumn("columns", F.array_join("columns", ","))
+    digests.write_digested(old, path, "old", "o_orderkey", levels := (3, 3))
+    digests.write_digested(new, path, "new", "o_orderkey", levels)
+    return digests.run_difference(spark, path, "old", "new", "o_orderkey", levels).withColumn("columns", F.array_join("columns", ","))
