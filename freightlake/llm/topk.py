@@ -1,9 +1,10 @@
 """Op 1, exact top-k search by columnar branch and bound.
 
-Vectors become integers. Candidates and queries are dealt into blocks and every block of queries meets
-every block of candidates in a task of its own. There scores are summed over blocks of dimensions held
-column by column, strongest dimensions first. After each block the norms of what remains bound every
-score from both sides; candidates that can't reach a query's k-th lower bound are compacted away.
+Vectors become integers. Candidates and queries are dealt into blocks of BLOCK_BYTES and every block of queries
+meets every block of candidates in a task of its own, tile by tile. There scores are summed over blocks of
+dimensions held column by column, strongest dimensions first. After each block the norms of what remains bound
+every score from both sides; candidates that can't reach a query's k-th lower bound are compacted away. A query
+starts with the k-th score that it has among a sample of candidates, and takes along what earlier tiles gave it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import hash_bucket, table
 
-#: Rows of a block of candidates and of queries, and dimensions summed before bounds are tested.
+#: Rows of a tile of candidates and of queries, and dimensions summed before bounds are tested.
 CANDIDATES, QUERIES, DIMENSIONS = 2048, 512, 16
+#: Bytes of a block's vectors, fewest tasks where there are tiles enough, and candidates of the sample that the first bounds come from.
+BLOCK_BYTES, LEAST_TASKS, SAMPLE = 32 << 20, 64, 2048
 #: Share of pairs under which they are listed one by one instead of in a rectangle.
 SPARSE = 0.1
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -34,10 +37,10 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
     return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k]
 
 
-def search_block(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For every query, (its place, the candidates' places, their scores): a superset of its k best, ties included.
 
-    own tells which candidates (columns) each query (row) does not meet.
+    own tells which candidates (columns) each query (row) does not meet; least, which scores its k best don't fall below.
     """
     d = q.shape[1]
     if d and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d >= 2.0**52:
@@ -52,7 +55,7 @@ def search_block(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> list[
     n_q = q.shape[1]
     alive = np.arange(c.shape[1])
     score = np.where(own, -np.inf, 0.0)
-    least = np.full(n_q, -np.inf)
+    least = np.full(n_q, -np.inf) if least is None else least.copy()
     pairs = None
     for n, b in enumerate(begins):
         block = slice(b, b + DIMENSIONS)
@@ -100,24 +103,59 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, vec_id:
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("v"), is_query.alias("asks")).where(x.isNotNull() & F.col("vec_id").isNotNull() & ~bad)
     rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"), F.max("asks").alias("asks")).withColumn("row", F.xxhash64("vec_id", "v"))
-    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    n_c, n_q = max(1, math.ceil(n["n"] / CANDIDATES)), max(1, math.ceil(n["q"] / QUERIES))
+    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.size(x)).alias("d")).first()
+    together = max(1, BLOCK_BYTES // (8 * max(n["d"] or 1, 1)))
+    n_q = max(1, math.ceil(n["q"] / together))
+    n_c = max(1, math.ceil(n["n"] / together), min(math.ceil(n["n"] / CANDIDATES), math.ceil(LEAST_TASKS / n_q)))
     size = F.size("v").alias("d")
-    asked = rows.where("asks").select("row", "vec_id", "v", size, hash_bucket(n_q, F.lit(1), "row").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    there = rows.select("row", "vec_id", "v", "times", size, hash_bucket(n_c, F.lit(2), "row").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    queries = rows.where("asks").select("row", "vec_id", "v", size, hash_bucket(n_q, F.lit(1), "row").alias("qb"))
+    candidates = rows.select("row", "vec_id", "v", "times", size, hash_bucket(n_c, F.lit(2), "row").alias("cb"))
+    each = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+
+    def tiles(q: pa.Table, c: pa.Table):
+        """(places of the tile's queries, best): for each query of a tile its best (score, row) among all candidates, best first."""
+        ids, rows, times = (c[x].to_numpy() for x in ("vec_id", "row", "times"))
+        parts = [(i, _ints(c["v"].slice(i, CANDIDATES), scale)) for i in range(0, c.num_rows, CANDIDATES)]
+        for a in range(0, q.num_rows, QUERIES):
+            tile = q.slice(a, QUERIES)
+            vectors, query_ids, query_rows = _ints(tile["v"], scale), tile["vec_id"].to_numpy(), tile["row"].to_numpy()
+            least = tile["least"].cast(pa.float64()).fill_null(-np.inf).to_numpy().copy() if "least" in tile.column_names else np.full(tile.num_rows, -np.inf)
+            best: list[list[tuple[int, int, int]]] = [[] for _ in range(tile.num_rows)]
+            for at, part in parts:
+                here = slice(at, at + len(part))
+                same = (query_ids[:, None] == ids[here]) & (query_rows[:, None] == rows[here])
+                for i, found, s in search_block(vectors, part, same & (times[here] == 1), k, least):
+                    if len(found):
+                        near = range(len(found)) if s.dtype == object else np.lexsort((ids[here][found], -s))[:k]
+                        now = [(-int(s[j]), int(ids[at + found[j]]), int(at + found[j])) for j in near]
+                        best[i] = sorted(best[i] + now)[:k]
+                        if len(best[i]) == k:
+                            least[i] = max(least[i], -best[i][-1][0])
+            yield a, query_ids, query_rows, best
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[tuple[int, int, int, int, int]] = []
         if q.num_rows and c.num_rows:
-            query_ids, query_rows, ids, rows, times = (x.to_numpy() for x in (q["vec_id"], q["row"], c["vec_id"], c["row"], c["times"]))
-            same = (query_ids[:, None] == ids) & (query_rows[:, None] == rows)
-            for i, at, s in search_block(_ints(q["v"], scale), _ints(c["v"], scale), same & (times == 1), k):
-                first = sorted(range(len(at)), key=lambda j: (-s[j], ids[at[j]]))[:k] if s.dtype == object else np.lexsort((ids[at], -s))[:k]
-                at = at[first]
-                for x, got in zip(out, (np.full(len(at), query_ids[i]), np.full(len(at), query_rows[i]), ids[at], np.array([int(s[j]) for j in first], dtype=np.int64), times[at] - same[i, at]), strict=True):
-                    x.append(got)
-        return pa.table({name: pa.array(np.concatenate(x) if x else [], type=pa.int64()) for name, x in zip(("query_id", "query", "vec_id", "score", "times"), out, strict=True)})
-
+            rows, times = c["row"].to_numpy(), c["times"].to_numpy()
+            for _, query_ids, query_rows, found in tiles(q, c):
+                for i, own in enumerate(found):
+                    out += [(query_ids[i], query_rows[i], vec_id, -less, times[at] - (query_ids[i] == vec_id and query_rows[i] == rows[at])) for less, vec_id, at in own]
+        return pa.table({name: pa.array([int(r[x]) for r in out], type=pa.int64()) for x, name in enumerate(("query_id", "query", "vec_id", "score", "times"))})
+
+    def seeded(q: pa.Table, c: pa.Table) -> pa.Table:
+        least: list[int | None] = [None] * q.num_rows
+        if q.num_rows and c.num_rows:
+            for a, _, _, found in tiles(q, c):
+                for i, own in enumerate(found):
+                    least[a + i] = -own[-1][0] if len(own) == k else None
+        return q.append_column("least", pa.array(least, type=pa.int64()))
+
+    if n_c > 1:
+        share = max(1, n["n"] // SAMPLE)
+        sample = candidates.where(F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(share)) == 0).drop("cb").select("*", each(n_q, "qb"))
+        kinds = "row long, vec_id long, v array<double>, d int, qb int, least long"
+        queries = queries.groupBy("d", "qb").cogroup(sample.groupBy("d", "qb")).applyInArrow(seeded, kinds)
+    asked, there = queries.select("*", each(n_c, "cb")), candidates.select("*", each(n_q, "qb"))
     key = ["d", "qb", "cb"]
     found = asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(best, "query_id long, query long, vec_id long, score long, times long")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")

@@ -6,8 +6,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from freightlake.llm import jaccard, lm, pieces
+from freightlake.llm import jaccard, lm, pieces, topk
 from freightlake.llm.common import shared_dir
 
 
@@ -82,3 +83,23 @@ def test_a_dictionary_without_a_word_says_so(spark, tmp_path):
     for lacking in (6, 10):
         with pytest.raises(LookupError):
             known.look_up(np.array([5, lacking], np.uint64))
+
+
+def test_blocks_that_know_bounds_give_the_same(spark, monkeypatch):
+    """Many blocks, a sample, equal vectors and ids, two lengths: the k best are those of all pairs."""
+    rng = np.random.default_rng(19)
+    rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(int(i), rows[3][1]) for i in range(1000, 1040)] + [(20, rows[5][1])] * 3 + [(int(i), rng.normal(size=5).astype(np.float32).tolist()) for i in range(2000, 2060)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    ints = [np.floor(64 * np.asarray(v, np.float32).astype(np.float64)) for _, v in rows]
+    want, asked = [], set()
+    for i, (vec_id, v) in enumerate(rows):
+        if vec_id % 20 == 0 and (vec_id, tuple(v)) not in asked:
+            asked.add((vec_id, tuple(v)))
+            scores = sorted((-int(ints[i] @ ints[j]), rows[j][0]) for j in range(len(rows)) if j != i and len(ints[j]) == len(ints[i]))[:7]
+            want += [(vec_id, rank, other, -less) for rank, (less, other) in enumerate(scores, 1)]
+    for block_bytes, sample in ((1 << 11, 30), (1 << 12, 5), (1 << 25, 100)):
+        monkeypatch.setattr(topk, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(topk, "SAMPLE", sample)
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()
+        assert Counter(map(tuple, got)) == Counter(want)
