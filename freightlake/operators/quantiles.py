@@ -11,7 +11,7 @@ from ..session import saved
 #: Distinct values that a bracket may hold when they are sorted in one place.
 MOST_INSIDE = 10_000
 #: Cells into which one pass cuts a bracket, a square; a cell's bounds are looked up in two steps of its root.
-ROOT = 32
+ROOT = 16
 CELLS = ROOT * ROOT
 
 
@@ -26,7 +26,7 @@ def _narrowed(counts: DataFrame, brackets: DataFrame) -> DataFrame:
     inside = _inside(counts, brackets)
     bounds = F.array_distinct(F.sort_array(F.percentile_approx("v", [k / CELLS for k in range(1, CELLS)], 10 * CELLS)))
     cuts = inside.groupBy(F.col("g").alias("cut_g"), F.col("i").alias("cut_i")).agg(bounds.alias("cuts"))
-    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda _, k: k % ROOT == 0))
+    cuts = saved(cuts.withColumn("coarse", F.filter("cuts", lambda _, k: k % ROOT == 0)))  # a row for each bracket
     below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("v")))
     met = inside.join(cuts, F.col("g").eqNullSafe(F.col("cut_g")) & (F.col("i") == F.col("cut_i"))).withColumn("after", below(F.col("coarse")))
     start = (F.col("after") - 1) * ROOT
@@ -50,7 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, group: str, probs: list[float], m
     Equal values are counted first. Then every quantile of every group has a bracket of values around its rank,
     which passes over the counts narrow down until it holds ``most`` distinct values or fewer; only these are sorted in
     one place. A pass cuts a bracket into about CELLS parts of as many distinct values each, so three passes are
-    enough for 10**13 of them, however they are spread.
+    enough for 10**11 of them, however they are spread.
     """
     counts = saved(df.where(named(value).isNotNull()).select(named(group).alias("g"), named(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
     own = saved(counts.groupBy(F.col("g").alias("of")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct")))
