@@ -162,6 +162,21 @@ def critical_column_report(spark, d):
     return headers.critical_column_report(rows, NAMES, "source")
 
 
+@query(
+    """SELECT f AS folder, c AS "column", NOT (f = 'b' AND c = 'customer_id') AS present, count(*) AS rows, CAST(count(*) FILTER (WHERE NOT (f = 'b' AND c = 'customer_id')) AS BIGINT) AS filled FROM (SELECT CASE WHEN o_orderkey % 2 = 1 THEN 'a' ELSE 'b' END AS f, unnest(['order_id', 'customer_id', 'created_at']) AS c FROM orders) GROUP BY ALL"""
+)
+def critical_columns_by_file(spark, d):
+    """Presence by each file's own header; the files of one folder lack a column."""
+    raw, place = texts(t(spark, d, "orders")), scratch_dir(spark)
+    odd = F.col("Order ID").cast("long") % 2 == 1
+    raw.where(odd).write.option("header", True).csv(f"{place}/a")
+    raw.where(~odd).drop("customer").write.option("header", True).csv(f"{place}/b")
+    paths = [f"{place}/a/*.csv", f"{place}/b/*.csv"]
+    report = headers.critical_column_report(files.csv_scan(spark, paths), NAMES, files.SOURCE_FILE, files.csv_headers(spark, paths))
+    folder = F.element_at(F.split("source_file", "/"), -2)
+    return report.groupBy(folder.alias("folder"), "column").agg(F.min("present").alias("present"), F.sum("rows").alias("rows"), F.sum("filled").alias("filled"))
+
+
 @query("SELECT 'note' AS header, count(*) AS rows, count(o_orderpriority) AS non_null, min(o_orderpriority) AS least, max(o_orderpriority) AS largest FROM orders")
 def unmapped_header_report(spark, d):
     return headers.unmapped_header_report(texts(t(spark, d, "orders")), NAMES)
