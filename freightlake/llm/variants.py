@@ -238,10 +238,11 @@ def _met(group: pa.Table) -> pa.Table:
 
 
 def group_variants(words: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
-    """(word, n, n_near, form, form_n, root) of distinct words with their counts.
+    """(word, n, n_near, form, form_n, root) of distinct words with their counts; other columns are not read.
 
     A null or empty word is near none; one without a near word has neither form nor another root.
     """
+    words = words.select("word", "n")
     met = cut(spans(words, span_words), "met")
     buckets = max(1, math.ceil(met.count() / ROWS_TOGETHER))
     pairs = met.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(_met, "word string, n_near long, near_n long, near string")

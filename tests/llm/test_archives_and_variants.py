@@ -99,7 +99,7 @@ def test_long_texts_are_cut_between_runs(spark, monkeypatch):
 @pytest.mark.parametrize("span_words", [3, 1024])
 def test_variants_as_by_the_book(spark, span_words):
     words = counted(odd_texts())
-    df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
+    df = spark.createDataFrame([(w, n, "x", 1) for w, n in words.items()], "word string, n long, best string, of int").repartition(3)
     got = {r["word"]: tuple(r)[1:] for r in variants.group_variants(df, span_words).select("word", "n", "n_near", "form", "form_n", "root").collect()}
     assert got == grouped(words) and sum(v[2] is not None for v in got.values()) > 20
 
