@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,15 @@ def spark_type(spec: dict) -> str:
     return _type(spec, lambda s: {"date": "date", "date-time": "timestamp"}.get(s.get("format", ""), "string") if _kind(s) == "string" else f"decimal(18,{s['x-scale']})" if "x-scale" in s and _kind(s) == "number" else {"number": "double", "integer": "bigint", "boolean": "boolean"}[_kind(s)])
 
 
+def _quoted(name: str) -> str:
+    return name if re.fullmatch("[A-Za-z][A-Za-z0-9_]*", name) else "`" + name.replace("`", "``") + "`"
+
+
 def _type(spec: dict, scalar) -> str:
     if _kind(spec) == "array":
         return f"array<{_type(spec.get('items', {}), scalar)}>"
     if _kind(spec) == "object":
-        return "struct<" + ",".join("`" + k.replace("`", "``") + f"`:{_type(v, scalar)}" for k, v in spec.get("properties", {}).items()) + ">"
+        return "struct<" + ",".join(f"{_quoted(k)}:{_type(v, scalar)}" for k, v in spec.get("properties", {}).items()) + ">"
     return scalar(spec)
 
 
@@ -61,7 +66,7 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 def _parsed(text: Column, spec: dict) -> Column:
     """One level of JSON text, what is in it as text; null if it is not JSON of that kind."""
-    kind = "array<string>" if _kind(spec) == "array" else "struct<" + ",".join("`" + k.replace("`", "``") + "`:string" for k in spec.get("properties", {})) + ">"
+    kind = "array<string>" if _kind(spec) == "array" else "struct<" + ",".join(f"{_quoted(k)}:string" for k in spec.get("properties", {})) + ">"
     fits = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("[" if _kind(spec) == "array" else "{")
     return F.when(fits, F.from_json(text, kind))
 
