@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,20 +66,55 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return F.to_json(named(name)) if isinstance(kind, (ArrayType, StructType, MapType, VariantType)) else named(name)
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: Spark does not share what repeats inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _parsed(text: Column, spec: dict) -> Column:
     """One level of JSON text, what is in it as text; null if it is not JSON of that kind."""
     kind = "array<string>" if _kind(spec) == "array" else "struct<" + ",".join(f"{_quoted(k)}:string" for k in spec.get("properties", {})) + ">"
-    fits = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("[" if _kind(spec) == "array" else "{")
-    return F.when(fits, F.from_json(text, kind))
+    return F.when(_fits(text, spec), F.from_json(text, kind))
+
+
+def _fits(text: Column, spec: dict) -> Column:
+    return F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("[" if _kind(spec) == "array" else "{")
+
+
+def _gap(value: Column, spec: dict) -> Column | None:
+    """Whether an array or object inside a value that was parsed whole is null; None if it can hold none."""
+
+    def inner(x: Column, s: dict) -> Column:
+        deeper = _gap(x, s)
+        return x.isNull() if deeper is None else x.isNull() | deeper
+
+    if _kind(spec) == "array":
+        item = spec.get("items", {})
+        return F.exists(value, lambda x: inner(x, item)) if _is_nested(item) else None
+    gaps = [inner(value[k], s) for k, s in spec.get("properties", {}).items() if _is_nested(s)]
+    return reduce(lambda a, b: a | b, gaps) if gaps else None
+
+
+def _read(text: Column, spec: dict, use: Callable[[Column, bool], Column]) -> Column:
+    """use(value, True) of JSON text that is parsed at one go where all that is in it has its kind, else use(text, False), to parse it level by level."""
+    if _gap(text, spec) is None:
+        return use(text, False)
+    kind = _type(spec, lambda _: "string")
+    return _held(F.when(_fits(text, spec), F.from_json(text, kind)), lambda value: F.when(value.isNotNull() & ~_gap(value, spec), use(value, True)).otherwise(use(text, False)))
 
 
-def _typed(text: Column, spec: dict) -> Column:
+def _opened(text: Column, spec: dict, whole: bool, use: Callable[[Column], Column]) -> Column:
+    """use of a level's value, which is there already if its JSON was parsed whole."""
+    return use(text) if whole else _held(_parsed(text, spec), use)
+
+
+def _typed(text: Column, spec: dict, whole: bool = False) -> Column:
     """Text in the contract's types, level by level; what can't be read or cast is null where it stands."""
     if _kind(spec) == "array":
-        return F.transform(_parsed(text, spec), lambda x: _typed(x, spec.get("items", {})))
+        return F.transform(text if whole else _parsed(text, spec), lambda x: _typed(x, spec.get("items", {}), whole))
     if _kind(spec) == "object":
-        value = _parsed(text, spec)
-        return F.when(value.isNotNull(), F.struct(*[_typed(value[k], s).alias(k) for k, s in spec.get("properties", {}).items()]))
+        parts = spec.get("properties", {}).items()
+        return _opened(text, spec, whole, lambda value: F.when(value.isNotNull(), F.struct(*[_typed(value[k], s, whole).alias(k) for k, s in parts])))
     return text.try_cast(spark_type(spec))
 
 
@@ -91,7 +128,7 @@ def conform(df: DataFrame, contract: Contract) -> DataFrame:
         if c not in df.columns:
             return F.lit(None).cast(kind)
         spec = contract.spec(c)
-        return _typed(_as_text(df, c), spec).cast(kind) if _is_nested(spec) else named(c).try_cast(kind)
+        return _held(_as_text(df, c), lambda text: _read(text, spec, lambda x, whole: _typed(x, spec, whole))).cast(kind) if _is_nested(spec) else named(c).try_cast(kind)
 
     return df.select(*[one(c, kind).alias(c) for c, kind in contract.types.items()])
 
@@ -118,47 +155,74 @@ def _row(path: Column, why: str, value: Column) -> Column:
     return F.struct(path.alias("column"), F.lit(why).alias("reason"), value.cast("string").alias("value"))
 
 
-def _found(spec: dict, kind: str, raw: Column, path: Column, required: bool) -> Column:
-    """An array of (column, reason, value), null where there is none, of a scalar as it came."""
+def _none() -> Column:
+    return F.array().cast(f"array<{VIOLATION}>")
+
+
+def _scalar(spec: dict, kind: str, raw: Column, path: Column, required: bool) -> tuple[Column, list[Column]] | None:
+    """Whether a scalar as it came violates anything, and its rows (column, reason, value), null where they do not hold; None if nothing can."""
     text = raw.cast("string")
     missing, typed = raw.isNull() | (F.trim(text) == ""), raw.try_cast(kind)
+    fails = [("cast", typed.isNull())] if kind != "string" else []
+    fails += _rules(spec, F.trim(text) if kind != "string" else text, typed)
     rows = [F.when(missing, _row(path, "required", raw))] if required else []
-    if kind != "string":
-        rows.append(F.when(~missing & typed.isNull(), _row(path, "cast", raw)))
-    rows += [F.when(~missing & fails, _row(path, name, raw)) for name, fails in _rules(spec, F.trim(text) if kind != "string" else text, typed)]
-    return F.array(*rows) if rows else F.array().cast(f"array<{VIOLATION}>")
-
-
-def _violations(spec: dict, kind: str, text: Column, path: Column, required: bool) -> Column:
-    """All that a value violates: a scalar, or JSON text whose parts have paths of their own, such as ``items[3].price``."""
-    if not _is_nested(spec):
-        return _found(spec, kind, text, path, required)
-    value, missing, none = _parsed(text, spec), text.isNull() | (F.trim(text) == ""), F.array().cast(f"array<{VIOLATION}>")
-    rows = [F.when(~missing & value.isNull(), _row(path, "cast", text))] + ([F.when(missing, _row(path, "required", text))] if required else [])
-    if _kind(spec) == "array":
+    rows += [F.when(~missing & bad, _row(path, name, raw)) for name, bad in fails]
+    return (F.when(missing, F.lit(required)).otherwise(reduce(lambda a, b: a | b, [bad for _, bad in fails], F.lit(False))), rows) if rows else None
+
+
+def _scalars(found: list[tuple[Column, list[Column]] | None]) -> list[Column]:
+    """The rows of several scalars as one array, at most; most values violate nothing, and for them no row is made."""
+    found = [f for f in found if f is not None]
+    return [F.when(reduce(lambda a, b: a | b, [bad for bad, _ in found]), F.array(*[r for _, rows in found for r in rows])).otherwise(_none())] if found else []
+
+
+def _together(parts: list[Column]) -> Column:
+    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0] if parts else _none()
+
+
+def _parts(values: list[tuple[dict, Column, Column, bool]], whole: bool) -> Column:
+    """All that values violate, each of (schema, text, path, whether it is required): scalars together, JSON one by one."""
+    plain = [_scalar(spec, spark_type(spec), text, path, required) for spec, text, path, required in values if not _is_nested(spec)]
+    return _together(_scalars(plain) + [_violations(*v, whole) for v in values if _is_nested(v[0])])
+
+
+def _violations(spec: dict, text: Column, path: Column, required: bool, whole: bool) -> Column:
+    """All that JSON text, or its value where it was parsed whole, violates; its parts have paths of their own, such as ``items[3].price``."""
+
+    def inside(value: Column) -> Column:
+        if _kind(spec) == "object":
+            return unless_unread(value, _parts([(s, value[k], F.concat(path, F.lit(f".{k}")), k in spec.get("required", ())) for k, s in spec.get("properties", {}).items()], whole))
         item, size = spec.get("items", {}), F.size(value)
-        rows += [F.when(value.isNotNull() & fails, _row(path, name, size)) for name, fails in (("minItems", size < F.lit(spec.get("minItems"))), ("maxItems", size > F.lit(spec.get("maxItems")))) if name in spec]
         needs = "null" not in (item.get("type") or [])
-        each = F.flatten(F.transform(value, lambda x, i: _violations(item, spark_type(item), x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), needs)))
-    else:
-        parts = [_violations(s, spark_type(s), value[k], F.concat(path, F.lit(f".{k}")), k in spec.get("required", ())) for k, s in spec.get("properties", {}).items()]
-        each = F.when(value.isNotNull(), F.concat(*parts)) if parts else none
-    return F.concat(F.array(*rows), F.coalesce(each, none))
+        each = F.flatten(F.transform(value, lambda x, i: _parts([(item, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), needs)], whole)))
+        sizes = [(name, fails) for name, fails in (("minItems", size < F.lit(spec.get("minItems"))), ("maxItems", size > F.lit(spec.get("maxItems")))) if name in spec]
+        return unless_unread(value, _together([F.array(F.when(fails, _row(path, name, size))) for name, fails in sizes] + [each]))
+
+    def unless_unread(value: Column, found: Column) -> Column:
+        if whole:
+            return found
+        missing = text.isNull() | (F.trim(text) == "")
+        unread = F.array(F.when(~missing, _row(path, "cast", text)), *([F.when(missing, _row(path, "required", text))] if required else []))
+        return F.when(value.isNull(), unread).otherwise(found)
+
+    return _opened(text, spec, whole, inside)
 
 
 def _reasons(df: DataFrame, contract: Contract, shape: str | None = None) -> Column:
     """An array of (column, reason, value) for each row."""
-    found = []
+    plain, found = [], []
     for c, kind in contract.types.items():
-        spec, path = contract.spec(c), F.lit(c)
+        spec, path, required = contract.spec(c), F.lit(c), c in contract.required
         if c not in df.columns:
-            if c in contract.required:
+            if required:
                 found.append(F.array(_row(path, "required", F.lit(None))))
+        elif _is_nested(spec):
+            found.append(_held(_as_text(df, c), lambda text: _read(text, spec, lambda x, whole: _violations(spec, x, path, required, whole))))  # noqa: B023 - called at once
         else:
-            found.append(_violations(spec, kind, _as_text(df, c) if _is_nested(spec) else named(c), path, c in contract.required))
+            plain.append(_scalar(spec, kind, named(c), path, required))
     if shape is not None and shape in df.columns:
         found.append(F.array(F.when(named(shape).isNotNull(), _row(F.lit("record"), "shape", named(shape)))))
-    return F.array_compact(F.concat(*found)) if found else F.array().cast(f"array<{VIOLATION}>")
+    return F.array_compact(_together(_scalars(plain) + found))
 
 
 def contract_violations(df: DataFrame, contract: Contract, key: str, shape: str | None = None) -> DataFrame:
