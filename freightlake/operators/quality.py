@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, IntegralType, TimestampNTZType, TimestampType
 
 from ..functions.names import named
 from .quantiles import exact_quantiles
 
 REPORT = "rule string, column string, checked long, failed long, pass_rate double, severity string, status string"
+#: Columns of a tag's key.
+KEY = ("one", "two", "text")
 
 
 @dataclass(frozen=True)
@@ -158,34 +160,50 @@ def compiled_report(tables: dict[str, DataFrame], rules: list[OfTable | Unique |
 
     A scan tags every row with the rules that it takes part in and its key there. Equal tags are counted before the
     shuffle, so row rules send a row from each task, and a frequent key too. Where the tags of a key meet, each rule
-    counts what fails. Keys are compared as JSON, times to the microsecond and numbers as doubles.
+    counts what fails. Keys of whole numbers are compared as such, others as text or JSON, times to the microsecond and numbers as doubles.
     """
     own: dict[str, list[Column]] = {name: [] for name in tables}
     none = F.lit(None)
 
-    def tag(k: int, side: int, key: Column, when: Column, value: Column | None = None, failed: Column | None = None) -> Column:
-        empty = F.struct(none.cast("long").alias("t"), none.cast("double").alias("x"))
-        return F.when(when, F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), key.cast("string").alias("key"), (empty if value is None else value).alias("value"), (F.lit(0) if failed is None else failed).cast("long").alias("failed")))
+    def kept(table: str, column: str) -> bool:
+        return isinstance(tables[table].schema[column].dataType, IntegralType)
 
-    def comparable(table: str, column: str) -> Column:
+    def tag(k: int, side: int, keys: list[Column], when: Column, value: tuple[Column, Column] | None = None, failed: Column | None = None) -> Column:
+        t, x = value or (none, none)
+        cells = {"k": F.lit(k), "side": F.lit(side), **dict(zip(KEY, keys or [none] * 3, strict=True)), "t": t.cast("long"), "x": x.cast("double"), "failed": (F.lit(0) if failed is None else failed).cast("long")}
+        return F.when(when, F.struct(*[c.cast({"one": "long", "two": "long", "text": "string"}.get(name, "int")).alias(name) if name in ("k", "side", *KEY) else c.alias(name) for name, c in cells.items()]))
+
+    def together(table: str, columns: tuple[str, ...]) -> list[Column]:
+        """A row's key: its first two whole numbers as they are, the rest as JSON."""
+        whole = [c for c in columns if kept(table, c)][:2]
+        rest = [named(c) for c in columns if c not in whole]
+        return [*[named(c) for c in whole], *[none] * (2 - len(whole)), F.to_json(F.struct(*rest)) if rest else none]
+
+    def single(table: str, column: str, other: str, other_column: str) -> list[Column]:
+        """A key that two tables share: a whole number in both, or text."""
+        both = kept(table, column) and kept(other, other_column)
+        return [named(column), none, none] if both else [none, none, named(column)]
+
+    def comparable(table: str, column: str) -> tuple[Column, Column]:
         time = isinstance(tables[table].schema[column].dataType, (DateType, TimestampType, TimestampNTZType))
         c = named(column)
-        return F.struct((F.unix_micros(c.cast("timestamp")) if time else none.cast("long")).alias("t"), (none.cast("double") if time else c.cast("double")).alias("x"))
+        return (F.unix_micros(c.cast("timestamp")), none) if time else (none, c.cast("double"))
 
     for k, r in enumerate(rules):
         if isinstance(r, OfTable):
-            own[r.table].append(tag(k, 0, none, r.rule.applies, failed=F.coalesce(r.rule.fails, F.lit(False)).cast("int")))
+            own[r.table].append(tag(k, 0, [], r.rule.applies, failed=F.coalesce(r.rule.fails, F.lit(False)).cast("int")))
         elif isinstance(r, Unique):
-            own[r.table].append(tag(k, 0, F.to_json(F.struct(*map(named, r.keys))), F.lit(True)))
+            own[r.table].append(tag(k, 0, together(r.table, r.keys), F.lit(True)))
         elif isinstance(r, Known):
-            own[r.table].append(tag(k, 0, named(r.column), named(r.column).isNotNull()))
-            own[r.parent].append(tag(k, 1, named(r.parent_column), named(r.parent_column).isNotNull()))
+            own[r.table].append(tag(k, 0, single(r.table, r.column, r.parent, r.parent_column), named(r.column).isNotNull()))
+            own[r.parent].append(tag(k, 1, single(r.parent, r.parent_column, r.table, r.column), named(r.parent_column).isNotNull()))
         else:
-            own[r.table].append(tag(k, 0, named(r.key), named(r.key).isNotNull() & named(r.later).isNotNull(), comparable(r.table, r.later)))
-            own[r.parent].append(tag(k, 1, named(r.parent_key), named(r.parent_key).isNotNull() & named(r.earlier).isNotNull(), comparable(r.parent, r.earlier)))
-    tagged = [tables[name].select(F.inline(F.array_compact(F.array(*tags)))) for name, tags in own.items() if tags]
-    counts = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("k", "side", "key", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed"))
-    of_key = Window.partitionBy("k", "key")  # a row for each value of an ordering, else one for each side
+            own[r.table].append(tag(k, 0, single(r.table, r.key, r.parent, r.parent_key), named(r.key).isNotNull() & named(r.later).isNotNull(), comparable(r.table, r.later)))
+            own[r.parent].append(tag(k, 1, single(r.parent, r.parent_key, r.table, r.key), named(r.parent_key).isNotNull() & named(r.earlier).isNotNull(), comparable(r.parent, r.earlier)))
+    tagged = [tables[name].select(F.inline(F.array(*tags))).where("k is not null") for name, tags in own.items() if tags]  # no lambda: they are not compiled
+    counts = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("k", "side", *KEY, "t", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed"))
+    counts = counts.withColumn("value", F.struct("t", "x"))
+    of_key = Window.partitionBy(*KEY, "k")  # sorts compare keys first, which differ; a row for each value of an ordering, else one for each side
     met = counts.withColumn("parent", F.max(F.when(F.col("side") == 1, F.col("value"))).over(of_key)).where("side = 0")
     kinds = {kind: [k for k, r in enumerate(rules) if isinstance(r, kind)] for kind in (OfTable, Unique, Known, Ordered)}
     of = lambda kind: F.col("k").isin(kinds[kind])
