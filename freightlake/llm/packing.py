@@ -27,9 +27,9 @@ ROWS_TOGETHER = 1500
 #: Distinct words that one call encodes, in a row.
 WORDS_TOGETHER = 4096
 #: Words whose token ids a Python worker keeps, for all its tasks.
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 500_000
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
