@@ -19,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, cut, give_back, steps, table
+from .common import Words, column, cut, give_back, ragged, steps, table
 
 CAPACITY = 2048
 #: Documents to a bucket of remainders.
 ROWS_TOGETHER = 1500
 #: Distinct words that one call encodes, in a row.
 WORDS_TOGETHER = 4096
-#: Words whose token ids a Python worker keeps, for all its tasks.
-CACHED_WORDS = 500_000
+#: Words whose token ids a Python worker keeps, for all its tasks, and their ids.
+CACHED_WORDS = 1_000_000
+CACHED_IDS = 8_000_000
 #: Bytes of text that are encoded together.
 ENCODE_BYTES = 1 << 19
 
@@ -107,12 +108,27 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = np.zeros(0, np.uint64)
-        self.begins, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.begins, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _new(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        new = self.known[at] != hashes
+        self.again[at[~new]] = True
+        return new
+
+    def _forget(self) -> None:
+        """Make room: only words that came again since the last time stay, if these leave half of it; most words come once."""
+        kept = self.again
+        if 2 * np.count_nonzero(kept) > CACHED_WORDS or 2 * int(self.counts[kept].sum()) > CACHED_IDS:
+            kept = np.zeros(len(kept), bool)
+        self.flat = self.flat[ragged(self.begins[kept], self.counts[kept])]
+        self.known, self.counts = self.known[kept], self.counts[kept]
+        self.begins, self.again = np.cumsum(self.counts, dtype=np.int64) - self.counts, np.zeros(len(self.known), bool)
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known, self.begins, self.counts, self.flat = self.known[:0], self.begins[:0], self.counts[:0], self.flat[:0]
         counts, flat = [np.zeros(0, np.int64)], []
         for i in range(0, len(words), WORDS_TOGETHER):
             some = words[i : i + WORDS_TOGETHER]
@@ -125,17 +141,17 @@ class WordEncoder:
         begins = np.cumsum(counts) - counts + len(self.flat)
         self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
         place = np.searchsorted(self.known, hashes)  # hashes are sorted
-        self.known, self.begins, self.counts = (np.insert(old, place, new) for old, new in ((self.known, hashes), (self.begins, begins), (self.counts, counts)))
+        self.known, self.begins, self.counts, self.again = (np.insert(old, place, new) for old, new in ((self.known, hashes), (self.begins, begins), (self.counts, counts), (self.again, False)))
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each word has."""
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         distinct, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if len(self.known) + int(new.sum()) > CACHED_WORDS:
-            new[:] = True
+        new = self._new(distinct)
+        if len(self.known) + np.count_nonzero(new) > CACHED_WORDS or len(self.flat) > CACHED_IDS:
+            self._forget()
+            new = self._new(distinct)
         if new.any():
             data = words.data.tobytes()
             spell = [data[words.starts[i] : words.ends[i]].decode("utf-8", "replace") for i in first[new]]

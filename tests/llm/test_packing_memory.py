@@ -21,3 +21,15 @@ def test_encoding_needs_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 330_000 and peak < 60 << 20, peak
+
+
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 400)
+    encoder, calls = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words, hashes: (calls.extend(words), learn(words, hashes)))
+    for k in range(20):  # 50 words of every text, and 100 of its own
+        text = " ".join([f"w{i}," for i in range(50)] + [f"own{k}x{i}" for i in range(100)])
+        ids, counts = encoder.encode(Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and counts.sum() == len(ids)
+    assert len(calls) == 50 + 20 * 100 and len(encoder.known) <= 400
