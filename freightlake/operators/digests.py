@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.names import named, private
 from ..sources.runs import RUN, read_run, write_run
@@ -23,10 +24,25 @@ def _bucket(key: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(7), named(key).cast("string")), 64 - bits).cast("int")
 
 
-def _hashes(*cols: Column) -> list[Column]:
-    """Two numbers of a row's columns; a null and a column that is not there are alike."""
-    row = F.to_json(F.struct(*cols)) if cols else F.lit("{}")
-    return [F.xxhash64(F.lit(seed), row).cast("decimal(20,0)") for seed in (1, 2)]
+def _hashes(rows: DataFrame, *columns: str) -> list[Column]:
+    """Two numbers of a row's columns; a null and a column that is not there are alike.
+
+    A value counts as its text and whether that is a number, so that runs may hold it in other types; times to the microsecond.
+    """
+    parts = []
+    for c in columns:
+        kind, value = rows.schema[c].dataType, named(c)
+        plain = isinstance(kind, (BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType))
+        mark = "number" if isinstance(kind, NumericType) else "boolean" if isinstance(kind, BooleanType) else "text" if plain else "json"
+        text = value.cast("string") if plain else F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+        parts += [F.when(value.isNotNull(), F.lit(f"{c}:{mark}")), text]  # hashes pass over nulls
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def _sums(name: str, hashes: list[Column]) -> list[Column]:
+    """Sums of hashes; their halves are added up as longs, which is far cheaper than decimals."""
+    high, low = (lambda h: F.sum(F.shiftright(h, 32)).cast(DIGEST)), (lambda h: F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).cast(DIGEST))
+    return [(high(h) * F.lit(1 << 32) + low(h)).cast(DIGEST).alias(f"{name}{i}") for i, h in enumerate(hashes)]
 
 
 def write_digested(df: DataFrame, path: str, run_id: str, key: str, levels: tuple[int, ...] = LEVELS) -> int:
@@ -40,8 +56,7 @@ def write_digested(df: DataFrame, path: str, run_id: str, key: str, levels: tupl
     columns = sorted(c for c in body.columns if c != key)
     version = write_run(body.withColumn(BUCKET, _bucket(key, sum(levels))).repartition(BUCKET), f"{path}/rows", run_id, (BUCKET,))
     rows = read_run(df.sparkSession, f"{path}/rows", run_id, version, check=False)
-    parts = [F.sum(h).cast(DIGEST).alias(f"h{i}") for i, h in enumerate(_hashes(named(key), *map(named, columns)))]
-    leaves = rows.groupBy(F.col(BUCKET).alias("node")).agg(F.count(F.lit(1)).alias("n"), *parts).withColumn("level", F.lit(len(levels)))
+    leaves = rows.groupBy(F.col(BUCKET).alias("node")).agg(F.count(F.lit(1)).alias("n"), *_sums("h", _hashes(rows, key, *columns))).withColumn("level", F.lit(len(levels)))
     tree, now, left = leaves, leaves, list(levels)
     while left:  # sums of sums: few rows each
         now = now.groupBy(F.shiftright("node", left.pop()).alias("node")).agg(F.sum("n").alias("n"), F.sum("h0").cast(DIGEST).alias("h0"), F.sum("h1").cast(DIGEST).alias("h1")).withColumn("level", F.lit(len(left)))
@@ -87,8 +102,8 @@ def run_difference(spark: SparkSession, path: str, old: str, new: str, key: str,
     def of(side: DataFrame, k: str, row: str) -> DataFrame:
         rows = side.where(F.col(BUCKET).isin(buckets)) if BUCKET in side.columns else side
         own = named(key) if key in side.columns else F.lit(None).cast(kind)
-        held = lambda c: F.struct(*[F.sum(h).cast(DIGEST).alias(f"h{i}") for i, h in enumerate(_hashes(named(c).alias("v") if c in side.columns else F.lit(None).cast("string").alias("v")))], (F.count(named(c)) if c in side.columns else F.lit(0).cast("long")).alias("held"))
-        whole = [F.sum(h).cast(DIGEST).alias(f"row{i}") for i, h in enumerate(_hashes(*[named(c) for c in columns if c in side.columns]))]
+        held = lambda c: F.struct(*_sums("h", _hashes(side, *([c] if c in side.columns else []))), (F.count(named(c)) if c in side.columns else F.lit(0).cast("long")).alias("held"))
+        whole = _sums("row", _hashes(side, *[c for c in columns if c in side.columns]))
         return rows.groupBy(own.alias(k)).agg(F.struct(F.count(F.lit(1)).alias("n"), *whole, *[held(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias(row))
 
     both = of(sides[0], old_key, one).join(of(sides[1], new_key, two), F.col(old_key).eqNullSafe(F.col(new_key)), "full")
